@@ -1 +1,64 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: contingency, chi-square, Monte-Carlo tests, Spearman."""
+
+from __future__ import annotations
+
+
+from dealflow.operators import metrics as m
+from dealflow.operators import stats as st
+from dealflow.plans.catalog import r6, register, with_base
+from dealflow.plans.flow import analysis
+
+SEED = 20240101
+
+_LONG_SQL = """
+SELECT t.team, o.deal_outcome, coalesce(c.n, 0) AS n
+FROM (SELECT DISTINCT team FROM closed WHERE deal_outcome IN ('Won', 'Lost')) t
+JOIN (SELECT DISTINCT deal_outcome FROM closed WHERE deal_outcome IN ('Won', 'Lost')) o ON TRUE
+LEFT JOIN (SELECT team, deal_outcome, count(*) AS n FROM closed
+           WHERE deal_outcome IN ('Won', 'Lost') GROUP BY team, deal_outcome) c
+  ON c.team IS NOT DISTINCT FROM t.team AND c.deal_outcome = o.deal_outcome"""
+
+
+def _long(spark, sf):
+    return st.contingency(analysis(spark, sf).closed, "team", "deal_outcome", [m.LOST, m.WON])
+
+
+@register("contingency_long", with_base(_LONG_SQL))
+def contingency_long(spark, sf):
+    return _long(spark, sf)
+
+
+@register("chi_square", with_base(f"""
+SELECT round(sum((n - e) * (n - e) / e), 6) AS statistic,
+       CAST((count(DISTINCT coalesce(team, '<null>')) - 1) * (count(DISTINCT deal_outcome) - 1) AS BIGINT) AS df
+FROM (SELECT n, sum(n) OVER (PARTITION BY team) * sum(n) OVER (PARTITION BY deal_outcome)
+                / sum(n) OVER () AS e, team, deal_outcome
+      FROM ({_LONG_SQL}))"""))
+def chi_square(spark, sf):
+    return st.chi_square(_long(spark, sf), "team", "deal_outcome").select(r6("statistic"), "df")
+
+
+@register("chi_square_mc")
+def chi_square_mc(spark, sf):
+    return st.chi_square_mc(spark, _long(spark, sf), "team", "deal_outcome",
+                            replicates=10000, seed=SEED)
+
+
+@register("fisher_mc")
+def fisher_mc(spark, sf):
+    return st.fisher_mc(spark, _long(spark, sf), "team", "deal_outcome",
+                        replicates=2000, seed=SEED)
+
+
+@register("spearman_size_cycle", with_base("""
+SELECT round(corr(rx, ry), 6) AS rho, count(*) AS n_pairs
+FROM (SELECT (rank() OVER (ORDER BY employees) + count(*) OVER (PARTITION BY employees) - 1
+              + rank() OVER (ORDER BY employees)) / 2.0 AS rx,
+             (rank() OVER (ORDER BY sales_cycle_days) + count(*) OVER (PARTITION BY sales_cycle_days) - 1
+              + rank() OVER (ORDER BY sales_cycle_days)) / 2.0 AS ry
+      FROM closed WHERE employees IS NOT NULL AND sales_cycle_days IS NOT NULL)"""))
+def spearman_size_cycle(spark, sf):
+    out = st.spearman(analysis(spark, sf).closed, "employees", "sales_cycle_days")
+    return out.select(r6("rho"), "n_pairs")
+
+
