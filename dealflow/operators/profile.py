@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealflow.operators.joins import lookup_join
-from dealflow.operators.ordering import row_id
+from dealflow.operators.ordering import exact_quantiles, row_id
 
 
 def factor_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -17,3 +18,128 @@ def factor_codes(df: DataFrame, column: str, name: str | None = None) -> DataFra
     levels = df.select(column).where(F.col(column).isNotNull()).distinct()
     coded = row_id(levels, [column], name)
     return lookup_join(df, coded, column, column, how="left", null_safe=False)
+
+
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+            T.DoubleType, T.DecimalType)
+QUANTILE_NAMES = ("p0", "p25", "p50", "p75", "p100")
+QUANTILE_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def columns_of_type(df: DataFrame, kind: str) -> list[str]:
+    test = {
+        "numeric": lambda t: isinstance(t, _NUMERIC),
+        "categorical": lambda t: isinstance(t, T.StringType),
+        "date": lambda t: isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)),
+        "boolean": lambda t: isinstance(t, T.BooleanType),
+    }[kind]
+    return [f.name for f in df.schema.fields if test(f.dataType)]
+
+
+def _present(df: DataFrame, c: str) -> Column:
+    """The column with NaN turned into NULL (both count as missing)."""
+    col = F.col(c)
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(col), col)
+    return col
+
+
+def _base(df: DataFrame, cols: list[str], extra) -> DataFrame:
+    """One aggregation pass: n_missing, complete_rate and ``extra(c)`` for
+    every column, returned long (one row per column)."""
+    n = F.count(F.lit(1))
+    aggs = [n.alias("__n")]
+    for i, c in enumerate(cols):
+        aggs.append(F.count_if(_present(df, c).isNull()).alias(f"__m{i}"))
+        for name, expr in extra(c):
+            aggs.append(expr.alias(f"__{name}{i}"))
+    row = df.agg(*aggs)
+    names = [name for name, _ in extra(cols[0])] if cols else []
+    structs = []
+    for i, c in enumerate(cols):
+        fields = [F.lit(c).alias("skim_variable"), F.col(f"__m{i}").alias("n_missing"),
+                  (1 - F.col(f"__m{i}") / F.col("__n")).alias("complete_rate")]
+        fields += [F.col(f"__{name}{i}").alias(name) for name in names]
+        structs.append(F.struct(*fields))
+    return row.select(F.inline(F.array(*structs)))
+
+
+def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """skim_variable, n_missing, complete_rate, mean, sd, p0, p25, p50, p75, p100.
+
+    Moments for all columns come from one pass; each column's exact quantiles
+    come from distributed rank selection (no task holds a whole column).
+    """
+    cols = cols or columns_of_type(df, "numeric")
+    base = _base(df, cols, lambda c: [
+        ("mean", F.avg(_present(df, c).cast("double"))),
+        ("sd", F.stddev_samp(_present(df, c).cast("double")))])
+    qs = None
+    for c in cols:
+        src = df.select(_present(df, c).alias("__v"))
+        q = exact_quantiles(src, "__v", QUANTILE_PROBS, QUANTILE_NAMES).withColumn(
+            "skim_variable", F.lit(c))
+        qs = q if qs is None else qs.unionByName(q)
+    return base.join(qs, "skim_variable")
+
+
+def _top_counts(df: DataFrame, c: str, k: int = 4, width: int = 3) -> DataFrame:
+    """'abc: n, ...' for the ``k`` most frequent values (ties by value). The
+    top-k is a per-partition TopK merged on k rows, never a full sort."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.col("n").desc(), F.col(c).asc()).limit(k)
+    items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(c).alias("v"),
+                                                 F.col("n").alias("n"))))
+    label = F.transform(items, lambda s: F.concat(F.substring(s["v"], 1, width), F.lit(": "),
+                                                  s["n"].cast("string")))
+    return top.agg(F.array_join(label, ", ").alias("top_counts")).withColumn(
+        "skim_variable", F.lit(c))
+
+
+def profile_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """skim_variable, n_missing, complete_rate, n_unique, top_counts."""
+    cols = cols or columns_of_type(df, "categorical")
+    base = _base(df, cols, lambda c: [("n_unique", F.count_distinct(F.col(c)))])
+    tops = None
+    for c in cols:
+        t = _top_counts(df, c)
+        tops = t if tops is None else tops.unionByName(t)
+    return base.join(tops, "skim_variable")
+
+
+def profile_date(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """skim_variable, n_missing, complete_rate, min, max, median, n_unique.
+
+    The median of an even count falls between two days; it is floored to a day.
+    """
+    cols = cols or columns_of_type(df, "date")
+    base = _base(df, cols, lambda c: [
+        ("min", F.min(F.col(c).cast("date"))), ("max", F.max(F.col(c).cast("date"))),
+        ("n_unique", F.count_distinct(F.col(c).cast("date")))])
+    meds = None
+    for c in cols:
+        src = df.select(F.unix_date(F.col(c).cast("date")).alias("__v"))
+        q = exact_quantiles(src, "__v", [0.5], ["__med"]).select(
+            F.lit(c).alias("skim_variable"),
+            F.date_from_unix_date(F.floor("__med").cast("int")).alias("median"))
+        meds = q if meds is None else meds.unionByName(q)
+    return base.join(meds, "skim_variable")
+
+
+def profile_boolean(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """skim_variable, n_missing, complete_rate, mean (share TRUE), n_true, n_false."""
+    cols = cols or columns_of_type(df, "boolean")
+    return _base(df, cols, lambda c: [
+        ("mean", F.avg(F.col(c).cast("double"))),
+        ("n_true", F.count_if(F.col(c))),
+        ("n_false", F.count_if(~F.col(c)))])
+
+
+def skim(df: DataFrame) -> dict[str, DataFrame]:
+    """Profiles of every column, one table per type family present."""
+    out = {}
+    for kind, fn in (("numeric", profile_numeric), ("categorical", profile_categorical),
+                     ("date", profile_date), ("boolean", profile_boolean)):
+        if columns_of_type(df, kind):
+            out[kind] = fn(df)
+    return out
