@@ -18,6 +18,16 @@ DEFAULT_DATE_ORDERS = ("y-M-d",)
 FULL_DATE_ORDERS = ("y-M-d", "M-d-y", "d-MMMM-y", "MMMM-y", "y-M", "y")
 # A value must carry a four-digit year to be parsed at all.
 _YEAR_GUARD = r"(^|-)[0-9]{4}(-|$)"
+# Shape of the normalised text each order can match. Trying an order only on
+# values of its shape avoids failed parses, which are slow in the JVM.
+_SHAPES = {
+    "y-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "M-d-y": r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$",
+    "d-MMMM-y": r"^[0-9]{1,2}-[A-Za-z]+-[0-9]{4}$",
+    "MMMM-y": r"^[A-Za-z]+-[0-9]{4}$",
+    "y-M": r"^[0-9]{4}-[0-9]{1,2}$",
+    "y": r"^[0-9]{4}$",
+}
 
 
 def _c(x) -> Column:
@@ -64,18 +74,42 @@ def percent_label(col) -> Column:
     return F.concat(F.bround(_c(col) * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
-def parse_dates(col, orders: Sequence[str] = DEFAULT_DATE_ORDERS) -> Column:
+def normalise_date_text(col) -> Column:
+    """Runs of separators to a single "-", none at the ends."""
+    return F.btrim(F.regexp_replace(_c(col).cast("string"), "[^0-9A-Za-z]+", "-"), F.lit("-"))
+
+
+def parse_dates(col, orders: Sequence[str] = DEFAULT_DATE_ORDERS,
+                normalised: bool = False) -> Column:
     """String to date by an ordered list of formats; unparseable -> NULL.
 
     Separators are normalised first so ``2020/01.05`` and ``2020-1-5`` match
     ``y-M-d``. Values without a four-digit year never parse, which keeps
-    short strings such as ``12`` from becoming year 12.
+    short strings such as ``12`` from becoming year 12. Pass
+    ``normalised=True`` for text already run through ``normalise_date_text``
+    (see ``parse_date_columns``, which computes it once per row).
+    """
+    norm = _c(col) if normalised else normalise_date_text(col)
+    tries = []
+    for p in orders:
+        shape = _SHAPES.get(p)
+        attempt = F.try_to_date(norm, p)
+        tries.append(F.when(norm.rlike(shape), attempt) if shape else attempt)
+    return F.when(norm.rlike(_YEAR_GUARD), F.coalesce(*tries))
+
+
+def parse_date_columns(df: DataFrame, columns: dict[str, Column | str],
+                       orders: Sequence[str] = DEFAULT_DATE_ORDERS) -> DataFrame:
+    """Add/replace date columns parsed from text columns/expressions.
+
+    The normalised text is projected first, so it is computed once per value
+    rather than once per format tried.
     """
-    s = F.trim(_c(col).cast("string"))
-    norm = F.regexp_replace(s, "[^0-9A-Za-z]+", "-")
-    norm = F.regexp_replace(norm, "^-+|-+$", "")
-    parsed = F.coalesce(*[F.try_to_date(norm, p) for p in orders])
-    return F.when(norm.rlike(_YEAR_GUARD), parsed)
+    tmp = {name: f"__norm_{i}" for i, name in enumerate(columns)}
+    staged = df.withColumns({tmp[n]: normalise_date_text(src) for n, src in columns.items()})
+    parsed = staged.withColumns(
+        {n: parse_dates(F.col(tmp[n]), orders, normalised=True) for n in columns})
+    return parsed.drop(*tmp.values())
 
 
 def to_date_column(df: DataFrame, name: str,

@@ -53,5 +53,11 @@ def attach_group_stat(detail: DataFrame, stats: DataFrame, keys: str | Sequence[
                       max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Left-join a per-group aggregate back onto its detail rows (NULL group
     matches NULL group). Preferred over a window, which would send every row
-    of a group to one task."""
+    of a group to one task.
+
+    The aggregate is checkpointed first, so it is computed once and its size
+    check reads stored rows; it is broadcast only when that check passes,
+    otherwise both sides are shuffled on the keys.
+    """
+    stats = stats.checkpoint(eager=True)
     return lookup_join(detail, stats, keys, keys, "left", True, False, max_broadcast_rows)

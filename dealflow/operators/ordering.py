@@ -34,40 +34,46 @@ def _tag_partitions(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return tagged.checkpoint(eager=True)
 
 
+def _partition_offsets(tagged: DataFrame, weight: Column) -> tuple[Column, int]:
+    """Exclusive prefix of per-partition totals, as a literal array indexed by
+    partition id, plus the grand total. Only one row per partition reaches the
+    driver."""
+    totals = dict(tagged.groupBy("_ord_p").agg(F.sum(weight)).collect())
+    n_parts = (max(totals) + 1) if totals else 0
+    offsets, run = [], 0
+    for p in range(n_parts):
+        offsets.append(run)
+        run += int(totals.get(p) or 0)
+    arr = F.array(*[F.lit(o).cast("long") for o in offsets]) if offsets else F.array(F.lit(0).cast("long"))
+    return F.element_at(arr, F.col("_ord_p") + 1), run
+
+
 def row_id(df: DataFrame, order: Sequence[Column | str], name: str = "id",
            start: int = 1) -> DataFrame:
     """Dense row number in ``order`` (1-based by default), placed first.
 
     Equivalent to ``row_number() over (order by ...)`` without funnelling the
-    table through one task.
+    table through one task: rows are range-partitioned and checkpointed, and
+    each partition adds the row count of the partitions before it.
     """
     tagged = _tag_partitions(df, order)
-    sizes = tagged.groupBy("_ord_p").agg(
-        F.count(F.lit(1)).alias("_ord_n"), F.min("_ord_m").alias("_ord_m0"))
-    before = Window.orderBy("_ord_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_ord_p", "_ord_m0",
-        F.coalesce(F.sum("_ord_n").over(before), F.lit(0)).alias("_ord_off"))
-    out = tagged.join(F.broadcast(offsets), "_ord_p").withColumn(
-        name, (F.col("_ord_m") - F.col("_ord_m0") + F.col("_ord_off") + F.lit(start)))
+    offset, _ = _partition_offsets(tagged, F.lit(1))
+    first_m = F.shiftleft(F.col("_ord_p").cast("long"), 33)  # id of a partition's first row
+    out = tagged.withColumn(name, F.col("_ord_m") - first_m + offset + F.lit(start))
     return out.select(name, *[c for c in df.columns if c != name])
 
 
 def weighted_prefix(df: DataFrame, value: str, weight: str,
-                    name: str = "cum_before") -> DataFrame:
+                    name: str = "cum_before") -> tuple[DataFrame, int]:
     """Add the sum of ``weight`` over all rows whose ``value`` sorts strictly
-    before this row's (``value`` must be unique, e.g. a value-count table)."""
+    before this row's (``value`` must be unique, e.g. a value-count table).
+    Returns the frame and the grand total of ``weight``."""
     tagged = _tag_partitions(df, [F.col(value).asc()])
-    totals = tagged.groupBy("_ord_p").agg(F.sum(weight).alias("_ord_t"))
-    before = Window.orderBy("_ord_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_ord_p", F.coalesce(F.sum("_ord_t").over(before), F.lit(0)).alias("_ord_off"))
+    offset, total = _partition_offsets(tagged, F.col(weight))
     within = (Window.partitionBy("_ord_p").orderBy(F.col(value).asc())
               .rowsBetween(Window.unboundedPreceding, -1))
-    out = (tagged.join(F.broadcast(offsets), "_ord_p")
-           .withColumn(name, F.col("_ord_off")
-                       + F.coalesce(F.sum(weight).over(within), F.lit(0))))
-    return out.drop("_ord_p", "_ord_m", "_ord_off")
+    out = tagged.withColumn(name, offset + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    return out.drop("_ord_p", "_ord_m"), total
 
 
 def value_counts(df: DataFrame, value: str, count: str = "n") -> DataFrame:
@@ -79,7 +85,7 @@ def value_counts(df: DataFrame, value: str, count: str = "n") -> DataFrame:
 def mid_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
     """Distinct ``value`` with its average (mid) rank among all non-null rows."""
     counts = value_counts(df, value, "_mr_n")
-    pref = weighted_prefix(counts, value, "_mr_n", "_mr_cb")
+    pref, _ = weighted_prefix(counts, value, "_mr_n", "_mr_cb")
     return pref.select(
         value, (F.col("_mr_cb") + (F.col("_mr_n") + 1) / 2.0).alias(rank))
 
@@ -95,8 +101,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """
     names = list(names or [f"q{i}" for i in range(len(probs))])
     counts = value_counts(df, value, "_q_n").withColumn(value, F.col(value).cast("double"))
-    pref = weighted_prefix(counts, value, "_q_n", "_q_cb")
-    n_all = pref.agg(F.sum("_q_n")).first()[0] or 0
+    pref, n_all = weighted_prefix(counts, value, "_q_n", "_q_cb")
     aggs = []
     for p, nm in zip(probs, names):
         if n_all == 0:

@@ -112,8 +112,26 @@ class SalesAnalysis:
         return sales_cycle(deal_outcome(self.imputed, self.stage), self.created, self.changed)
 
 
+_PREPARED: dict[tuple[int, str], SalesAnalysis] = {}
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> SalesAnalysis:
-    return SalesAnalysis.from_testdata(spark, sf_dir)
+    """The analysis over a test folder: the prepared (written) one if
+    ``prepare`` ran in this session, else a lazily planned one."""
+    found = _PREPARED.get((id(spark), sf_dir))
+    return found if found is not None else SalesAnalysis.from_testdata(spark, sf_dir)
+
+
+def prepare(spark: SparkSession, sf_dir: str, path: str | None = None) -> SalesAnalysis:
+    """Ingest, join and clean once, write ``v1`` to the shared folder, and let
+    later ``analysis`` calls in this session start from it."""
+    a = SalesAnalysis.from_testdata(spark, sf_dir).materialize(path)
+    _PREPARED[(id(spark), sf_dir)] = a
+    return a
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    _PREPARED.pop((id(spark), sf_dir), None)
 
 
-__all__ = ["SalesAnalysis", "analysis", "ingest", "ingest_rep_team"]
+__all__ = ["SalesAnalysis", "analysis", "forget", "ingest", "ingest_rep_team", "prepare"]

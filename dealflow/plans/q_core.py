@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dealflow.functions.names import clean_names
-from dealflow.functions.scalars import FULL_DATE_ORDERS, if_else_null, parse_dates, replace_all
+from dealflow.functions.scalars import (FULL_DATE_ORDERS, if_else_null, parse_date_columns,
+                                        replace_all)
 from dealflow.operators import aggregates as agg
 from dealflow.operators import columns as cols
 from dealflow.operators import filters as flt
@@ -342,15 +343,15 @@ SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d_slashed, CAST(o_orderdate AS D
        CAST(o_orderdate AS DATE) AS d_default, CAST(NULL AS DATE) AS d_default_us
 FROM orders""")
 def parse_dates_q(spark, sf):
-    o = testdata.table(spark, sf, "orders")
+    o = testdata.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     fmt = {"d_slashed": "yyyy/MM.dd", "d_us": "MM/dd/yyyy", "d_text": "d MMMM yyyy",
            "d_month": "yyyy-MM", "d_year": "yyyy", "d_no_year": "dd.MM"}
-    out = [F.col("o_orderkey")]
-    for name, pat in fmt.items():
-        out.append(parse_dates(F.date_format("o_orderdate", pat), FULL_DATE_ORDERS).alias(name))
-    out.append(parse_dates(F.date_format("o_orderdate", "yyyy-M-d")).alias("d_default"))
-    out.append(parse_dates(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("d_default_us"))
-    return o.select(*out)
+    full = parse_date_columns(o, {n: F.date_format("o_orderdate", p) for n, p in fmt.items()},
+                              FULL_DATE_ORDERS)
+    both = parse_date_columns(full, {
+        "d_default": F.date_format("o_orderdate", "yyyy-M-d"),
+        "d_default_us": F.date_format("o_orderdate", "MM/dd/yyyy")})
+    return both.drop("o_orderdate")
 
 
 @register("impute_stage_median", with_base("SELECT * FROM imp", "imp"))
