@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealflow.functions.scalars import percent_label
 from dealflow.operators.joins import attach_group_stat
+from dealflow.operators.ordering import grouped_quantiles
 
 # Highlight and base bar colours of the win-rate chart.
 HIGHLIGHT_FILL, BASE_FILL = "#b96305", "#056875"
@@ -57,10 +58,8 @@ def win_rate_bars(rates: DataFrame, category: str = "team", rate: str = "convers
 
 
 def _hinges(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    q = F.percentile(F.col(value), [0.25, 0.5, 0.75])
-    return (df.where(F.col(value).isNotNull()).groupBy(*groups).agg(q.alias("__q"))
-            .select(*groups, F.col("__q")[0].alias("lower"), F.col("__q")[1].alias("middle"),
-                    F.col("__q")[2].alias("upper")))
+    return grouped_quantiles(df.select(*groups, value), list(groups), value,
+                             [0.25, 0.5, 0.75], ["lower", "middle", "upper"])
 
 
 def _with_fences(df: DataFrame, groups: Sequence[str], value: str, coef: float) -> DataFrame:

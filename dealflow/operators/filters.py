@@ -19,8 +19,9 @@ def where_present(df: DataFrame, name: str) -> DataFrame:
 
 
 def where_in(df: DataFrame, name: str, values: Iterable) -> DataFrame:
-    """Membership; a NULL value is not a member (kept out, never NULL)."""
-    return df.where(F.coalesce(F.col(name).isin(list(values)), F.lit(False)))
+    """Membership; a NULL value is not a member (a NULL predicate drops the
+    row, so the plain IN is exact and can be pushed to the scan)."""
+    return df.where(F.col(name).isin(list(values)))
 
 
 def where_equal(df: DataFrame, name: str, value) -> DataFrame:

@@ -9,6 +9,7 @@ from dealflow.functions.scalars import if_else_null, round_half_even
 from dealflow.operators.aggregates import count_where
 from dealflow.operators.columns import mutate
 from dealflow.operators.joins import attach_group_stat
+from dealflow.operators.ordering import grouped_quantiles
 
 _NEEDS = "__needs_imputation"
 
@@ -43,12 +44,11 @@ def group_median_lag(df: DataFrame, group: str = "stage", start: str = "created_
                      end: str = "last_stage_change_date",
                      name: str = "median_days_to_stage") -> DataFrame:
     """Exact median of whole days from ``start`` to ``end`` per group, over rows
-    with ``end`` present. One shuffle with map-side partial aggregation; the
-    per-group state is the set of distinct day counts, bounded by the date range.
-    """
-    days = F.datediff(F.col(end), F.col(start)).cast("double")
-    return (df.where(F.col(end).isNotNull())
-            .groupBy(group).agg(F.median(days).alias(name)))
+    with ``end`` present (see ``grouped_quantiles`` for how hot groups are
+    kept out of a single task)."""
+    days = (df.where(F.col(end).isNotNull())
+            .select(group, F.datediff(F.col(end), F.col(start)).cast("double").alias("__days")))
+    return grouped_quantiles(days, [group], "__days", [0.5], [name])
 
 
 def impute_by_group_median(df: DataFrame, stats: DataFrame, group: str = "stage",

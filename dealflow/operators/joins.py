@@ -61,3 +61,10 @@ def attach_group_stat(detail: DataFrame, stats: DataFrame, keys: str | Sequence[
     """
     stats = stats.checkpoint(eager=True)
     return lookup_join(detail, stats, keys, keys, "left", True, False, max_broadcast_rows)
+
+
+def join_small(left: DataFrame, right: DataFrame, keys: str | Sequence[str],
+               how: str = "left") -> DataFrame:
+    """Join two per-group results (small tables) on their group keys, NULL
+    matching NULL, keeping one copy of the keys."""
+    return lookup_join(left, right, keys, keys, how, True, False)

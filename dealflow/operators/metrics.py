@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealflow.functions.scalars import round_half_even, safe_ratio
-from dealflow.operators.aggregates import count_by, count_where, dense_rank_desc, share_of_total
+from dealflow.operators.aggregates import (count_by, count_where, dense_rank_desc, pivot_wider,
+                                          share_of_total)
 from dealflow.operators.filters import where_equal, where_in, where_missing, where_present
+from dealflow.operators.joins import join_small
+from dealflow.operators.ordering import grouped_quantiles
 
 # Outcome labels and the stages that map to them.
 WON, LOST, OPEN = "Won", "Lost", "Open"
@@ -27,6 +30,18 @@ def closed_only(df: DataFrame, outcome: str = "deal_outcome") -> DataFrame:
     return where_in(df, outcome, CLOSED)
 
 
+def closed_stages(df: DataFrame, stage: str = "stage", won_stage: str = WON_STAGE,
+                  lost_stage: str = LOST_STAGE) -> DataFrame:
+    """Closed deals selected by stage: same rows as ``closed_only`` after
+    ``deal_outcome``, but a plain IN on a stored column reaches the Parquet
+    scan as a pushed filter."""
+    return where_in(df, stage, [won_stage, lost_stage])
+
+
+def _median(df: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    return grouped_quantiles(df.select(*groups, value), groups, value, [0.5], [name])
+
+
 def _rate(won, lost):
     return round_half_even(safe_ratio(won, won + lost), 2)
 
@@ -61,8 +76,9 @@ def won_revenue_by_team(df: DataFrame, team: str = "team",
     won = where_present(where_equal(df, outcome, WON), price)
     per = won.groupBy(team).agg(
         F.avg(price).alias("avg_sold_price"),
-        F.median(price).alias("median_sold_price"),
         F.count(F.lit(1)).alias("won_deals_count"))
+    per = join_small(per, _median(won, [team], price, "median_sold_price"), team)
+    per = per.select(team, "avg_sold_price", "median_sold_price", "won_deals_count")
     per = per.withColumn("total_revenue",
                          round_half_even(F.col("avg_sold_price"), 2) * F.col("won_deals_count"))
     return per.orderBy(F.col("avg_sold_price").desc_nulls_last(), F.col(team).asc_nulls_last())
@@ -77,10 +93,12 @@ def sales_cycle(df: DataFrame, start: str = "created_date",
 
 def avg_cycle_by_outcome(df: DataFrame, cycle: str = "sales_cycle_days",
                          outcome: str = "deal_outcome") -> DataFrame:
-    return (closed_only(df, outcome).groupBy(outcome).agg(
-        F.avg(cycle).alias("avg_cycle_days"),
-        F.median(cycle).alias("median_cycle_days"),
-        F.stddev_samp(cycle).alias("sd_cycle_days")))
+    closed = closed_only(df, outcome)
+    mom = closed.groupBy(outcome).agg(F.avg(cycle).alias("avg_cycle_days"),
+                                      F.stddev_samp(cycle).alias("sd_cycle_days"))
+    med = _median(closed, [outcome], cycle, "median_cycle_days")
+    return join_small(mom, med, outcome).select(
+        outcome, "avg_cycle_days", "median_cycle_days", "sd_cycle_days")
 
 
 def lost_stage_share(df: DataFrame, stage: str = "stage",
@@ -94,10 +112,13 @@ def lost_stage_share(df: DataFrame, stage: str = "stage",
 def team_cycle_medians(df: DataFrame, team: str = "team", cycle: str = "sales_cycle_days",
                        outcome: str = "deal_outcome", prefix: str = "cycle_") -> DataFrame:
     """Median cycle per team for Lost and Won side by side (NULL if a team has
-    none). The pivot is expressed as conditional medians: one shuffle."""
-    o = F.col(outcome)
-    return closed_only(df, outcome).groupBy(team).agg(*[
-        F.median(F.when(o == v, F.col(cycle))).alias(f"{prefix}{v}") for v in (LOST, WON)])
+    none): grouped medians per (team, outcome), then a pivot of that small
+    table."""
+    closed = closed_only(df, outcome)
+    med = _median(closed, [team, outcome], cycle, "__median")
+    teams = closed.select(team).distinct()
+    wide = pivot_wider(med, team, outcome, "__median", [LOST, WON], prefix)
+    return join_small(teams, wide, team)
 
 
 def missing_by_stage(df: DataFrame, target: str = "last_stage_change_date",

@@ -116,3 +116,76 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                             F.col(value)))
         aggs.append((v_lo + (v_hi - v_lo) * F.lit(frac)).alias(nm))
     return pref.agg(*aggs)
+
+
+# Largest number of distinct values of one group that a single task may hold
+# while merging a group's exact percentile.
+GROUP_STATE_MAX_VALUES = 1_000_000
+
+
+def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(right[k])
+        cond = c if cond is None else cond & c
+    return cond
+
+
+def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
+                      probs: Sequence[float], names: Sequence[str],
+                      max_values: int = GROUP_STATE_MAX_VALUES) -> DataFrame:
+    """Exact, linearly interpolated quantiles of ``value`` per group (NULL is a
+    group; NULL values are skipped; a group with no values is absent).
+
+    Values are first counted per (group, value), which spreads a hot group over
+    many tasks. If no group then has more than ``max_values`` distinct values,
+    Spark's ``percentile`` with frequencies finishes the job (its per-group
+    state is that many entries at most). Otherwise the quantiles come from a
+    distributed rank selection in which a hot group spans many tasks.
+    """
+    groups = list(groups)
+    counts = (df.where(F.col(value).isNotNull())
+              .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_g_n"))
+              .checkpoint(eager=True))
+    widest = counts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if widest <= max_values:
+        q = F.percentile(F.col(value).cast("double"), list(probs), F.col("_g_n"))
+        return counts.groupBy(*groups).agg(q.alias("_g_q")).select(
+            *groups, *[F.col("_g_q")[i].alias(n) for i, n in enumerate(names)])
+    return _grouped_rank_select(counts, groups, value, probs, names)
+
+
+def _grouped_rank_select(counts: DataFrame, groups: list[str], value: str,
+                         probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    from dealflow.operators.joins import maybe_broadcast
+    tagged = (counts.orderBy(*groups, value)
+              .select("*", F.spark_partition_id().alias("_g_p"))
+              .checkpoint(eager=True))
+    # one row per (partition, group): at most partitions + groups rows
+    per = tagged.groupBy("_g_p", *groups).agg(F.sum("_g_n").alias("_g_t"))
+    earlier = (Window.partitionBy(*groups).orderBy("_g_p")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    per = (per.withColumn("_g_off", F.coalesce(F.sum("_g_t").over(earlier), F.lit(0)))
+           .withColumn("_g_N", F.sum("_g_t").over(Window.partitionBy(*groups)))
+           .drop("_g_t"))
+    per_r = per.select(*[F.col(c).alias(f"_r_{c}") for c in per.columns])
+    cond = tagged["_g_p"] == per_r["_r__g_p"]
+    for g in groups:
+        cond = cond & tagged[g].eqNullSafe(per_r[f"_r_{g}"])
+    j = tagged.join(maybe_broadcast(per_r), cond).drop(*[f"_r_{g}" for g in groups], "_r__g_p")
+    within = (Window.partitionBy("_g_p", *groups).orderBy(value)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    j = j.withColumn("_g_cb", F.col("_r__g_off") + F.coalesce(F.sum("_g_n").over(within), F.lit(0)))
+    n_all = F.col("_r__g_N")
+    covers = lambda r: (F.col("_g_cb") <= r) & (r < F.col("_g_cb") + F.col("_g_n"))
+    keep, aggs = None, []
+    for p, nm in zip(probs, names):
+        h = (n_all - 1) * F.lit(float(p))
+        lo, hi = F.floor(h), F.ceil(h)
+        hit = covers(lo) | covers(hi)
+        keep = hit if keep is None else keep | hit
+        v = F.col(value).cast("double")
+        v_lo, v_hi = F.max(F.when(covers(lo), v)), F.max(F.when(covers(hi), v))
+        frac = F.max(h - lo)
+        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(nm))
+    return j.where(keep).groupBy(*groups).agg(*aggs)

@@ -20,7 +20,7 @@ from dealflow.functions.scalars import DEFAULT_DATE_ORDERS, replace_all, to_date
 from dealflow.operators.columns import across_contains, names_containing, relocate
 from dealflow.operators.impute import group_median_lag, impute_by_group_median, impute_entry_stage
 from dealflow.operators.joins import lookup_join
-from dealflow.operators.metrics import deal_outcome, sales_cycle
+from dealflow.operators.metrics import closed_stages, deal_outcome, sales_cycle
 from dealflow.operators.ordering import row_id
 from dealflow.session import shared_path
 from dealflow.sources import io, testdata
@@ -111,6 +111,12 @@ class SalesAnalysis:
     def closed(self) -> DataFrame:
         return sales_cycle(deal_outcome(self.imputed, self.stage), self.created, self.changed)
 
+    @cached_property
+    def closed_deals(self) -> DataFrame:
+        """Won and lost deals only, selected on the stored stage column so the
+        predicate reaches the Parquet scan."""
+        return closed_stages(self.closed, self.stage)
+
 
 _PREPARED: dict[tuple[int, str], SalesAnalysis] = {}
 

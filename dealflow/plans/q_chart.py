@@ -66,7 +66,7 @@ SELECT team, deal_outcome, count(*) AS n,
        count(CASE WHEN NOT (v >= lo AND v <= hi) THEN 1 END) AS n_outliers
 FROM bj GROUP BY team, deal_outcome""", "closed", _BOX_CTES))
 def cycle_boxplot(spark, sf):
-    closed = m.closed_only(analysis(spark, sf).closed)
+    closed = analysis(spark, sf).closed_deals
     b = cd.boxplot_stats(closed, ["team", "deal_outcome"], "sales_cycle_days")
     return b.select("team", "deal_outcome", "n", r6("ymin"), r6("lower"), r6("middle"),
                     r6("upper"), r6("ymax"), "n_outliers")
@@ -76,6 +76,6 @@ def cycle_boxplot(spark, sf):
 SELECT team, deal_outcome, v AS sales_cycle_days FROM bj WHERE v < lo OR v > hi""",
                                       "closed", _BOX_CTES))
 def cycle_outliers(spark, sf):
-    closed = m.closed_only(analysis(spark, sf).closed).select(
+    closed = analysis(spark, sf).closed_deals.select(
         "team", "deal_outcome", "sales_cycle_days")
     return cd.boxplot_outliers(closed, ["team", "deal_outcome"], "sales_cycle_days")

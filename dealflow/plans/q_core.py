@@ -75,7 +75,7 @@ FROM (SELECT team,
 
 
 def _team_conversion(spark, sf):
-    t = m.team_conversion(analysis(spark, sf).closed)
+    t = m.team_conversion(analysis(spark, sf).closed_deals)
     return t.withColumn("team_rank", F.col("team_rank").cast("long"))
 
 
@@ -84,9 +84,9 @@ def export_tables_q(spark, sf):
     a = analysis(spark, sf)
     tables = {
         "team_conversion_rates": _team_conversion(spark, sf),
-        "average_revenue_won": m.won_revenue_by_team(a.closed),
-        "average_cycle_by_outcome": m.avg_cycle_by_outcome(a.closed),
-        "team_level_median_cycle_days": m.team_cycle_medians(a.closed),
+        "average_revenue_won": m.won_revenue_by_team(a.closed_deals),
+        "average_cycle_by_outcome": m.avg_cycle_by_outcome(a.closed_deals),
+        "team_level_median_cycle_days": m.team_cycle_medians(a.closed_deals),
     }
     return io.export_tables(tables)["team_conversion_rates"]
 
@@ -153,19 +153,19 @@ def filter_missing_dates(spark, sf):
 
 @register("filter_closed", with_base("SELECT * FROM closed WHERE deal_outcome IN ('Won', 'Lost')"))
 def filter_closed(spark, sf):
-    return m.closed_only(analysis(spark, sf).closed)
+    return analysis(spark, sf).closed_deals
 
 
 @register("filter_lost", with_base("SELECT * FROM closed WHERE deal_outcome = 'Lost'"))
 def filter_lost(spark, sf):
-    return flt.where_equal(analysis(spark, sf).closed, "deal_outcome", m.LOST)
+    return flt.where_equal(analysis(spark, sf).closed_deals, "deal_outcome", m.LOST)
 
 
 @register("filter_won_priced", with_base(
     "SELECT * FROM closed WHERE deal_outcome = 'Won' "
     "AND sold_price_per_registered_member IS NOT NULL"))
 def filter_won_priced(spark, sf):
-    c = analysis(spark, sf).closed
+    c = analysis(spark, sf).closed_deals
     return c.where((F.col("deal_outcome") == m.WON)
                    & ~F.col("sold_price_per_registered_member").isNull())
 
@@ -214,7 +214,7 @@ _COUNT_TEAM_OUTCOME = ("SELECT team, deal_outcome, count(*) AS n FROM closed "
 
 @register("count_team_outcome", with_base(_COUNT_TEAM_OUTCOME))
 def count_team_outcome(spark, sf):
-    return agg.count_by(m.closed_only(analysis(spark, sf).closed), "team", "deal_outcome")
+    return agg.count_by(analysis(spark, sf).closed_deals, "team", "deal_outcome")
 
 
 @register("overall_conversion", with_base("""
@@ -225,7 +225,7 @@ FROM (SELECT count(CASE WHEN deal_outcome = 'Won' THEN 1 END) AS total_won,
              count(CASE WHEN deal_outcome = 'Lost' THEN 1 END) AS total_lost
       FROM closed WHERE deal_outcome IN ('Won', 'Lost'))"""))
 def overall_conversion(spark, sf):
-    return m.overall_conversion(analysis(spark, sf).closed)
+    return m.overall_conversion(analysis(spark, sf).closed_deals)
 
 
 @register("imputation_summary", with_base("""
@@ -258,7 +258,7 @@ SELECT deal_outcome, round(avg(sales_cycle_days), 6) AS avg_cycle_days,
        round(stddev_samp(sales_cycle_days), 6) AS sd_cycle_days
 FROM closed WHERE deal_outcome IN ('Won', 'Lost') GROUP BY deal_outcome"""))
 def avg_cycle_by_outcome(spark, sf):
-    t = m.avg_cycle_by_outcome(analysis(spark, sf).closed)
+    t = m.avg_cycle_by_outcome(analysis(spark, sf).closed_deals)
     return t.select("deal_outcome", r6("avg_cycle_days"), r6("median_cycle_days"),
                     r6("sd_cycle_days"))
 
@@ -283,7 +283,7 @@ FROM (SELECT team, avg(sold_price_per_registered_member) AS avg_sold_price,
       FROM closed WHERE deal_outcome = 'Won' AND sold_price_per_registered_member IS NOT NULL
       GROUP BY team)"""))
 def won_revenue_by_team(spark, sf):
-    t = m.won_revenue_by_team(analysis(spark, sf).closed)
+    t = m.won_revenue_by_team(analysis(spark, sf).closed_deals)
     return t.select("team", r6("avg_sold_price"), r6("median_sold_price"), "won_deals_count",
                     r6("total_revenue"))
 
@@ -300,7 +300,7 @@ SELECT team, max(CASE WHEN deal_outcome = 'Lost' THEN n END) AS "Lost",
        max(CASE WHEN deal_outcome = 'Won' THEN n END) AS "Won"
 FROM ({_COUNT_TEAM_OUTCOME}) GROUP BY team"""))
 def contingency_wide(spark, sf):
-    long = agg.count_by(m.closed_only(analysis(spark, sf).closed), "team", "deal_outcome")
+    long = agg.count_by(analysis(spark, sf).closed_deals, "team", "deal_outcome")
     return agg.pivot_wider(long, "team", "deal_outcome", "n", [m.LOST, m.WON])
 
 
@@ -310,14 +310,14 @@ SELECT team,
        quantile_cont(CASE WHEN deal_outcome = 'Won' THEN sales_cycle_days END, 0.5) AS "cycle_Won"
 FROM closed WHERE deal_outcome IN ('Won', 'Lost') GROUP BY team"""))
 def team_cycle_medians(spark, sf):
-    return m.team_cycle_medians(analysis(spark, sf).closed)
+    return m.team_cycle_medians(analysis(spark, sf).closed_deals)
 
 
 @register("lost_stage_share", with_base("""
 SELECT stage, n, round(n / sum(n) OVER () * 100, 6) AS percent
 FROM (SELECT stage, count(*) AS n FROM closed WHERE deal_outcome = 'Lost' GROUP BY stage)"""))
 def lost_stage_share(spark, sf):
-    t = m.lost_stage_share(analysis(spark, sf).closed)
+    t = m.lost_stage_share(analysis(spark, sf).closed_deals)
     return t.select("stage", "n", r6("percent"))
 
 

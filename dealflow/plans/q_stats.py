@@ -20,7 +20,7 @@ LEFT JOIN (SELECT team, deal_outcome, count(*) AS n FROM closed
 
 
 def _long(spark, sf):
-    return st.contingency(analysis(spark, sf).closed, "team", "deal_outcome", [m.LOST, m.WON])
+    return st.contingency(analysis(spark, sf).closed_deals, "team", "deal_outcome", [m.LOST, m.WON])
 
 
 @register("contingency_long", with_base(_LONG_SQL))
