@@ -1,0 +1,10 @@
+"""Streaming.
+
+The analysis this library reproduces is a one-shot batch job: it has no
+streams, watermarks, windows over event time or state, so no streaming
+operator is defined here. The row-wise steps (name cleaning, key
+normalisation, date parsing, outcome and cycle derivation, rule imputation)
+are plain column expressions and apply unchanged to a DataFrame from
+``spark.readStream``; the steps that need whole-table statistics (group
+medians, ranks, profiles, tests) are batch-only by nature.
+"""
