@@ -65,6 +65,33 @@ def table_to_matrix(long: DataFrame, row: str, col: str, count: str = "n"):
     return list(mat.index), list(mat.columns), mat.to_numpy(dtype=np.int64)
 
 
+# numpy's exact hypergeometric sampler accepts counts below this bound.
+_EXACT_DRAW_MAX = 10**9 - 1
+
+
+def _hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray,
+                    n: np.ndarray) -> np.ndarray:
+    """Hypergeometric draws, vectorised. Exact while both counts fit the
+    sampler; beyond ~1e9 items the normal form with the exact mean and
+    variance is used (relative error of order 1/sqrt(N)), clipped to the
+    support."""
+    good, bad, n = (np.asarray(a, dtype=np.int64) for a in (good, bad, n))
+    small = (good <= _EXACT_DRAW_MAX) & (bad <= _EXACT_DRAW_MAX)
+    out = np.zeros(np.broadcast(good, bad, n).shape, dtype=np.int64)
+    if small.all():
+        return rng.hypergeometric(good, bad, n)
+    if small.any():
+        out[small] = rng.hypergeometric(good[small], bad[small], n[small])
+    big = ~small
+    g, b, k = good[big].astype(float), bad[big].astype(float), n[big].astype(float)
+    tot = g + b
+    mean = k * g / tot
+    var = k * (g / tot) * (b / tot) * (tot - k) / np.maximum(tot - 1, 1)
+    x = np.rint(mean + np.sqrt(var) * rng.standard_normal(mean.shape)).astype(np.int64)
+    out[big] = np.clip(x, np.maximum(0, n[big] - bad[big]), np.minimum(n[big], good[big]))
+    return out
+
+
 def _sample_tables(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray,
                    m: int) -> np.ndarray:
     """``m`` random tables with the given margins (uniform given margins),
@@ -80,7 +107,7 @@ def _sample_tables(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray,
             if i == r - 1:
                 x = need.copy()
             else:
-                x = rng.hypergeometric(rem_rows[:, i], left_total, need)
+                x = _hypergeometric(rng, rem_rows[:, i], left_total, need)
             out[:, i, j] = x
             need = need - x
             rem_rows[:, i] -= x

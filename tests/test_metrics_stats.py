@@ -135,3 +135,12 @@ def test_spearman_ties_matches_ml(spark):
     ml = Correlation.corr(vec, "v", "spearman").first()[0].toArray()[0, 1]
     assert ours.n_pairs == 200
     assert math.isclose(ours.rho, ml, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_sampler_large_margins():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows, cols = np.array([3 * 10**11, 10**11, 5]), np.array([2 * 10**11, 2 * 10**11 + 5])
+    tabs = st._sample_tables(rng, rows, cols, 50)
+    assert (tabs.sum(axis=2) == rows).all() and (tabs.sum(axis=1) == cols).all()
+    assert (tabs >= 0).all()
