@@ -97,10 +97,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     Same definition as ``percentile``: position h = (N-1)*p on the sorted
     non-null values, interpolated between ranks floor(h) and ceil(h). Works by
     rank selection over the value-count table, so no task ever holds all
-    distinct values; only the scalar N comes back to the driver.
+    distinct values; only per-partition totals come back to the driver.
     """
+    return quantiles_from_counts(value_counts(df, value, "_q_n"), value, "_q_n", probs, names)
+
+
+def quantiles_from_counts(counts: DataFrame, value: str, count: str, probs: Sequence[float],
+                          names: Sequence[str] | None = None) -> DataFrame:
+    """``exact_quantiles`` over an existing (value, count) table."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    counts = value_counts(df, value, "_q_n").withColumn(value, F.col(value).cast("double"))
+    counts = counts.select(F.col(value).cast("double").alias(value), F.col(count).alias("_q_n"))
     pref, n_all = weighted_prefix(counts, value, "_q_n", "_q_cb")
     aggs = []
     for p, nm in zip(probs, names):
@@ -133,7 +139,8 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Col
 
 def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                       probs: Sequence[float], names: Sequence[str],
-                      max_values: int = GROUP_STATE_MAX_VALUES) -> DataFrame:
+                      max_values: int = GROUP_STATE_MAX_VALUES,
+                      distinct_name: str | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group (NULL is a
     group; NULL values are skipped; a group with no values is absent).
 
@@ -142,6 +149,7 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     Spark's ``percentile`` with frequencies finishes the job (its per-group
     state is that many entries at most). Otherwise the quantiles come from a
     distributed rank selection in which a hot group spans many tasks.
+    ``distinct_name`` adds the number of distinct values per group.
     """
     groups = list(groups)
     counts = (df.where(F.col(value).isNotNull())
@@ -150,9 +158,16 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     widest = counts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
     if widest <= max_values:
         q = F.percentile(F.col(value).cast("double"), list(probs), F.col("_g_n"))
-        return counts.groupBy(*groups).agg(q.alias("_g_q")).select(
-            *groups, *[F.col("_g_q")[i].alias(n) for i, n in enumerate(names)])
-    return _grouped_rank_select(counts, groups, value, probs, names)
+        extra = [F.count(F.lit(1)).alias(distinct_name)] if distinct_name else []
+        return counts.groupBy(*groups).agg(q.alias("_g_q"), *extra).select(
+            *groups, *[F.col("_g_q")[i].alias(n) for i, n in enumerate(names)],
+            *([distinct_name] if distinct_name else []))
+    out = _grouped_rank_select(counts, groups, value, probs, names)
+    if distinct_name:
+        from dealflow.operators.joins import join_small
+        out = join_small(out, counts.groupBy(*groups).agg(
+            F.count(F.lit(1)).alias(distinct_name)), groups)
+    return out
 
 
 def _grouped_rank_select(counts: DataFrame, groups: list[str], value: str,

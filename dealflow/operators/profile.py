@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealflow.operators.joins import lookup_join
-from dealflow.operators.ordering import exact_quantiles, row_id
+from dealflow.operators.ordering import grouped_quantiles, row_id
 
 
 def factor_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def _base(df: DataFrame, cols: list[str], extra) -> DataFrame:
         for name, expr in extra(c):
             aggs.append(expr.alias(f"__{name}{i}"))
     row = df.agg(*aggs)
-    names = [name for name, _ in extra(cols[0])] if cols else []
+    names = [name for name, _ in extra(cols[0])] if cols else []  # may be empty
     structs = []
     for i, c in enumerate(cols):
         fields = [F.lit(c).alias("skim_variable"), F.col(f"__m{i}").alias("n_missing"),
@@ -64,66 +64,83 @@ def _base(df: DataFrame, cols: list[str], extra) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
+def long_values(df: DataFrame, cols: list[str], cast: str | None = None) -> DataFrame:
+    """(skim_variable, value) rows for the given columns, one pass over ``df``;
+    NaN becomes NULL."""
+    def v(c):
+        x = _present(df, c)
+        return x.cast(cast) if cast else x
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("skim_variable"), v(c).alias("value")) for c in cols])))
+
+
 def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """skim_variable, n_missing, complete_rate, mean, sd, p0, p25, p50, p75, p100.
 
-    Moments for all columns come from one pass; each column's exact quantiles
-    come from distributed rank selection (no task holds a whole column).
+    Moments of all columns come from one aggregation pass; exact quantiles of
+    all columns from one grouped-quantile pass over the unpivoted values (a
+    column is a group, so a column with unbounded distinct values is handled
+    by distributed rank selection rather than one task).
     """
     cols = cols or columns_of_type(df, "numeric")
     base = _base(df, cols, lambda c: [
         ("mean", F.avg(_present(df, c).cast("double"))),
         ("sd", F.stddev_samp(_present(df, c).cast("double")))])
-    qs = None
-    for c in cols:
-        src = df.select(_present(df, c).alias("__v"))
-        q = exact_quantiles(src, "__v", QUANTILE_PROBS, QUANTILE_NAMES).withColumn(
-            "skim_variable", F.lit(c))
-        qs = q if qs is None else qs.unionByName(q)
-    return base.join(qs, "skim_variable")
+    qs = grouped_quantiles(long_values(df, cols, "double"), ["skim_variable"], "value",
+                           QUANTILE_PROBS, QUANTILE_NAMES)
+    return base.join(qs, "skim_variable", "left")
 
 
-def _top_counts(df: DataFrame, c: str, k: int = 4, width: int = 3) -> DataFrame:
-    """'abc: n, ...' for the ``k`` most frequent values (ties by value). The
-    top-k is a per-partition TopK merged on k rows, never a full sort."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+def _top_counts(counts: DataFrame, c: str, k: int = 4, width: int = 3) -> DataFrame:
+    """'abc: n, ...' for the ``k`` most frequent values (ties by value) of a
+    (value, n) table. The top-k is a per-partition TopK merged on k rows."""
     top = counts.orderBy(F.col("n").desc(), F.col(c).asc()).limit(k)
     items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(c).alias("v"),
                                                  F.col("n").alias("n"))))
     label = F.transform(items, lambda s: F.concat(F.substring(s["v"], 1, width), F.lit(": "),
                                                   s["n"].cast("string")))
-    return top.agg(F.array_join(label, ", ").alias("top_counts")).withColumn(
-        "skim_variable", F.lit(c))
+    return top.agg(F.array_join(label, ", ").alias("top_counts"))
 
 
 def profile_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """skim_variable, n_missing, complete_rate, n_unique, top_counts."""
+    """skim_variable, n_missing, complete_rate, n_unique, top_counts.
+
+    Value counts of all columns come from one pass over the unpivoted values
+    (checkpointed); each column's distinct count and top values are read from
+    that table, instead of a multi-distinct aggregation that would replicate
+    every row once per column into the shuffle.
+    """
     cols = cols or columns_of_type(df, "categorical")
-    base = _base(df, cols, lambda c: [("n_unique", F.count_distinct(F.col(c)))])
+    base = _base(df, cols, lambda c: [])
+    counts = (long_values(df, cols).where(F.col("value").isNotNull())
+              .groupBy("skim_variable", "value").agg(F.count(F.lit(1)).alias("n"))
+              .checkpoint(eager=True))
+    uniq = counts.groupBy("skim_variable").agg(F.count(F.lit(1)).alias("n_unique"))
     tops = None
     for c in cols:
-        t = _top_counts(df, c)
+        t = _top_counts(counts.where(F.col("skim_variable") == c), "value").withColumn(
+            "skim_variable", F.lit(c))
         tops = t if tops is None else tops.unionByName(t)
-    return base.join(tops, "skim_variable")
+    return (base.join(uniq, "skim_variable", "left").join(tops, "skim_variable", "left")
+            .withColumn("n_unique", F.coalesce(F.col("n_unique"), F.lit(0))))
 
 
 def profile_date(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """skim_variable, n_missing, complete_rate, min, max, median, n_unique.
 
     The median of an even count falls between two days; it is floored to a day.
+    Distinct count and median of all columns come from one grouped pass.
     """
     cols = cols or columns_of_type(df, "date")
     base = _base(df, cols, lambda c: [
-        ("min", F.min(F.col(c).cast("date"))), ("max", F.max(F.col(c).cast("date"))),
-        ("n_unique", F.count_distinct(F.col(c).cast("date")))])
-    meds = None
-    for c in cols:
-        src = df.select(F.unix_date(F.col(c).cast("date")).alias("__v"))
-        q = exact_quantiles(src, "__v", [0.5], ["__med"]).select(
-            F.lit(c).alias("skim_variable"),
-            F.date_from_unix_date(F.floor("__med").cast("int")).alias("median"))
-        meds = q if meds is None else meds.unionByName(q)
-    return base.join(meds, "skim_variable")
+        ("min", F.min(F.col(c).cast("date"))), ("max", F.max(F.col(c).cast("date")))])
+    days = long_values(df.select(*[F.unix_date(F.col(c).cast("date")).alias(c) for c in cols]), cols)
+    med = grouped_quantiles(days, ["skim_variable"], "value", [0.5], ["__med"],
+                            distinct_name="n_unique")
+    med = med.select("skim_variable", "n_unique",
+                     F.date_from_unix_date(F.floor("__med").cast("int")).alias("median"))
+    return (base.join(med, "skim_variable", "left")
+            .withColumn("n_unique", F.coalesce(F.col("n_unique"), F.lit(0))))
 
 
 def profile_boolean(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -79,3 +79,20 @@ def test_boxplot_whisker_stops_before_outlier(spark):
     assert s.ymax == 5.0 and s.n_outliers == 1 and s.middle == 3.5
     out = cd.boxplot_outliers(df, ["g"], "v").collect()
     assert [r.v for r in out] == [100.0]
+
+
+def test_grouped_quantiles_both_paths(spark):
+    from dealflow.operators.ordering import grouped_quantiles
+    random.seed(5)
+    rows = [(random.choice(["a", "b", None]),
+             float(random.randint(0, 300)) if random.random() > 0.05 else None)
+            for _ in range(3000)] + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs, names = [0, 0.25, 0.5, 0.75, 1], ["q0", "q1", "q2", "q3", "q4"]
+    ref = {r.g: list(r.p) for r in df.groupBy("g").agg(F.percentile("v", probs).alias("p")).collect()}
+    for bound in (10**6, 5):  # built-in percentile path, then distributed rank selection
+        got = {r.g: [r[n] for n in names]
+               for r in grouped_quantiles(df, ["g"], "v", probs, names, max_values=bound).collect()}
+        assert set(got) == set(ref)
+        for k in ref:
+            assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], ref[k])), (bound, k)
