@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dealflow.functions.names import clean_names
 from dealflow.functions.scalars import DEFAULT_DATE_ORDERS, replace_all, to_date_column
@@ -31,10 +32,16 @@ RAW_TEAM_LABEL, TEAM_LABEL = "TEAM SMB", "SMB"
 
 def ingest(df: DataFrame, date_orders: Sequence[str] = DEFAULT_DATE_ORDERS,
            id_col: str = "id", id_order: Sequence[str] | None = None,
-           drop_empty: bool = True) -> DataFrame:
-    """Clean names, drop empty rows/columns, type date columns, ensure an id."""
+           drop_empty: bool | str = True) -> DataFrame:
+    """Clean names, drop empty rows/columns, type date columns, ensure an id.
+
+    ``drop_empty="rows"`` drops all-NULL rows only (lazily) and leaves the
+    column check to a later pass over stored data (see ``materialize``).
+    """
     df = clean_names(df)
-    if drop_empty:
+    if drop_empty == "rows":
+        df = io.remove_empty(df, rows=True, cols=False)
+    elif drop_empty:
         df = io.remove_empty(df)
     for c in names_containing(df, "date"):
         df = df.withColumn(c, to_date_column(df, c, date_orders))
@@ -83,13 +90,25 @@ class SalesAnalysis:
                                        lambda c: replace_all(c, RAW_TEAM_LABEL, TEAM_LABEL))
         return self._v1
 
-    def materialize(self, path: str | None = None) -> SalesAnalysis:
+    def materialize(self, path: str | None = None,
+                    drop_empty_of: Sequence[str] = ()) -> SalesAnalysis:
         """Write ``v1`` once as Parquet in the shared folder; every later frame
-        reads it (with column pruning) instead of re-running scan and joins."""
+        reads it (with column pruning) instead of re-running scan and joins.
+
+        ``drop_empty_of``: input columns whose emptiness was not checked at
+        ingest; they are checked here with one columnar pass over the stored
+        table (instead of a second evaluation of the input) and dropped if
+        NULL everywhere.
+        """
         spark = self.v1.sparkSession
         path = path or shared_path(spark, "v1")
         self.v1.write.mode("overwrite").parquet(path)
-        self._v1 = spark.read.parquet(path)
+        v1 = spark.read.parquet(path)
+        check = [c for c in drop_empty_of if c in v1.columns]
+        if check:
+            filled = v1.agg(*[F.count(F.col(c)).alias(c) for c in check]).first()
+            v1 = v1.drop(*[c for c in check if filled[c] == 0])
+        self._v1 = v1
         for k in ("v2", "stage_medians", "imputed", "closed"):
             self.__dict__.pop(k, None)
         return self
@@ -131,7 +150,9 @@ def analysis(spark: SparkSession, sf_dir: str) -> SalesAnalysis:
 def prepare(spark: SparkSession, sf_dir: str, path: str | None = None) -> SalesAnalysis:
     """Ingest, join and clean once, write ``v1`` to the shared folder, and let
     later ``analysis`` calls in this session start from it."""
-    a = SalesAnalysis.from_testdata(spark, sf_dir).materialize(path)
+    opps = ingest(testdata.opportunities(spark, sf_dir), drop_empty="rows")
+    reps = ingest_rep_team(testdata.sales_rep_team(spark, sf_dir))
+    a = SalesAnalysis(opps, reps).materialize(path, drop_empty_of=opps.columns)
     _PREPARED[(id(spark), sf_dir)] = a
     return a
 
