@@ -129,14 +129,6 @@ def quantiles_from_counts(counts: DataFrame, value: str, count: str, probs: Sequ
 GROUP_STATE_MAX_VALUES = 1_000_000
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                       probs: Sequence[float], names: Sequence[str],
                       max_values: int = GROUP_STATE_MAX_VALUES,

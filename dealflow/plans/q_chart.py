@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dealflow.operators import chartdata as cd
-from dealflow.operators import metrics as m
 from dealflow.plans.catalog import r6, register, with_base
 from dealflow.plans.q_core import _TEAM_CONVERSION_SQL, _team_conversion
 from dealflow.plans.flow import analysis
