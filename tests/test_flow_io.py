@@ -62,3 +62,16 @@ def test_csv_round_trip_and_export(spark):
     assert _rows(exported["x"]) == _rows(df)
     head = io.preview_head(spark.range(100).withColumn("v", F.col("id") * 2), "id", 6)
     assert [r.id for r in head.collect()] == [0, 1, 2, 3, 4, 5]
+
+
+def test_report_runs(spark):
+    from dealflow.plans.report import EXPORT_NAMES, run_report
+    a = prepare(spark, SF_SMALL)
+    try:
+        res = run_report(spark, a, tempfile.mkdtemp(prefix="dealflow-report-"), seed=1, show=False)
+    finally:
+        forget(spark, SF_SMALL)
+    for name in EXPORT_NAMES:
+        assert res[name].count() > 0
+    assert res["remaining_missing"].count() == 0
+    assert {"profile_numeric", "profile_categorical", "profile_date", "profile_boolean"} <= set(res)
