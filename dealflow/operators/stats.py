@@ -127,7 +127,7 @@ def _fisher_stat(tables: np.ndarray) -> np.ndarray:
 
 
 def _simulate(spark: SparkSession, matrix: np.ndarray, replicates: int, seed: int,
-              kind: str, block: int = 500) -> int:
+              kind: str, block: int = 500, partitions: int | None = None) -> int:
     """Count replicates at least as extreme as the observed table."""
     rows, cols = matrix.sum(axis=1), matrix.sum(axis=0)
     total = matrix.sum()
@@ -153,7 +153,7 @@ def _simulate(spark: SparkSession, matrix: np.ndarray, replicates: int, seed: in
                     hits.append(int((_fisher_stat(tabs) <= thresh).sum()))
             yield pd.DataFrame({"hits": pd.Series(hits, dtype="int64")})
 
-    parts = max(1, min(n_blocks, spark.sparkContext.defaultParallelism))
+    parts = max(1, min(n_blocks, partitions or spark.sparkContext.defaultParallelism))
     blocks = spark.range(0, n_blocks, numPartitions=parts)
     return int(blocks.mapInPandas(run, "hits long").agg(F.sum("hits")).first()[0] or 0)
 
@@ -194,8 +194,12 @@ def chi2_sf(x: float, k: int) -> float:
 
 
 def chi_square_mc(spark: SparkSession, long: DataFrame, row: str, col: str,
-                  count: str = "n", replicates: int = 10000, seed: int = 0) -> DataFrame:
-    """Chi-square test with a Monte-Carlo p-value: (1 + #{sim >= obs}) / (B + 1)."""
+                  count: str = "n", replicates: int = 10000, seed: int = 0,
+                  partitions: int | None = None) -> DataFrame:
+    """Chi-square test with a Monte-Carlo p-value: (1 + #{sim >= obs}) / (B + 1).
+
+    Replicates run in blocks of 500 spread over ``partitions`` tasks (default:
+    the cluster's parallelism); the p-value does not depend on that choice."""
     _, _, mat = table_to_matrix(long, row, col, count)
     if mat.shape[0] < 2 or mat.shape[1] < 2:
         raise ValueError("chi-square needs at least a 2 x 2 table with non-zero margins")
@@ -203,7 +207,7 @@ def chi_square_mc(spark: SparkSession, long: DataFrame, row: str, col: str,
     expected = np.outer(rows, cols) / mat.sum()
     stat = float(_chisq_stat(mat[None], expected)[0])
     dof = (mat.shape[0] - 1) * (mat.shape[1] - 1)
-    hits = _simulate(spark, mat, replicates, seed, "chisq")
+    hits = _simulate(spark, mat, replicates, seed, "chisq", partitions=partitions)
     p = (1 + hits) / (replicates + 1)
     return spark.createDataFrame(
         [(stat, dof, p, chi2_sf(stat, dof), replicates, seed)],
@@ -231,7 +235,8 @@ def _fisher_2x2(mat: np.ndarray) -> float:
 
 
 def fisher_mc(spark: SparkSession, long: DataFrame, row: str, col: str,
-              count: str = "n", replicates: int = 2000, seed: int = 0) -> DataFrame:
+              count: str = "n", replicates: int = 2000, seed: int = 0,
+              partitions: int | None = None) -> DataFrame:
     """Fisher's exact test: exact for 2 x 2, otherwise Monte-Carlo with the
     table probability (-sum log x!) as statistic."""
     _, _, mat = table_to_matrix(long, row, col, count)
@@ -240,7 +245,7 @@ def fisher_mc(spark: SparkSession, long: DataFrame, row: str, col: str,
     if mat.shape == (2, 2):
         return spark.createDataFrame([(_fisher_2x2(mat), "exact", 0, seed)],
                                      "p_value double, method string, replicates long, seed long")
-    hits = _simulate(spark, mat, replicates, seed, "fisher")
+    hits = _simulate(spark, mat, replicates, seed, "fisher", partitions=partitions)
     p = (1 + hits) / (replicates + 1)
     return spark.createDataFrame([(p, "simulated", replicates, seed)],
                                  "p_value double, method string, replicates long, seed long")

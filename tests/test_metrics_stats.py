@@ -144,3 +144,12 @@ def test_sampler_large_margins():
     tabs = st._sample_tables(rng, rows, cols, 50)
     assert (tabs.sum(axis=2) == rows).all() and (tabs.sum(axis=1) == cols).all()
     assert (tabs >= 0).all()
+
+
+def test_monte_carlo_independent_of_partitioning(spark):
+    long = _table_3x2(spark)
+    ps = {st.chi_square_mc(spark, long, "team", "deal_outcome", replicates=3000, seed=11,
+                           partitions=k).first().p_value for k in (1, 4, 7)}
+    fs = {st.fisher_mc(spark, long, "team", "deal_outcome", replicates=1500, seed=11,
+                       partitions=k).first().p_value for k in (1, 3)}
+    assert len(ps) == 1 and len(fs) == 1
