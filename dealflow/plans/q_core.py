@@ -74,8 +74,8 @@ FROM (SELECT team,
       FROM closed WHERE deal_outcome IN ('Won', 'Lost') GROUP BY team)"""
 
 
-def _team_conversion(spark, sf):
-    t = m.team_conversion(analysis(spark, sf).closed_deals)
+def _team_conversion(spark, sf, a=None):
+    t = m.team_conversion((a or analysis(spark, sf)).closed_deals)
     return t.withColumn("team_rank", F.col("team_rank").cast("long"))
 
 
@@ -83,7 +83,7 @@ def _team_conversion(spark, sf):
 def export_tables_q(spark, sf):
     a = analysis(spark, sf)
     tables = {
-        "team_conversion_rates": _team_conversion(spark, sf),
+        "team_conversion_rates": _team_conversion(spark, sf, a),
         "average_revenue_won": m.won_revenue_by_team(a.closed_deals),
         "average_cycle_by_outcome": m.avg_cycle_by_outcome(a.closed_deals),
         "team_level_median_cycle_days": m.team_cycle_medians(a.closed_deals),

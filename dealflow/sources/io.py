@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,14 +79,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
 
 
 def export_tables(tables: dict[str, DataFrame], out_dir: str | None = None,
-                  fmt: str = "parquet") -> dict[str, DataFrame]:
+                  fmt: str = "parquet", parallel: int = 4) -> dict[str, DataFrame]:
     """Write each named result table under ``out_dir`` (default: a fresh
-    folder below the shared checkpoint folder); return the read-back frames."""
-    out = {}
-    for name, df in tables.items():
+    folder below the shared checkpoint folder); return the read-back frames.
+
+    The writes are submitted from up to ``parallel`` driver threads, so small
+    result tables are computed and written side by side.
+    """
+    def one(item):
+        name, df = item
         base = out_dir.rstrip("/") + "/" + name if out_dir else shared_path(df.sparkSession, name)
-        out[name] = write_table(df, base, fmt)
-    return out
+        return name, write_table(df, base, fmt)
+
+    items = list(tables.items())
+    if parallel <= 1 or len(items) <= 1:
+        return dict(map(one, items))
+    with ThreadPoolExecutor(max_workers=min(parallel, len(items))) as pool:
+        return dict(pool.map(one, items))
 
 
 def preview_head(df: DataFrame, order: str | list[str] = "id", n: int = 6) -> DataFrame:
