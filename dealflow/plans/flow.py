@@ -91,10 +91,15 @@ class SalesAnalysis:
         return self._v1
 
     def materialize(self, path: str | None = None,
-                    drop_empty_of: Sequence[str] = ()) -> SalesAnalysis:
+                    drop_empty_of: Sequence[str] = (),
+                    partition_by: Sequence[str] = ()) -> SalesAnalysis:
         """Write ``v1`` once as Parquet in the shared folder; every later frame
         reads it (with column pruning) instead of re-running scan and joins.
 
+        ``partition_by``: low-cardinality label columns (the pipeline stage)
+        to lay the table out by, so filters on them prune whole directories.
+        Each write task produces at most one file per label value.
+
         ``drop_empty_of``: input columns whose emptiness was not checked at
         ingest; they are checked here with one columnar pass over the stored
         table (instead of a second evaluation of the input) and dropped if
@@ -102,8 +107,9 @@ class SalesAnalysis:
         """
         spark = self.v1.sparkSession
         path = path or shared_path(spark, "v1")
-        self.v1.write.mode("overwrite").parquet(path)
-        v1 = spark.read.parquet(path)
+        schema = self.v1.schema
+        self.v1.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        v1 = spark.read.schema(schema).parquet(path).select(*schema.names)
         check = [c for c in drop_empty_of if c in v1.columns]
         if check:
             filled = v1.agg(*[F.count(F.col(c)).alias(c) for c in check]).first()
@@ -152,7 +158,8 @@ def prepare(spark: SparkSession, sf_dir: str, path: str | None = None) -> SalesA
     later ``analysis`` calls in this session start from it."""
     opps = ingest(testdata.opportunities(spark, sf_dir), drop_empty="rows")
     reps = ingest_rep_team(testdata.sales_rep_team(spark, sf_dir))
-    a = SalesAnalysis(opps, reps).materialize(path, drop_empty_of=opps.columns)
+    a = SalesAnalysis(opps, reps).materialize(path, drop_empty_of=opps.columns,
+                                              partition_by=["stage"])
     _PREPARED[(id(spark), sf_dir)] = a
     return a
 
