@@ -37,6 +37,7 @@ def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
     counts = (df.where(x.isNotNull()).select(F.least(b, F.lit(bins)).cast("long").alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     frame = df.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin")
+    # counts has at most ``bins`` rows by construction: safe to broadcast
     xmin = F.lit(origin) + (F.col("bin") - 1) * F.lit(width)
     return (frame.join(F.broadcast(counts), "bin", "left")
             .select("bin", xmin.alias("xmin"), (xmin + F.lit(width)).alias("xmax"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dealflow.operators.aggregates import count_where
 from dealflow.operators.joins import maybe_broadcast
-from dealflow.operators.ordering import mid_ranks
+from dealflow.operators.ordering import fits, mid_ranks
 
 try:  # ship this module's sampler to executors by value: no install needed there
     from pyspark import cloudpickle as _cp
@@ -57,8 +57,17 @@ def chi_square(long: DataFrame, row: str, col: str, count: str = "n") -> DataFra
         ((F.count_distinct(F.struct(row)) - 1) * (F.count_distinct(F.struct(col)) - 1)).cast("long").alias("df"))
 
 
+# Largest contingency table (cells) the Monte-Carlo tests bring to the driver
+# and ship to every replicate task.
+MAX_TABLE_CELLS = 1_000_000
+
+
 def table_to_matrix(long: DataFrame, row: str, col: str, count: str = "n"):
-    """Collect the (small) contingency table into labels and a matrix."""
+    """Collect the contingency table (labels x outcomes, not data rows) into
+    labels and a matrix, after checking its size."""
+    if not fits(long, MAX_TABLE_CELLS):
+        raise ValueError(f"contingency table over {MAX_TABLE_CELLS} cells; use chi_square for "
+                         "the statistic (computed distributed) instead of a Monte-Carlo test")
     pdf = long.select(row, col, count).toPandas()
     mat = pdf.pivot_table(index=row, columns=col, values=count, aggfunc="sum",
                           fill_value=0, dropna=False)
