@@ -32,13 +32,19 @@ RAW_TEAM_LABEL, TEAM_LABEL = "TEAM SMB", "SMB"
 
 def ingest(df: DataFrame, date_orders: Sequence[str] = DEFAULT_DATE_ORDERS,
            id_col: str = "id", id_order: Sequence[str] | None = None,
-           drop_empty: bool | str = True) -> DataFrame:
-    """Clean names, drop empty rows/columns, type date columns, ensure an id.
-
-    ``drop_empty="rows"`` drops all-NULL rows only (lazily) and leaves the
-    column check to a later pass over stored data (see ``materialize``).
+           drop_empty: bool | str = True, types: dict[str, str] | None = None) -> DataFrame:
+    """Clean names, apply declared types, drop empty rows/columns, type date
+    columns, ensure an id.
+
+    ``types`` maps cleaned column names to Spark types for text sources;
+    values that do not convert become NULL. ``drop_empty="rows"`` drops
+    all-NULL rows only (lazily) and leaves the column check to a later pass
+    over stored data (see ``materialize``).
     """
     df = clean_names(df)
+    for c, t in (types or {}).items():
+        if c in df.columns and df.schema[c].dataType.simpleString() != t:
+            df = df.withColumn(c, F.col(c).try_cast(t))
     if drop_empty == "rows":
         df = io.remove_empty(df, rows=True, cols=False)
     elif drop_empty:

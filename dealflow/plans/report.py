@@ -83,7 +83,8 @@ def main(argv: list[str] | None = None) -> None:
     else:
         if not (args.opportunities and args.rep_team):
             ap.error("--opportunities and --rep-team are required without --testdata")
-        opps = ingest(io.read_opportunities(spark, args.opportunities, args.format))
+        types = io.OPPORTUNITY_TYPES if args.format == "csv" else None
+        opps = ingest(io.read_opportunities(spark, args.opportunities, args.format), types=types)
         reps = ingest_rep_team(io.read_rep_team(spark, args.rep_team, args.format))
         a = SalesAnalysis(opps, reps).materialize()
     run_report(spark, a, args.out, args.seed)

@@ -27,17 +27,23 @@ REP_TEAM_SCHEMA = T.StructType([
 ])
 
 
+# Column types of the two inputs by cleaned name, applied after name cleaning
+# when the source carries no types (CSV read as text).
+OPPORTUNITY_TYPES = {f.name: f.dataType.simpleString() for f in OPPORTUNITY_SCHEMA.fields
+                     if not isinstance(f.dataType, (T.StringType, T.DateType))}
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType | None = None, **options) -> DataFrame:
     """Parquet (schema from the files, or the given one) or CSV with header.
 
+    CSV without a schema is read as text: no inference pass over the data;
+    types are applied by name afterwards (``ingest(..., types=...)``).
     Filters and projections applied later reach the scan through Catalyst.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true")
-        if schema is None:
-            reader = reader.option("inferSchema", "true")
     if schema is not None:
         reader = reader.schema(schema)
     return reader.options(**options).load(path)

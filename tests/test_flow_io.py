@@ -75,3 +75,21 @@ def test_report_runs(spark):
         assert res[name].count() > 0
     assert res["remaining_missing"].count() == 0
     assert {"profile_numeric", "profile_categorical", "profile_date", "profile_boolean"} <= set(res)
+
+
+def test_csv_text_ingest_with_types(spark):
+    out = tempfile.mkdtemp(prefix="dealflow-csv-")
+    raw = spark.createDataFrame(
+        [("Ann Lee", "Acme", "NEW", "2020-01-05", None, "12", "x"),
+         ("Bob Ray", "Beta", "Closed Won", "01/07/2020", "2020-02-01", "7", "35.5")],
+        "`Opportunity Owner` string, Company string, Stage string, `Created Date` string, "
+        "`Last Stage Change Date` string, Employees string, `Sold Price Per Registered Member` string")
+    raw.coalesce(1).write.option("header", "true").csv(os.path.join(out, "o"))
+    text = io.read_opportunities(spark, os.path.join(out, "o"), "csv")
+    assert all(t == "string" for _, t in text.dtypes)
+    opps = ingest(text, id_order=["opportunity_owner"], types=io.OPPORTUNITY_TYPES)
+    d = dict(opps.dtypes)
+    assert d["employees"] == "int" and d["sold_price_per_registered_member"] == "double"
+    got = {r.opportunity_owner: r for r in opps.collect()}
+    assert got["Ann Lee"].sold_price_per_registered_member is None  # "x" does not convert
+    assert got["Bob Ray"].employees == 7 and got["Bob Ray"].created_date is None  # default orders
