@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # delete checkpoint files once the frames using them are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
