@@ -3,9 +3,10 @@
 Spark has no cheap global running count: an unpartitioned window sends every
 row to one task. These helpers range-partition the data, checkpoint it (which
 fixes partition ids and makes recomputation after a lost executor consistent),
-derive per-partition offsets from a table with one row per partition, and add
-them back. The offsets table is bounded by the partition count, so it is the
-only thing broadcast.
+collect one total per partition, and add the exclusive prefix of those totals
+back as a literal array indexed by partition id. Running sums inside a
+partition use a window over that partition only; range partitioning of
+distinct values keeps those partitions balanced.
 """
 
 from __future__ import annotations
