@@ -55,9 +55,11 @@ def row_id(df: DataFrame, order: Sequence[Column | str], name: str = "id",
 
     Equivalent to ``row_number() over (order by ...)`` without funnelling the
     table through one task: rows are range-partitioned and checkpointed, and
-    each partition adds the row count of the partitions before it.
+    each partition adds the row count of the partitions before it. Ties in
+    ``order`` are broken by a hash of the row, so a key shared by many rows
+    is spread over many partitions instead of landing in one.
     """
-    tagged = _tag_partitions(df, order)
+    tagged = _tag_partitions(df, [*order, F.xxhash64(*df.columns)])
     offset, _ = _partition_offsets(tagged, F.lit(1))
     first_m = F.shiftleft(F.col("_ord_p").cast("long"), 33)  # id of a partition's first row
     out = tagged.withColumn(name, F.col("_ord_m") - first_m + offset + F.lit(start))

@@ -96,3 +96,20 @@ def test_grouped_quantiles_both_paths(spark):
         assert set(got) == set(ref)
         for k in ref:
             assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], ref[k])), (bound, k)
+
+
+def test_row_id_spreads_a_hot_key(spark):
+    hot = spark.range(0, 20000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")  # keep the range partitions visible at this tiny size
+    try:
+        ids = row_id(hot, ["k"], "rid")
+        per_part = ids.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(key, old)
+    assert ids.agg(F.min("rid"), F.max("rid"), F.countDistinct("rid")).first() == (1, 20000, 20000)
+    assert max(r["count"] for r in per_part) < 20000 / 3  # the 6667 rows of k=7 are split
+    order = [r.k for r in ids.orderBy("rid").collect()]
+    assert order == sorted(order)
