@@ -38,19 +38,6 @@ def _case(col, mapping: dict, default=None):
     return expr.otherwise(default) if default is not None else expr
 
 
-def first_ship_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order, the first ship date on or after the order date.
-
-    Both sides are shuffled once on the order key; the aggregate reuses that
-    partitioning (no second exchange).
-    """
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
-    return (o.join(li, (li.l_orderkey == o.o_orderkey) & (li.l_shipdate >= o.o_orderdate))
-            .groupBy("o_orderkey")
-            .agg(F.min(F.col("l_shipdate").cast("date")).alias("ship_d")))
-
-
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: orders x customer, with the first ship date on or
     after the order date from lineitem.
