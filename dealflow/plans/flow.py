@@ -149,13 +149,17 @@ class SalesAnalysis:
         return closed_stages(self.closed, self.stage)
 
 
-_PREPARED: dict[tuple[int, str], SalesAnalysis] = {}
+_PREPARED: dict[tuple[str, str], SalesAnalysis] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/")
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> SalesAnalysis:
     """The analysis over a test folder: the prepared (written) one if
     ``prepare`` ran in this session, else a lazily planned one."""
-    found = _PREPARED.get((id(spark), sf_dir))
+    found = _PREPARED.get(_key(spark, sf_dir))
     return found if found is not None else SalesAnalysis.from_testdata(spark, sf_dir)
 
 
@@ -166,12 +170,12 @@ def prepare(spark: SparkSession, sf_dir: str, path: str | None = None) -> SalesA
     reps = ingest_rep_team(testdata.sales_rep_team(spark, sf_dir))
     a = SalesAnalysis(opps, reps).materialize(path, drop_empty_of=opps.columns,
                                               partition_by=["stage"])
-    _PREPARED[(id(spark), sf_dir)] = a
+    _PREPARED[_key(spark, sf_dir)] = a
     return a
 
 
 def forget(spark: SparkSession, sf_dir: str) -> None:
-    _PREPARED.pop((id(spark), sf_dir), None)
+    _PREPARED.pop(_key(spark, sf_dir), None)
 
 
 __all__ = ["SalesAnalysis", "analysis", "forget", "ingest", "ingest_rep_team", "prepare"]
