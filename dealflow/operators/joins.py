@@ -6,23 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealflow.operators.ordering import fits
 
-# Largest lookup we broadcast without asking the planner. Above it the join
-# is left to Spark (sort-merge, or a runtime broadcast chosen by AQE from
+# Largest lookup we broadcast without asking the planner, in bytes; the row
+# bound follows from a per-row width estimated from the schema. Above it the
+# join is left to Spark (sort-merge, or a runtime broadcast chosen by AQE from
 # measured sizes), with AQE skew handling for hot keys.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 BROADCAST_MAX_ROWS = 2_000_000
+_WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4,
+          T.LongType: 8, T.DoubleType: 8, T.FloatType: 4, T.TimestampType: 8,
+          T.TimestampNTZType: 8, T.DecimalType: 16, T.StringType: 48}
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if fits(df, max_rows) else df
+def row_width(schema: T.StructType) -> int:
+    """Rough bytes per row of a hash-joined broadcast table (strings counted
+    generously; nested types at 256 bytes)."""
+    return 16 + sum(_WIDTH.get(type(f.dataType), 256) for f in schema.fields)
+
+
+def broadcast_row_bound(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> int:
+    return max(1, min(BROADCAST_MAX_ROWS, max_bytes // row_width(df.schema)))
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when a bounded count proves it small (at most
+    ``max_rows`` rows; default from the byte budget and the row width)."""
+    bound = broadcast_row_bound(df) if max_rows is None else max_rows
+    return F.broadcast(df) if fits(df, bound) else df
 
 
 def lookup_join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
                 right_on: str | Sequence[str] | None = None, how: str = "left",
                 null_safe: bool = True, keep_right_key: bool = False,
-                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                max_broadcast_rows: int | None = None) -> DataFrame:
     """Join ``right`` onto ``left`` by keys that may be named differently.
 
     NULL keys match each other (``null_safe``), as in the analysis this
@@ -50,7 +69,7 @@ def lookup_join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
 
 
 def attach_group_stat(detail: DataFrame, stats: DataFrame, keys: str | Sequence[str],
-                      max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                      max_broadcast_rows: int | None = None) -> DataFrame:
     """Left-join a per-group aggregate back onto its detail rows (NULL group
     matches NULL group). Preferred over a window, which would send every row
     of a group to one task.
