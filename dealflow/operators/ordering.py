@@ -134,7 +134,7 @@ GROUP_STATE_MAX_VALUES = 1_000_000
 
 def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                       probs: Sequence[float], names: Sequence[str],
-                      max_values: int = GROUP_STATE_MAX_VALUES,
+                      max_values: int | None = None,
                       distinct_name: str | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per group (NULL is a
     group; NULL values are skipped; a group with no values is absent).
@@ -147,6 +147,7 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     ``distinct_name`` adds the number of distinct values per group.
     """
     groups = list(groups)
+    max_values = GROUP_STATE_MAX_VALUES if max_values is None else max_values
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_g_n"))
               .checkpoint(eager=True))

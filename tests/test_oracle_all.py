@@ -45,3 +45,30 @@ def test_query_matches_oracle(spark, prepared, name):
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
     assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, res.fetchall())
+
+
+QUANTILE_QUERIES = ["stage_median_days", "impute_stage_median", "won_revenue_by_team",
+                    "avg_cycle_by_outcome", "team_cycle_medians", "cycle_boxplot",
+                    "cycle_outliers", "profile_numeric", "profile_date", "imputation_summary"]
+
+
+@pytest.mark.parametrize("name", QUANTILE_QUERIES)
+def test_rank_selection_path_matches_oracle(spark, name, monkeypatch):
+    """Every grouped median/quartile forced through the distributed rank
+    selection (the path taken when a group is too wide for one task)."""
+    from dealflow.operators import ordering
+    from dealflow.plans.flow import forget
+    forget(spark, SF_SMALL)  # plan from the tables, not from a prepared analysis
+    monkeypatch.setattr(ordering, "GROUP_STATE_MAX_VALUES", 1)
+    calls = []
+    real = ordering._grouped_rank_select
+    monkeypatch.setattr(ordering, "_grouped_rank_select",
+                        lambda *a, **k: calls.append(1) or real(*a, **k))
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    sdf = entry.queries()[name](spark, SF_SMALL)
+    res = con.execute(entry.oracle_sql()[name])
+    dcols = [d[0] for d in res.description]
+    assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, res.fetchall())
+    assert calls, "rank selection path was not used"
