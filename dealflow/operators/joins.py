@@ -27,15 +27,17 @@ def row_width(schema: T.StructType) -> int:
     return 16 + sum(_WIDTH.get(type(f.dataType), 256) for f in schema.fields)
 
 
-def broadcast_row_bound(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> int:
-    return max(1, min(BROADCAST_MAX_ROWS, max_bytes // row_width(df.schema)))
+def broadcast_row_bound(df: DataFrame, max_bytes: int | None = None) -> int:
+    """Rows that fit the byte budget (0 when not even one row does)."""
+    budget = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    return min(BROADCAST_MAX_ROWS, budget // row_width(df.schema))
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when a bounded count proves it small (at most
     ``max_rows`` rows; default from the byte budget and the row width)."""
     bound = broadcast_row_bound(df) if max_rows is None else max_rows
-    return F.broadcast(df) if fits(df, bound) else df
+    return F.broadcast(df) if bound > 0 and fits(df, bound) else df
 
 
 def lookup_join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],

@@ -1,6 +1,8 @@
 """Every SQL-checkable query against its DuckDB oracle at sf0.001."""
 
+import contextlib
 import datetime as dt
+import io
 import math
 
 import duckdb
@@ -72,3 +74,37 @@ def test_rank_selection_path_matches_oracle(spark, name, monkeypatch):
     dcols = [d[0] for d in res.description]
     assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, res.fetchall())
     assert calls, "rank selection path was not used"
+
+
+JOIN_QUERIES = ["join_rep_team", "join_stage_median", "impute_stage_median", "team_conversion",
+                "factor_codes", "spearman_size_cycle", "cycle_boxplot", "scan_opportunities",
+                "won_revenue_by_team", "team_cycle_medians"]
+
+
+@pytest.mark.parametrize("name", JOIN_QUERIES)
+def test_shuffle_join_path_matches_oracle(spark, name, monkeypatch):
+    """Every lookup too big to broadcast: shuffle joins (null-safe keys) only,
+    as on large inputs."""
+    from dealflow.operators import joins
+    from dealflow.plans.flow import forget
+    forget(spark, SF_SMALL)
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 1)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+        sdf = entry.queries()[name](spark, SF_SMALL)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            sdf.explain()
+        plan = buf.getvalue()
+        got = [tuple(r) for r in sdf.collect()]
+        res = con.execute(entry.oracle_sql()[name])
+        dcols = [d[0] for d in res.description]
+        assert _rows(sdf.columns, got) == _rows(dcols, res.fetchall())
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set(key, old)
