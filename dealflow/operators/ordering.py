@@ -79,6 +79,42 @@ def weighted_prefix(df: DataFrame, value: str, weight: str,
     return out.drop("_ord_p", "_ord_m"), total
 
 
+def keyed_prefix(df: DataFrame, key: str, value: str, weight: str,
+                 name: str = "cum_before") -> DataFrame:
+    """``weighted_prefix`` restarted for each of a few ``key`` values (e.g. the
+    variables of a correlation): one sort for all keys. (key, value) must be
+    unique. The offsets are a literal map with one entry per (partition, key),
+    so this is meant for a handful of keys."""
+    tagged = _tag_partitions(df, [F.col(key).asc(), F.col(value).asc()])
+    rows = tagged.groupBy("_ord_p", key).agg(F.sum(weight).alias("t")).collect()
+    running: dict = {}
+    entries = []
+    for r in sorted(rows, key=lambda r: r["_ord_p"]):
+        k = r[key]
+        entries += [F.lit(f"{r['_ord_p']}|{k}"), F.lit(running.get(k, 0)).cast("long")]
+        running[k] = running.get(k, 0) + int(r["t"] or 0)
+    lookup = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(0).cast("long"))
+    offset = F.element_at(lookup, F.concat_ws("|", F.col("_ord_p").cast("string"), F.col(key)))
+    within = (Window.partitionBy("_ord_p", key).orderBy(F.col(value).asc())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    out = tagged.withColumn(name, offset + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    return out.drop("_ord_p", "_ord_m")
+
+
+def mid_ranks_of(df: DataFrame, columns: Sequence[str], rank_names: Sequence[str]) -> list[DataFrame]:
+    """Mid-rank tables (value, rank) of several numeric columns from one
+    value-count pass and one range sort."""
+    cols = list(columns)
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_mr_k"), F.col(c).cast("double").alias("_mr_v")) for c in cols])))
+    counts = (long.where(F.col("_mr_v").isNotNull())
+              .groupBy("_mr_k", "_mr_v").agg(F.count(F.lit(1)).alias("_mr_n")))
+    pref = keyed_prefix(counts, "_mr_k", "_mr_v", "_mr_n", "_mr_cb")
+    ranked = pref.select("_mr_k", "_mr_v", (F.col("_mr_cb") + (F.col("_mr_n") + 1) / 2.0).alias("_mr_r"))
+    return [ranked.where(F.col("_mr_k") == c).select(F.col("_mr_v").alias(c), F.col("_mr_r").alias(r))
+            for c, r in zip(cols, rank_names)]
+
+
 def value_counts(df: DataFrame, value: str, count: str = "n") -> DataFrame:
     """Non-null distinct values with their multiplicity (map-side combined)."""
     return (df.where(F.col(value).isNotNull())

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dealflow.operators.aggregates import count_where
 from dealflow.operators.joins import maybe_broadcast
-from dealflow.operators.ordering import fits, mid_ranks
+from dealflow.operators.ordering import fits, mid_ranks_of
 
 try:  # ship this module's sampler to executors by value: no install needed there
     from pyspark import cloudpickle as _cp
@@ -263,15 +263,16 @@ def fisher_mc(spark: SparkSession, long: DataFrame, row: str, col: str,
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's rho over complete pairs with mid-ranks for ties.
 
-    Ranks come from value counts and a distributed prefix sum; each rank table
-    (one row per distinct value) is joined back, broadcast only below the
-    size bound, else shuffled with AQE skew handling for hot values.
+    Ranks of both columns come from one value-count pass and one range sort
+    with a per-column prefix sum; each rank table (one row per distinct value)
+    is joined back, broadcast only below the size bound, else shuffled with
+    AQE skew handling for hot values.
     """
     pairs = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()
                                   & ~F.isnan(F.col(x).cast("double"))
                                   & ~F.isnan(F.col(y).cast("double")))
-    rx = mid_ranks(pairs, x, "_rx")
-    ry = mid_ranks(pairs, y, "_ry")
+    rx, ry = mid_ranks_of(pairs, [x, y], ["_rx", "_ry"])
+    pairs = pairs.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
     ranked = pairs.join(maybe_broadcast(rx), x).join(maybe_broadcast(ry), y)
     return ranked.agg(F.corr("_rx", "_ry").alias("rho"),
                       F.count(F.lit(1)).alias("n_pairs"))
