@@ -113,3 +113,14 @@ def test_row_id_spreads_a_hot_key(spark):
     assert max(r["count"] for r in per_part) < 20000 / 3  # the 6667 rows of k=7 are split
     order = [r.k for r in ids.orderBy("rid").collect()]
     assert order == sorted(order)
+
+
+def test_mid_ranks_of_matches_single(spark):
+    from dealflow.operators.ordering import mid_ranks_of
+    random.seed(9)
+    rows = [(random.randint(0, 20), float(random.randint(0, 5)) if random.random() > 0.1 else None)
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "a int, b double")
+    ra, rb = mid_ranks_of(df, ["a", "b"], ["ra", "rb"])
+    assert {r.a: r.ra for r in ra.collect()} == {float(r.a): r.rank for r in mid_ranks(df, "a").collect()}
+    assert {r.b: r.rb for r in rb.collect()} == {r.b: r.rank for r in mid_ranks(df, "b").collect()}
