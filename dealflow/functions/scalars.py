@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Date orders tried in turn after separators are normalised to "-".
+# Date orders tried in turn after separators are normalised to "-".
 # The default keeps the single order that is effective in the original
 # analysis; the full list is the intended ordered fallback.
 DEFAULT_DATE_ORDERS = ("y-M-d",)

@@ -9,6 +9,7 @@ from dealflow.plans.catalog import r6, register, with_base
 from dealflow.plans.q_core import _TEAM_CONVERSION_SQL, _team_conversion
 from dealflow.plans.flow import analysis
 
+# Histogram bin count and the employee outlier cut.
 BINS = 100
 EMPLOYEE_CUT = 7000
 

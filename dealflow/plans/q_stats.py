@@ -8,6 +8,9 @@ from dealflow.operators import stats as st
 from dealflow.plans.catalog import r6, register, with_base
 from dealflow.plans.flow import analysis
 
+# Replicate counts of the two tests (chi-square 10000; Fisher
+# 2000, the usual default). The seed is ours: the original sets none.
+CHI_REPLICATES, FISHER_REPLICATES = 10000, 2000
 SEED = 20240101
 
 _LONG_SQL = """
@@ -41,13 +44,13 @@ def chi_square(spark, sf):
 @register("chi_square_mc")
 def chi_square_mc(spark, sf):
     return st.chi_square_mc(spark, _long(spark, sf), "team", "deal_outcome",
-                            replicates=10000, seed=SEED)
+                            replicates=CHI_REPLICATES, seed=SEED)
 
 
 @register("fisher_mc")
 def fisher_mc(spark, sf):
     return st.fisher_mc(spark, _long(spark, sf), "team", "deal_outcome",
-                        replicates=2000, seed=SEED)
+                        replicates=FISHER_REPLICATES, seed=SEED)
 
 
 @register("spearman_size_cycle", with_base("""
