@@ -24,6 +24,8 @@ from dealflow.operators.aggregates import null_profile
 from dealflow.operators.filters import where_missing
 from dealflow.operators.impute import imputation_summary
 from dealflow.plans.flow import SalesAnalysis, ingest, ingest_rep_team, prepare
+from dealflow.plans.q_chart import BINS, EMPLOYEE_CUT
+from dealflow.plans.q_stats import CHI_REPLICATES, FISHER_REPLICATES
 from dealflow.session import get_session
 from dealflow.sources import io
 
@@ -44,11 +46,13 @@ def run_report(spark: SparkSession, a: SalesAnalysis, out_dir: str | None = None
         "imputation_summary": imputation_summary(a.imputed),
         "remaining_missing": where_missing(a.imputed, "last_stage_change_date"),
         "price_by_stage": m.price_by_stage(a.v2),
-        "employee_histogram": cd.histogram(a.v2.where(F.col("employees") < 7000), "employees", 100),
+        "employee_histogram": cd.histogram(a.v2.where(F.col("employees") < EMPLOYEE_CUT),
+                                           "employees", BINS),
         "overall_conversion": m.overall_conversion(closed),
-        "fisher": st.fisher_mc(spark, long, "team", "deal_outcome", replicates=2000, seed=seed),
+        "fisher": st.fisher_mc(spark, long, "team", "deal_outcome",
+                               replicates=FISHER_REPLICATES, seed=seed),
         "chi_square": st.chi_square_mc(spark, long, "team", "deal_outcome",
-                                       replicates=10000, seed=seed),
+                                       replicates=CHI_REPLICATES, seed=seed),
         "lost_stage_share": m.lost_stage_share(closed),
         "spearman": st.spearman(a.closed, "employees", "sales_cycle_days"),
         "win_rate_bars": cd.win_rate_bars(rates),
