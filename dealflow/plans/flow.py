@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow.functions.names import clean_names
@@ -107,18 +107,23 @@ class SalesAnalysis:
         Each write task produces at most one file per label value.
 
         ``drop_empty_of``: input columns whose emptiness was not checked at
-        ingest; they are checked here with one columnar pass over the stored
-        table (instead of a second evaluation of the input) and dropped if
-        NULL everywhere.
+        ingest; their non-NULL counts are observed during the write itself
+        (no extra pass over input or output) and columns that are NULL
+        everywhere are dropped.
         """
         spark = self.v1.sparkSession
         path = path or shared_path(spark, "v1")
         schema = self.v1.schema
-        self.v1.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-        v1 = spark.read.schema(schema).parquet(path).select(*schema.names)
-        check = [c for c in drop_empty_of if c in v1.columns]
+        check = [c for c in drop_empty_of if c in schema.names]
+        out = self.v1
+        observed = None
         if check:
-            filled = v1.agg(*[F.count(F.col(c)).alias(c) for c in check]).first()
+            observed = Observation("non_null_counts")
+            out = out.observe(observed, *[F.count(F.col(c)).alias(c) for c in check])
+        out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        v1 = spark.read.schema(schema).parquet(path).select(*schema.names)
+        if observed is not None:
+            filled = observed.get
             v1 = v1.drop(*[c for c in check if filled[c] == 0])
         self._v1 = v1
         for k in ("v2", "stage_medians", "imputed", "closed"):

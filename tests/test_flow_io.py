@@ -93,3 +93,18 @@ def test_csv_text_ingest_with_types(spark):
     got = {r.opportunity_owner: r for r in opps.collect()}
     assert got["Ann Lee"].sold_price_per_registered_member is None  # "x" does not convert
     assert got["Bob Ray"].employees == 7 and got["Bob Ray"].created_date is None  # default orders
+
+
+def test_materialize_drops_empty_columns_observed_in_write(spark):
+    opps = spark.createDataFrame(
+        [(1, "a", "NEW", dt.date(2020, 1, 1), None, None), (2, "b", "Closed Won", dt.date(2020, 1, 2),
+                                                            dt.date(2020, 1, 5), None)],
+        "id long, opportunity_owner string, stage string, created_date date, "
+        "last_stage_change_date date, notes string")
+    reps = spark.createDataFrame([("a", "SMB")], "sales_rep string, team string")
+    a = SalesAnalysis(opps, reps).materialize(
+        tempfile.mkdtemp(prefix="dealflow-mat-") + "/v1", drop_empty_of=opps.columns,
+        partition_by=["stage"])
+    assert "notes" not in a.v1.columns and "last_stage_change_date" in a.v1.columns
+    assert a.v1.columns[:3] == ["id", "opportunity_owner", "team"]
+    assert {r.id: r.team for r in a.v1.collect()} == {1: "SMB", 2: None}
