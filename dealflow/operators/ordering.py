@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from dealflow.session import ensure_checkpoint_dir
@@ -184,10 +184,16 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     """
     groups = list(groups)
     max_values = GROUP_STATE_MAX_VALUES if max_values is None else max_values
+    pairs = Observation()
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_g_n"))
+              .observe(pairs, F.count(F.lit(1)).alias("pairs"))
               .checkpoint(eager=True))
-    widest = counts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    # no group can be wider than all (group, value) pairs together: only when
+    # that total exceeds the bound is the per-group width looked up
+    widest = pairs.get["pairs"] or 0
+    if widest > max_values:
+        widest = counts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
     if widest <= max_values:
         q = F.percentile(F.col(value).cast("double"), list(probs), F.col("_g_n"))
         extra = [F.count(F.lit(1)).alias(distinct_name)] if distinct_name else []
