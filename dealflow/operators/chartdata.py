@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealflow.functions.scalars import percent_label
+from dealflow.operators.aggregates import small_table
 from dealflow.operators.joins import attach_group_stat
-from dealflow.operators.ordering import grouped_quantiles
+from dealflow.operators.ordering import grouped_quantiles, row_id
 
 # Highlight and base bar colours of the win-rate chart.
 HIGHLIGHT_FILL, BASE_FILL = "#b96305", "#056875"
@@ -48,12 +49,17 @@ def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
 def win_rate_bars(rates: DataFrame, category: str = "team", rate: str = "conversion_rate",
                   highlight: str = "SMB") -> DataFrame:
     """Bar data: axis position ascending by rate (ties by name), percent label,
-    highlight flag and fill. Input is one row per category (small)."""
-    pos = F.row_number().over(Window.orderBy(F.col(rate).asc_nulls_first(),
-                                             F.col(category).asc_nulls_first()))
+    highlight flag and fill. Input is one row per category; positions come
+    from one window when that is proven small, else from distributed row ids."""
+    order = [F.col(rate).asc_nulls_first(), F.col(category).asc_nulls_first()]
+    rates, small = small_table(rates.select(category, rate))
+    if small:
+        placed = rates.withColumn("axis_pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    else:
+        placed = row_id(rates, order, "axis_pos")
     hl = F.coalesce(F.col(category) == F.lit(highlight), F.lit(False))
-    return rates.select(
-        category, rate, pos.cast("long").alias("axis_pos"), percent_label(rate).alias("label"),
+    return placed.select(
+        category, rate, "axis_pos", percent_label(rate).alias("label"),
         hl.alias("highlight"),
         F.when(hl, F.lit(HIGHLIGHT_FILL)).otherwise(F.lit(BASE_FILL)).alias("fill"))
 
