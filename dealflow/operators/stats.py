@@ -14,11 +14,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow.operators.aggregates import count_where
-from dealflow.operators.joins import maybe_broadcast
+from dealflow.operators.joins import join_small, maybe_broadcast
 from dealflow.operators.ordering import fits, mid_ranks_of
 
 try:  # ship this module's sampler to executors by value: no install needed there
@@ -37,25 +37,31 @@ def contingency(df: DataFrame, row: str, col: str, values: Sequence[str],
                 count: str = "n") -> DataFrame:
     """Long (row, col, n) table with explicit zeros for absent cells, over
     rows whose ``col`` is one of ``values``; columns with a zero margin are
-    dropped. One shuffle (conditional counts), then small-table work."""
+    dropped. One shuffle (conditional counts), then work on the small table."""
     sub = df.where(F.col(col).isin(list(values)))
     wide = sub.groupBy(row).agg(*[count_where(F.col(col) == v).alias(str(v)) for v in values])
-    long = wide.unpivot([row], [str(v) for v in values], col, count)
-    margin = F.sum(count).over(Window.partitionBy(col))
-    return long.withColumn("_margin", margin).where(F.col("_margin") > 0).drop("_margin")
+    margins = wide.agg(*[F.sum(str(v)).alias(str(v)) for v in values]).first()
+    kept = [str(v) for v in values if (margins[str(v)] or 0) > 0]
+    if not kept:
+        return wide.select(row, F.lit(None).cast("string").alias(col),
+                           F.lit(None).cast("long").alias(count)).where(F.lit(False))
+    return wide.unpivot([row], kept, col, count)
 
 
 def chi_square(long: DataFrame, row: str, col: str, count: str = "n") -> DataFrame:
     """Pearson statistic (no continuity correction) and degrees of freedom
-    from a long contingency table (small: one row per cell)."""
-    rt = F.sum(count).over(Window.partitionBy(row))
-    ct = F.sum(count).over(Window.partitionBy(col))
-    tot = F.sum(count).over(Window.partitionBy())
-    cells = long.select(row, col, F.col(count).cast("double").alias("_o"),
-                        (rt * ct / tot).alias("_e"))
+    from a long contingency table. Margins are grouped sums joined back to the
+    cells and the grand total a scalar: no window over the table."""
+    total = long.agg(F.sum(count)).first()[0] or 0
+    rt = long.groupBy(row).agg(F.sum(count).alias("_rt"))
+    ct = long.groupBy(col).agg(F.sum(count).alias("_ct"))
+    cells = (join_small(join_small(long, rt, row), ct, col)
+             .select(row, col, F.col(count).cast("double").alias("_o"),
+                     (F.col("_rt") * F.col("_ct") / F.lit(float(total))).alias("_e")))
     return cells.agg(
         F.sum((F.col("_o") - F.col("_e")) ** 2 / F.col("_e")).alias("statistic"),
-        ((F.count_distinct(F.struct(row)) - 1) * (F.count_distinct(F.struct(col)) - 1)).cast("long").alias("df"))
+        ((F.count_distinct(F.struct(row)) - 1) * (F.count_distinct(F.struct(col)) - 1))
+        .cast("long").alias("df"))
 
 
 # Largest contingency table (cells) the Monte-Carlo tests bring to the driver
