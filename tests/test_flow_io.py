@@ -98,7 +98,8 @@ def test_csv_text_ingest_with_types(spark):
 def test_materialize_drops_empty_columns_observed_in_write(spark):
     opps = spark.createDataFrame(
         [(1, "a", "NEW", dt.date(2020, 1, 1), None, None), (2, "b", "Closed Won", dt.date(2020, 1, 2),
-                                                            dt.date(2020, 1, 5), None)],
+                                                            dt.date(2020, 1, 5), None),
+         (3, "a", None, dt.date(2020, 1, 3), None, None)],
         "id long, opportunity_owner string, stage string, created_date date, "
         "last_stage_change_date date, notes string")
     reps = spark.createDataFrame([("a", "SMB")], "sales_rep string, team string")
@@ -107,4 +108,8 @@ def test_materialize_drops_empty_columns_observed_in_write(spark):
         partition_by=["stage"])
     assert "notes" not in a.v1.columns and "last_stage_change_date" in a.v1.columns
     assert a.v1.columns[:3] == ["id", "opportunity_owner", "team"]
-    assert {r.id: r.team for r in a.v1.collect()} == {1: "SMB", 2: None}
+    assert {r.id: (r.team, r.stage) for r in a.v1.collect()} == {
+        1: ("SMB", "NEW"), 2: (None, "Closed Won"), 3: ("SMB", None)}
+    imp = {r.id: r for r in a.imputed.collect()}
+    assert imp[3].imputed_last_stage is None and imp[3].last_stage_change_date is None
+    assert a.closed_deals.count() == 1
