@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 # The default keeps the single order that is effective in the original
 # analysis; the full list is the intended ordered fallback.
 DEFAULT_DATE_ORDERS = ("y-M-d",)
-FULL_DATE_ORDERS = ("y-M-d", "M-d-y", "d-MMMM-y", "MMMM-y", "y-M", "y")
+FULL_DATE_ORDERS = ("y-M-d", "M-d-y", "d-MMMM-y", "d-MMM-y", "MMMM-y", "MMM-y", "y-M", "y")
 # A value must carry a four-digit year to be parsed at all.
 _YEAR_GUARD = r"(^|-)[0-9]{4}(-|$)"
 # Shape of the normalised text each order can match. Trying an order only on
@@ -23,8 +23,10 @@ _YEAR_GUARD = r"(^|-)[0-9]{4}(-|$)"
 _SHAPES = {
     "y-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
     "M-d-y": r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$",
-    "d-MMMM-y": r"^[0-9]{1,2}-[A-Za-z]+-[0-9]{4}$",
-    "MMMM-y": r"^[A-Za-z]+-[0-9]{4}$",
+    "d-MMMM-y": r"^[0-9]{1,2}-[A-Za-z]{4,}-[0-9]{4}$",
+    "d-MMM-y": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$",
+    "MMMM-y": r"^[A-Za-z]{4,}-[0-9]{4}$",
+    "MMM-y": r"^[A-Za-z]{3}-[0-9]{4}$",
     "y-M": r"^[0-9]{4}-[0-9]{1,2}$",
     "y": r"^[0-9]{4}$",
 }

@@ -20,7 +20,7 @@ def test_clean_names_frame(spark):
 
 
 DATES = ["2020-1-5", "2020/01.05", "01/05/2020", "12 March 2020", "2020-03", "2020",
-         "12 March", "12", "1-5", "x", None]
+         "12 Mar 2020", "May 2021", "Sept 2020", "12 March", "12", "1-5", "x", None]
 
 
 def test_parse_dates_default_and_full(spark):
@@ -35,6 +35,9 @@ def test_parse_dates_default_and_full(spark):
     assert got["12 March 2020"] == (None, dt.date(2020, 3, 12))
     assert got["2020-03"] == (None, dt.date(2020, 3, 1))
     assert got["2020"] == (None, dt.date(2020, 1, 1))
+    assert got["12 Mar 2020"] == (None, dt.date(2020, 3, 12))
+    assert got["May 2021"] == (None, dt.date(2021, 5, 1))
+    assert got["Sept 2020"] == (None, None)  # neither a full nor a 3-letter name
     for s in ["12 March", "12", "1-5", "x", None]:
         assert got[s] == (None, None), s
 
