@@ -113,3 +113,29 @@ def test_materialize_drops_empty_columns_observed_in_write(spark):
     imp = {r.id: r for r in a.imputed.collect()}
     assert imp[3].imputed_last_stage is None and imp[3].last_stage_change_date is None
     assert a.closed_deals.count() == 1
+
+
+def test_report_cli_on_csv_inputs(spark):
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+    from dealflow.sources import testdata
+    base = tempfile.mkdtemp(prefix="dealflow-cli-")
+    opps = testdata.opportunities(spark, SF_SMALL).drop("id")  # ids assigned at ingest
+    # headers as a spreadsheet would have them; ingest cleans them
+    messy = opps.toDF(*[c.replace("_", " ").title() for c in opps.columns]).coalesce(2)
+    messy.write.option("header", "true").csv(f"{base}/opps")
+    reps = testdata.sales_rep_team(spark, SF_SMALL)
+    reps.toDF("Sales Rep", "Team").write.option("header", "true").csv(f"{base}/reps")
+    out = subprocess.run(
+        [sys.executable, "-m", "dealflow.plans.report", "--opportunities", f"{base}/opps",
+         "--rep-team", f"{base}/reps", "--format", "csv", "--out", f"{base}/out",
+         "--master", "local[2]", "--seed", "3"],
+        cwd=ROOT, capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "== team_conversion_rates" in out.stdout
+    got = spark.read.parquet(f"{base}/out/team_conversion_rates")
+    want = QUERIES["team_conversion"](spark, SF_SMALL)
+    key = ["team", "won", "lost", "conversion_rate", "team_volume"]
+    assert _rows(got.select(*key)) == _rows(want.select(*key))
