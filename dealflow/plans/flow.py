@@ -34,7 +34,8 @@ def ingest(df: DataFrame, date_orders: Sequence[str] = DEFAULT_DATE_ORDERS,
            id_col: str = "id", id_order: Sequence[str] | None = None,
            drop_empty: bool | str = True, types: dict[str, str] | None = None) -> DataFrame:
     """Clean names, apply declared types, drop empty rows/columns, type date
-    columns, ensure an id.
+    columns, ensure an id (dense, 1-based; in ``id_order`` if given, else in
+    the order rows are read, i.e. file order for a single file).
 
     ``types`` maps cleaned column names to Spark types for text sources;
     values that do not convert become NULL. ``drop_empty="rows"`` drops
@@ -52,7 +53,11 @@ def ingest(df: DataFrame, date_orders: Sequence[str] = DEFAULT_DATE_ORDERS,
     for c in names_containing(df, "date"):
         df = df.withColumn(c, to_date_column(df, c, date_orders))
     if id_col not in df.columns:
-        df = row_id(df, list(id_order or df.columns[:1]), id_col)
+        if id_order:
+            df = row_id(df, list(id_order), id_col)
+        else:  # read order: position taken at the scan, before any shuffle
+            pos = "__read_pos"
+            df = row_id(df.withColumn(pos, F.monotonically_increasing_id()), [pos], id_col).drop(pos)
     return relocate(df, id_col, before=1)
 
 

@@ -139,3 +139,17 @@ def test_report_cli_on_csv_inputs(spark):
     want = QUERIES["team_conversion"](spark, SF_SMALL)
     key = ["team", "won", "lost", "conversion_rate", "team_volume"]
     assert _rows(got.select(*key)) == _rows(want.select(*key))
+
+
+def test_ingest_ids_follow_read_order(spark):
+    base = tempfile.mkdtemp(prefix="dealflow-order-")
+    names = ["zoe", "adam", "mia", "bob", "eve", "carl"]
+    with open(f"{base}/o.csv", "w") as f:
+        f.write("Opportunity Owner,Stage\n")
+        for i, n in enumerate(names):
+            f.write(f"{n},{'NEW' if i % 2 else ''}\n")
+        f.write(",\n")  # a blank row: dropped before numbering
+    df = ingest(io.read_opportunities(spark, f"{base}/o.csv", "csv"))
+    got = [r.opportunity_owner for r in df.orderBy("id").collect()]
+    assert got == names
+    assert [r.id for r in df.orderBy("id").collect()] == [1, 2, 3, 4, 5, 6]
