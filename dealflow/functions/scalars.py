@@ -76,9 +76,16 @@ def percent_label(col) -> Column:
     return F.concat(F.bround(_c(col) * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
+# Text made of letter/digit tokens split by single common separators; for it
+# a character translation gives the same result as the general regex.
+_SIMPLE_DATE_TEXT = r"^[0-9A-Za-z]+([-/. ][0-9A-Za-z]+)*$"
+
+
 def normalise_date_text(col) -> Column:
     """Runs of separators to a single "-", none at the ends."""
-    return F.btrim(F.regexp_replace(_c(col).cast("string"), "[^0-9A-Za-z]+", "-"), F.lit("-"))
+    s = _c(col).cast("string")
+    general = F.btrim(F.regexp_replace(s, "[^0-9A-Za-z]+", "-"), F.lit("-"))
+    return F.when(s.rlike(_SIMPLE_DATE_TEXT), F.translate(s, "/. ", "---")).otherwise(general)
 
 
 def parse_dates(col, orders: Sequence[str] = DEFAULT_DATE_ORDERS,

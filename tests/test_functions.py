@@ -66,3 +66,13 @@ def test_half_even_rounding(spark):
 def test_percent_label(spark):
     df = spark.createDataFrame([(0.56,), (0.5,), (0.49,)], "r double")
     assert [r[0] for r in df.select(percent_label("r")).collect()] == ["56%", "50%", "49%"]
+
+
+def test_normalise_date_text_fast_path_matches_regex(spark):
+    from dealflow.functions.scalars import normalise_date_text
+    samples = ["2020-01-05", "2020/01.05", "12 March 2020", " 2020-1-5 ", "2020--01//05",
+               "01/05/2020", "x", "", "-2020-", "12,March,2020", "2020 / 01 / 05", None]
+    df = spark.createDataFrame([(v,) for v in samples], "s string")
+    general = F.btrim(F.regexp_replace(F.col("s"), "[^0-9A-Za-z]+", "-"), F.lit("-"))
+    rows = df.select(normalise_date_text("s").alias("a"), general.alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
