@@ -120,19 +120,19 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b long) as (node, component).
 
     ``component`` is the least node reachable.  Large-star and small-star
-    steps alternate until the edges stop changing; each step is a grouped
-    minimum joined back, so a hub's neighbours never meet in one place.  Nodes
-    without an edge to another node do not appear.
+    steps alternate until only stars are left; each step is a grouped minimum
+    joined back, so a hub's neighbours never meet in one place.  Nodes without
+    an edge to another node do not appear.
     """
     e = materialize(edges.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
     while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        ends = e.select("u", F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(
+            e.select(F.col("v").alias("u"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))
+        odd = ends.groupBy("u").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+        if odd.where("leaf > 1 or (leaf = 1 and root = 1)").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(
             "u", F.least("u", "m").alias("m"))
@@ -144,3 +144,37 @@ def components(edges: DataFrame) -> DataFrame:
             least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         remove_table(e)
         e = nxt
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, from batches sorted by those keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        cuts = [0, *new.tolist(), b.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            key = tuple(c[start] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(start, stop - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(rows: DataFrame, group: str, item: str, n_blocks: str) -> DataFrame:
+    """Deal each group's items into blocks and every pair of blocks.
+
+    Adds ``i``, ``j`` (block pair, i <= j) and ``side`` (the row's own block):
+    a row is repeated once per block of its group, so a group of any size is
+    worked off in pieces of bounded size and every two of its items meet.
+    """
+    own = F.pmod(F.xxhash64(item), F.col(n_blocks)).cast("int")
+    return rows.withColumn("side", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col(n_blocks).cast("int") - 1))).withColumn(
+        "i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import bpe, wavelet
+from dealflow.llm import bpe, setsketch, wavelet
 from dealflow.llm.common import materialize, table
 from dealflow.session import shared_path
 
@@ -39,3 +39,8 @@ def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(
         table(spark, sf_dir, "documents"), shared_path(spark, "wavelet"), tokenizer_path())
     return wavelet.read_documents(shards)
+
+
+@query
+def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
