@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import bpe, setsketch, wavelet
-from dealflow.llm.common import materialize, table
+from dealflow.llm import bpe, hyperplanes, quality, secrets, setsketch, wavelet
+from dealflow.llm.common import table
 from dealflow.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,49 @@ def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_hyperplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplanes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.scan(docs, shared_path(spark, "ledger")))
+
+
+def _secrets_sql() -> str:
+    """The rules once more: gaps and matches per kind, places by running sums."""
+    kinds = []
+    for rank, r in enumerate(secrets.RULES):
+        quoted = r.pattern.replace("'", "''")
+        parts = ", ".join(f"regexp_extract_all(t, '(?s)(.*?)({quoted})', {k}) AS p{k}" for k in (1, 2, 3))
+        kinds.append(f"SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, {r.least} AS least, {parts} "
+                     f"FROM d WHERE regexp_matches(t, '{quoted}')")
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE_RULES)
+    spans = "string_agg(kind || ':' || (stop - length(m)) || ':' || stop, ',' ORDER BY stop - length(m), rank)"
+    counts = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)
+    sums = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(kinds)}),
+rows AS (SELECT doc_id, kind, rank, least, generate_subscripts(p2, 1) AS k,
+                unnest(p1) AS gap, unnest(p2) AS m, unnest(p3) AS secret FROM found),
+placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY k)::BIGINT AS stop FROM rows),
+good AS (SELECT * FROM placed WHERE length(secret) >= least),
+per_doc AS (SELECT doc_id, {sums}, string_agg(kind || ':' || (stop - length(m)) || ':' || stop, ','
+                   ORDER BY stop - length(m), rank) FILTER (kind IN ({base})) AS base,
+                   {spans} AS spans FROM good GROUP BY doc_id)
+SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per_doc USING (doc_id)"""
+
+
+ORACLE["op5_blob_ledger"] = _secrets_sql()
+
+
+@query
+def op8_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
