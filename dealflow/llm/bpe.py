@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -31,7 +32,8 @@ from dealflow.llm.common import byte_list, slices
 # letter / number / other are the same in every Unicode version.
 PLAIN = re.compile("[\x21-\x7e¡-įı-ňŊ-ž]*").fullmatch
 END = b"\xff"  # stands for the end of a word; no UTF-8 text holds this byte
-MOST_CHUNKS = 400_000  # chunks (and words) a worker remembers
+SHORT = 24  # bytes of a word that is merged together with others
+MOST_CHUNKS = 250_000  # chunks (and words) a worker remembers
 
 
 def byte_characters() -> dict[str, int]:
@@ -78,10 +80,15 @@ class SpeculativeBPE:
             if self.merge(raw(t)) == [number[t]]:
                 self.token[raw(t)] = number[t]
         self.token.pop(END, None)  # the byte that marks the end is never text
-        # Longest token by its first two bytes, so that few lengths are tried.
-        self.reach: dict[bytes, int] = {}
-        for t in self.token:
-            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
+        self.length = np.zeros(len(order), np.int64)
+        self.longest_match = ahocorasick.Automaton()
+        for t, k in self.token.items():
+            self.length[k] = len(t)
+            self.longest_match.add_word(t.decode("latin-1"), k)
+        self.longest_match.make_automaton()
+        # Numbers of single bytes inside a word and at its end.
+        self.inner, self.final = (np.array([self.atom.get(bytes([b]) + tail, -1) for b in range(256)])
+                                  for tail in (b"", END))
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: always the lowest rank, leftmost first."""
@@ -89,23 +96,48 @@ class SpeculativeBPE:
         tokens = [self.atom[word[i:i + 1]] for i in range(cut)]
         if word.endswith(END):
             tokens.append(self.atom[word[-2:]])
-        return self._merge_short(tokens) if len(tokens) <= 64 else self._merge_long(tokens)
-
-    def _merge_short(self, tokens: list[int]) -> list[int]:
-        get, never = self.pair.get, len(self.left)
-        made = [get(p, never) for p in zip(tokens, tokens[1:])]
-        while made and (low := min(made)) < never:
-            i = made.index(low)
-            tokens[i:i + 2] = [low]
-            del made[i]
-            if i:
-                made[i - 1] = get((tokens[i - 1], low), never)
-            if i < len(made):
-                made[i] = get((low, tokens[i + 1]), never)
-        return tokens
+        return self._merge_long(tokens)
+
+    def _made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What each pair merges into; ``len(self.left)`` if it does not."""
+        key = a * len(self.left) + b
+        pos = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[pos] == key) & (a >= 0) & (b >= 0), self.pair_made[pos], len(self.left))
+
+    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
+        """:meth:`merge` of many short words at once, one merge per word and round."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        col = np.arange(int(size.max()) + 1)
+        tokens = np.full((len(words), len(col)), -1)
+        inside = col < size[:, None]
+        text = np.frombuffer(b"".join(words), np.uint8)
+        tokens[inside] = self.inner[text]
+        last = np.cumsum(size) - 1
+        tokens[np.arange(len(words)), size - 1] = self.final[text[last]]
+        made = np.full(tokens.shape, len(self.left))
+        made[:, :-1] = self._made(tokens[:, :-1], tokens[:, 1:])
+        done: list = [None] * len(words)
+        at = np.arange(len(words))
+        while at.size:
+            low = made.min(axis=1)
+            for r in np.flatnonzero(low == len(self.left)).tolist():
+                done[at[r]] = tokens[r][tokens[r] >= 0]
+            go = low < len(self.left)
+            at, tokens, made, low = at[go], tokens[go], made[go], low[go]
+            if not at.size:
+                break
+            i, r = made.argmin(axis=1), np.arange(len(at))
+            shift = np.minimum(col + (col > i[:, None]), len(col) - 1)
+            tokens, made = np.take_along_axis(tokens, shift, 1), np.take_along_axis(
+                made, np.minimum(col + (col >= i[:, None]), len(col) - 1), 1)
+            tokens[r, i] = low
+            made[r, i] = self._made(low, tokens[r, i + 1])
+            left = np.maximum(i - 1, 0)
+            made[r, left] = np.where(i > 0, self._made(tokens[r, left], low), made[r, left])
+        return done
 
     def _merge_long(self, tokens: list[int]) -> list[int]:
-        """The same with a heap, for words where scanning would be quadratic."""
+        """A heap of mergeable pairs: no word is too long for it."""
         after = [*range(1, len(tokens)), -1]
         before = [*range(-1, len(tokens) - 1)]
         heap = [(self.pair[p], i) for i, p in enumerate(zip(tokens, tokens[1:])) if p in self.pair]
@@ -124,18 +156,14 @@ class SpeculativeBPE:
                     heapq.heappush(heap, (m, a))
         return [t for t in tokens if t >= 0]
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match; empty if it runs into a dead end."""
-        out, i, n, token, reach = [], 0, len(word), self.token, self.reach
-        while i < n:
-            for j in range(min(n, i + reach.get(word[i:i + 2], 1)), i, -1):
-                if (t := token.get(word[i:j])) is not None:
-                    out.append(t)
-                    i = j
-                    break
-            else:
-                return []
-        return out
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words: tokens, their words, complete words."""
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        found = np.array(list(self.longest_match.iter_long((END.join(words) + END).decode("latin-1"))), np.int64)
+        last, tokens = found.reshape(-1, 2).T
+        owner = np.searchsorted(np.cumsum(size), last, "right")
+        covered = np.bincount(owner, self.length[tokens], len(words))
+        return tokens, owner, covered == size  # matches never overlap
 
     def compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether BPE keeps the border between each pair of tokens.
@@ -163,18 +191,24 @@ class SpeculativeBPE:
 
     def encode_words(self, words: list[bytes]) -> tuple[list[bytes], int]:
         """Public ids of each word as little-endian uint32; how many were merged."""
-        guess = [self.propose(w + END) for w in words]
-        size = np.fromiter(map(len, guess), np.int64, len(guess))
-        flat = np.fromiter((t for g in guess for t in g), np.int64, int(size.sum()))
-        owner = np.repeat(np.arange(len(guess)), size)
+        if not words:
+            return [], 0
+        tokens, owner, complete = self.propose(words)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs, back = np.unique(flat[inner] * len(self.left) + flat[inner + 1], return_inverse=True)
+        pairs, back = np.unique(tokens[inner] * len(self.left) + tokens[inner + 1], return_inverse=True)
         good = self.compatible(pairs // len(self.left), pairs % len(self.left))
-        failing = set(owner[inner[~good[back]]].tolist()) | set(np.flatnonzero(size == 0).tolist())
-        ids, ends = self.public[flat].tobytes(), np.cumsum(size) * 4
-        out = [ids[e - 4 * n:e] for e, n in zip(ends.tolist(), size.tolist())]
+        complete[owner[inner[~good[back]]]] = False
+        ids, size = self.public[tokens].tobytes(), np.bincount(owner, minlength=len(words)) * 4
+        out = [ids[e - n:e] for e, n in zip(np.cumsum(size).tolist(), size.tolist())]
+        failing = np.flatnonzero(~complete).tolist()
+        short = sorted((k for k in failing if len(words[k]) <= SHORT), key=lambda k: len(words[k]))
+        for start in range(0, len(short), 1 << 12):
+            part = short[start:start + (1 << 12)]
+            for k, merged in zip(part, self.merge_many([words[k] for k in part])):
+                out[k] = self.public[merged].tobytes()
         for k in failing:
-            out[k] = self.public[self.merge(words[k] + END)].tobytes()
+            if len(words[k]) > SHORT:
+                out[k] = self.public[self.merge(words[k] + END)].tobytes()
         return out, len(failing)
 
 
@@ -200,6 +234,8 @@ class ChunkEncoder:
 
     def split_words(self, part: str) -> list[bytes]:
         if PLAIN(part):
+            if part.isalpha():
+                return [part.lower().encode()]
             return [p.encode() for p in self.pieces(part.lower())]
         found = self.presplit.pre_tokenize_str(self.normal.normalize_str(part))
         return [bytes(self.byte_of[c] for c in p) for p, _ in found]

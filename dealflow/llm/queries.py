@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import bpe, hyperplanes, quality, secrets, setsketch, wavelet
+from dealflow.llm import bpe, hyperplanes, mixing, pii, quality, quotes, secrets, setsketch, suffixtree, wavelet
 from dealflow.llm.common import table
 from dealflow.session import shared_path
 
@@ -34,6 +34,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# Stands for a secret that a user keeps; one key names one set of surrogates.
+PII_KEY = b"registered query key"
+
+
+@query
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 @query
 def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(
@@ -90,3 +99,20 @@ ORACLE["op5_blob_ledger"] = _secrets_sql()
 def op8_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"),
+                        F.col("__probability").alias("probability"), F.col("__drawn").alias("drawn"))
+
+
+@query
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(table(spark, sf_dir, "conversations"))

@@ -137,8 +137,11 @@ def report(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "do
         "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
-def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every found span replaced by ``[secret]``; other texts as they are."""
+def redact(docs: DataFrame, found: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` with every found span replaced by ``[secret]``; other texts as they are.
+
+    ``length`` names a column that holds the text's code points, if there is one.
+    """
     hits = found.select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -150,6 +153,9 @@ def redact(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
 
     clean = F.aggregate("__spans", start, step, lambda acc: F.concat(
         acc.out, F.substring(F.col(text), (acc.at + 1).cast("int"), F.length(F.col(text)))))
-    columns = [F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`")
-               for c in docs.columns]
-    return docs.withColumn("__blob", address(docs, text)).join(hits, "__blob", "left").select(*columns)
+    rows = docs.withColumn("__blob", address(docs, text)).join(hits, "__blob", "left")
+    rows = rows.withColumn(text, F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(text)))
+    if length in docs.columns:
+        now = F.length(text).cast(docs.schema[length].dataType)
+        rows = rows.withColumn(length, F.when(F.col("__spans").isNotNull(), now).otherwise(F.col(length)))
+    return rows.select(*(f"`{c}`" for c in docs.columns))
