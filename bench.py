@@ -25,7 +25,7 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
 
     from dealflow.plans.catalog import QUERIES
-    from dealflow.plans.flow import forget, prepare
+    from dealflow.plans.flow import analysis, forget, prepare
     from dealflow.session import get_session
 
     spark = get_session(f"local[{cpus}]", app="dealflow-bench",
@@ -55,6 +55,7 @@ def main() -> None:
         try:
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             timings[name] = round(time.perf_counter() - t, 3)
+            analysis(spark, sf_dir).reset()  # no query rides on another's frames
         except Exception as e:  # noqa: BLE001
             failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
     forget(spark, sf_dir)

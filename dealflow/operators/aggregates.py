@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealflow.functions.scalars import is_missing
+from dealflow.session import checkpointed
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -43,35 +44,20 @@ def pivot_wider(df: DataFrame, ids: str | Sequence[str], names_from: str,
 
 def share_of_total(df: DataFrame, value: str, name: str = "percent",
                    scale: float = 100.0) -> DataFrame:
-    """value / sum(value) * scale. The total is one global aggregate (partial
-    sums per task), brought back as a scalar; no window over the rows."""
+    """value / sum(value) * scale. ``df`` (usually an aggregate) is computed once
+    and stored; the total is a scalar over that, no window over the rows."""
+    df = checkpointed(df)
     total = df.agg(F.sum(value)).first()[0]
     return df.withColumn(name, F.try_divide(F.col(value).cast("double"),
                                             F.lit(total).cast("double")) * scale)
 
 
-# Largest table an unpartitioned window may run on (one task).
-SMALL_WINDOW_ROWS = 100_000
-
-
-def small_table(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Checkpoint ``df`` (it is usually an aggregate: computed once) and tell
-    whether it has at most ``max_rows`` rows (default ``SMALL_WINDOW_ROWS``)."""
-    bound = SMALL_WINDOW_ROWS if max_rows is None else max_rows
-    df = df.checkpoint(eager=True)
-    return df, df.limit(bound + 1).count() <= bound
-
-
 def dense_rank_desc(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Dense rank, highest first; a NULL value gets a NULL rank. A small input
-    (proven by count) ranks with one window; a large one numbers its distinct
-    values with the distributed row-id helper and joins the numbers back."""
+    """Dense rank, highest first; a NULL value gets a NULL rank. The distinct
+    values are numbered by the distributed row-id helper and joined back."""
     from dealflow.operators.joins import lookup_join
     from dealflow.operators.ordering import row_id
-    df, small = small_table(df)
-    if small:
-        w = Window.orderBy(F.col(value).desc_nulls_last())
-        return df.withColumn(name, F.when(F.col(value).isNotNull(), F.dense_rank().over(w)))
+    df = checkpointed(df)
     levels = df.select(value).where(F.col(value).isNotNull()).distinct()
     numbered = row_id(levels, [F.col(value).desc()], name)
     return lookup_join(df, numbered, value, value, how="left", null_safe=False).withColumn(

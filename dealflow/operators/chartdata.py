@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealflow.functions.scalars import percent_label
-from dealflow.operators.aggregates import small_table
 from dealflow.operators.joins import attach_group_stat
 from dealflow.operators.ordering import grouped_quantiles, row_id
 
@@ -19,7 +19,8 @@ _FUZZ = 1e-8
 
 
 def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
-    """Fixed-count, right-closed bins over [min - w/2, max + w/2], w = range/(bins-1).
+    """Fixed-count, right-closed bins of width w = range/(bins-1) whose edges lie
+    at odd multiples of w/2; the first edge is the last one not above the minimum.
 
     Pass 1 gets min and max (one row); pass 2 counts per bin with map-side
     combining. Empty bins come from joining the bin numbers (``bins`` rows).
@@ -32,7 +33,7 @@ def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
     if hi == lo:
         raise ValueError(f"{value}: all values equal ({lo}); bin width would be 0")
     width = (hi - lo) / (bins - 1)
-    origin = lo - width / 2
+    origin = width / 2 + math.floor((lo - width / 2) / width) * width
     x = F.col(value).cast("double")
     b = F.greatest(F.ceil((x - F.lit(origin)) / F.lit(width) - F.lit(_FUZZ)), F.lit(1))
     counts = (df.where(x.isNotNull()).select(F.least(b, F.lit(bins)).cast("long").alias("bin"))
@@ -49,14 +50,10 @@ def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
 def win_rate_bars(rates: DataFrame, category: str = "team", rate: str = "conversion_rate",
                   highlight: str = "SMB") -> DataFrame:
     """Bar data: axis position ascending by rate (ties by name), percent label,
-    highlight flag and fill. Input is one row per category; positions come
-    from one window when that is proven small, else from distributed row ids."""
+    highlight flag and fill. Input is one row per category; positions are
+    distributed row ids."""
     order = [F.col(rate).asc_nulls_first(), F.col(category).asc_nulls_first()]
-    rates, small = small_table(rates.select(category, rate))
-    if small:
-        placed = rates.withColumn("axis_pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    else:
-        placed = row_id(rates, order, "axis_pos")
+    placed = row_id(rates.select(category, rate), order, "axis_pos")
     hl = F.coalesce(F.col(category) == F.lit(highlight), F.lit(False))
     return placed.select(
         category, rate, "axis_pos", percent_label(rate).alias("label"),

@@ -58,7 +58,3 @@ def relocate(df: DataFrame, name: str, before: str | int | None = None,
         pos = 0
     cols.insert(pos, name)
     return df.select(*cols)
-
-
-def reorder_columns(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    return df.select(*order)

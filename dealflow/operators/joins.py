@@ -4,40 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealflow.operators.ordering import fits
+from dealflow.session import checkpointed
 
-# Largest lookup we broadcast without asking the planner, in bytes; the row
-# bound follows from a per-row width estimated from the schema. Above it the
-# join is left to Spark (sort-merge, or a runtime broadcast chosen by AQE from
-# measured sizes), with AQE skew handling for hot keys.
+# Largest lookup we broadcast without asking the planner: bytes as measured on
+# its rows, and rows. Above it the join is left to Spark (sort-merge, or a
+# runtime broadcast chosen by AQE from measured sizes), with AQE skew handling
+# for hot keys.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 BROADCAST_MAX_ROWS = 2_000_000
-_WIDTH = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.DateType: 4,
-          T.LongType: 8, T.DoubleType: 8, T.FloatType: 4, T.TimestampType: 8,
-          T.TimestampNTZType: 8, T.DecimalType: 16, T.StringType: 48}
 
 
-def row_width(schema: T.StructType) -> int:
-    """Rough bytes per row of a hash-joined broadcast table (strings counted
-    generously; nested types at 256 bytes)."""
-    return 16 + sum(_WIDTH.get(type(f.dataType), 256) for f in schema.fields)
-
-
-def broadcast_row_bound(df: DataFrame, max_bytes: int | None = None) -> int:
-    """Rows that fit the byte budget (0 when not even one row does)."""
-    budget = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
-    return min(BROADCAST_MAX_ROWS, budget // row_width(df.schema))
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row in a broadcast table: 16, 8 per column, and the contents
+    of strings (other types of variable length by their text form)."""
+    total = F.lit(16 + 8 * len(df.columns))
+    for f in df.schema.fields:
+        if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
+                                       T.TimestampNTZType)):
+            text = F.col(f"`{f.name}`") if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(
+                F.struct(f"`{f.name}`"))
+            total = total + F.coalesce(F.octet_length(text), F.lit(0))
+    return total
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when a bounded count proves it small (at most
-    ``max_rows`` rows; default from the byte budget and the row width)."""
-    bound = broadcast_row_bound(df) if max_rows is None else max_rows
-    return F.broadcast(df) if bound > 0 and fits(df, bound) else df
+    """Broadcast ``df`` only when its first rows prove it small: at most
+    ``max_rows`` of them, and at most ``BROADCAST_MAX_BYTES`` measured."""
+    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    if bound <= 0:
+        return df
+    rows, size = df.limit(bound + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if rows <= bound and (size or 0) <= BROADCAST_MAX_BYTES else df
 
 
 def lookup_join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
@@ -80,7 +81,7 @@ def attach_group_stat(detail: DataFrame, stats: DataFrame, keys: str | Sequence[
     check reads stored rows; it is broadcast only when that check passes,
     otherwise both sides are shuffled on the keys.
     """
-    stats = stats.checkpoint(eager=True)
+    stats = checkpointed(stats)
     return lookup_join(detail, stats, keys, keys, "left", True, False, max_broadcast_rows)
 
 

@@ -17,22 +17,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from dealflow.session import ensure_checkpoint_dir
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+from dealflow.session import checkpointed
 
 
 def _tag_partitions(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
     tagged = df.orderBy(*order).select(
         "*",
         F.spark_partition_id().alias("_ord_p"),
         F.monotonically_increasing_id().alias("_ord_m"),
     )
-    return tagged.checkpoint(eager=True)
+    return checkpointed(tagged)
 
 
 def _partition_offsets(tagged: DataFrame, weight: Column) -> tuple[Column, int]:
@@ -59,112 +53,69 @@ def row_id(df: DataFrame, order: Sequence[Column | str], name: str = "id",
     ``order`` are broken by a hash of the row, so a key shared by many rows
     is spread over many partitions instead of landing in one.
     """
-    tagged = _tag_partitions(df, [*order, F.xxhash64(*df.columns)])
+    return _number(_tag_partitions(df, [*order, F.xxhash64(*df.columns)]), df.columns, name, start)
+
+
+def _number(tagged: DataFrame, columns: Sequence[str], name: str, start: int) -> DataFrame:
     offset, _ = _partition_offsets(tagged, F.lit(1))
     first_m = F.shiftleft(F.col("_ord_p").cast("long"), 33)  # id of a partition's first row
     out = tagged.withColumn(name, F.col("_ord_m") - first_m + offset + F.lit(start))
-    return out.select(name, *[c for c in df.columns if c != name])
+    return out.select(name, *[c for c in columns if c != name])
 
 
-def weighted_prefix(df: DataFrame, value: str, weight: str,
-                    name: str = "cum_before") -> tuple[DataFrame, int]:
-    """Add the sum of ``weight`` over all rows whose ``value`` sorts strictly
-    before this row's (``value`` must be unique, e.g. a value-count table).
-    Returns the frame and the grand total of ``weight``."""
-    tagged = _tag_partitions(df, [F.col(value).asc()])
-    offset, total = _partition_offsets(tagged, F.col(weight))
-    within = (Window.partitionBy("_ord_p").orderBy(F.col(value).asc())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    out = tagged.withColumn(name, offset + F.coalesce(F.sum(weight).over(within), F.lit(0)))
-    return out.drop("_ord_p", "_ord_m"), total
+def read_order_id(df: DataFrame, name: str = "id", start: int = 1) -> DataFrame:
+    """Dense row number in the order rows are read, placed first: rows are
+    stored as they come and counted per partition; nothing is shuffled."""
+    tagged = checkpointed(df.select("*", F.spark_partition_id().alias("_ord_p"),
+                                    F.monotonically_increasing_id().alias("_ord_m")))
+    return _number(tagged, df.columns, name, start)
 
 
 def keyed_prefix(df: DataFrame, key: str, value: str, weight: str,
                  name: str = "cum_before") -> DataFrame:
-    """``weighted_prefix`` restarted for each of a few ``key`` values (e.g. the
-    variables of a correlation): one sort for all keys. (key, value) must be
-    unique. The offsets are a literal map with one entry per (partition, key),
-    so this is meant for a handful of keys."""
+    """Add the sum of ``weight`` over all rows of the same ``key`` whose ``value``
+    sorts strictly before this row's, for a few keys (e.g. the variables of a
+    correlation): one sort for all. (key, value) must be
+    unique. The offsets are one literal array per key, indexed by partition, so
+    this is meant for a handful of keys."""
     tagged = _tag_partitions(df, [F.col(key).asc(), F.col(value).asc()])
     rows = tagged.groupBy("_ord_p", key).agg(F.sum(weight).alias("t")).collect()
-    running: dict = {}
-    entries = []
-    for r in sorted(rows, key=lambda r: r["_ord_p"]):
-        k = r[key]
-        entries += [F.lit(f"{r['_ord_p']}|{k}"), F.lit(running.get(k, 0)).cast("long")]
-        running[k] = running.get(k, 0) + int(r["t"] or 0)
-    lookup = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(0).cast("long"))
-    offset = F.element_at(lookup, F.concat_ws("|", F.col("_ord_p").cast("string"), F.col(key)))
+    totals: dict = {}
+    for r in rows:
+        totals.setdefault(r[key], {})[r["_ord_p"]] = int(r["t"] or 0)
+    offset = F.lit(0).cast("long")
+    for k, per in totals.items():  # one array per key, indexed by partition
+        before, run = [], 0
+        for p in range(max(per) + 1):
+            before.append(F.lit(run).cast("long"))
+            run += per.get(p, 0)
+        # a condition, so that positions beyond another key's array are not read
+        offset = F.when(F.col(key) == F.lit(k), F.get(F.array(*before), F.col("_ord_p"))).otherwise(offset)
     within = (Window.partitionBy("_ord_p", key).orderBy(F.col(value).asc())
               .rowsBetween(Window.unboundedPreceding, -1))
     out = tagged.withColumn(name, offset + F.coalesce(F.sum(weight).over(within), F.lit(0)))
     return out.drop("_ord_p", "_ord_m")
 
 
-def mid_ranks_of(df: DataFrame, columns: Sequence[str], rank_names: Sequence[str]) -> list[DataFrame]:
+def mid_ranks_of(df: DataFrame, columns: Sequence[str], rank_names: Sequence[str],
+                 weight: str | None = None) -> list[DataFrame]:
     """Mid-rank tables (value, rank) of several numeric columns from one
-    value-count pass and one range sort."""
+    value-count pass and one range sort; a row counts ``weight`` times."""
     cols = list(columns)
+    times = F.lit(1).cast("long") if weight is None else F.col(weight)
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("_mr_k"), F.col(c).cast("double").alias("_mr_v")) for c in cols])))
+        F.struct(F.lit(c).alias("_mr_k"), F.col(c).cast("double").alias("_mr_v"), times.alias("_mr_w"))
+        for c in cols])))
     counts = (long.where(F.col("_mr_v").isNotNull())
-              .groupBy("_mr_k", "_mr_v").agg(F.count(F.lit(1)).alias("_mr_n")))
+              .groupBy("_mr_k", "_mr_v").agg(F.sum("_mr_w").alias("_mr_n")))
     pref = keyed_prefix(counts, "_mr_k", "_mr_v", "_mr_n", "_mr_cb")
     ranked = pref.select("_mr_k", "_mr_v", (F.col("_mr_cb") + (F.col("_mr_n") + 1) / 2.0).alias("_mr_r"))
     return [ranked.where(F.col("_mr_k") == c).select(F.col("_mr_v").alias(c), F.col("_mr_r").alias(r))
             for c, r in zip(cols, rank_names)]
 
 
-def value_counts(df: DataFrame, value: str, count: str = "n") -> DataFrame:
-    """Non-null distinct values with their multiplicity (map-side combined)."""
-    return (df.where(F.col(value).isNotNull())
-            .groupBy(value).agg(F.count(F.lit(1)).alias(count)))
-
-
-def mid_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
-    """Distinct ``value`` with its average (mid) rank among all non-null rows."""
-    counts = value_counts(df, value, "_mr_n")
-    pref, _ = weighted_prefix(counts, value, "_mr_n", "_mr_cb")
-    return pref.select(
-        value, (F.col("_mr_cb") + (F.col("_mr_n") + 1) / 2.0).alias(rank))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """One row of exact, linearly interpolated quantiles of ``value``.
-
-    Same definition as ``percentile``: position h = (N-1)*p on the sorted
-    non-null values, interpolated between ranks floor(h) and ceil(h). Works by
-    rank selection over the value-count table, so no task ever holds all
-    distinct values; only per-partition totals come back to the driver.
-    """
-    return quantiles_from_counts(value_counts(df, value, "_q_n"), value, "_q_n", probs, names)
-
-
-def quantiles_from_counts(counts: DataFrame, value: str, count: str, probs: Sequence[float],
-                          names: Sequence[str] | None = None) -> DataFrame:
-    """``exact_quantiles`` over an existing (value, count) table."""
-    names = list(names or [f"q{i}" for i in range(len(probs))])
-    counts = counts.select(F.col(value).cast("double").alias(value), F.col(count).alias("_q_n"))
-    pref, n_all = weighted_prefix(counts, value, "_q_n", "_q_cb")
-    aggs = []
-    for p, nm in zip(probs, names):
-        if n_all == 0:
-            aggs.append(F.lit(None).cast("double").alias(nm))
-            continue
-        h = (n_all - 1) * float(p)
-        lo, hi = math.floor(h), math.ceil(h)
-        frac = h - lo
-        v_lo = F.max(F.when((F.col("_q_cb") <= lo) & (F.lit(lo) < F.col("_q_cb") + F.col("_q_n")),
-                            F.col(value)))
-        v_hi = F.max(F.when((F.col("_q_cb") <= hi) & (F.lit(hi) < F.col("_q_cb") + F.col("_q_n")),
-                            F.col(value)))
-        aggs.append((v_lo + (v_hi - v_lo) * F.lit(frac)).alias(nm))
-    return pref.agg(*aggs)
-
-
-# Largest number of distinct values of one group that a single task may hold
-# while merging a group's exact percentile.
+# Most (group, value) pairs, over all groups, that are merged by Spark's
+# percentile: no task can hold more, however groups fall together.
 GROUP_STATE_MAX_VALUES = 1_000_000
 
 
@@ -176,25 +127,19 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     group; NULL values are skipped; a group with no values is absent).
 
     Values are first counted per (group, value), which spreads a hot group over
-    many tasks. If no group then has more than ``max_values`` distinct values,
-    Spark's ``percentile`` with frequencies finishes the job (its per-group
-    state is that many entries at most). Otherwise the quantiles come from a
+    many tasks. If there are at most ``max_values`` such pairs in all, Spark's
+    ``percentile`` with frequencies finishes the job (a task's state is that
+    many entries at most). Otherwise the quantiles come from a
     distributed rank selection in which a hot group spans many tasks.
     ``distinct_name`` adds the number of distinct values per group.
     """
     groups = list(groups)
     max_values = GROUP_STATE_MAX_VALUES if max_values is None else max_values
     pairs = Observation()
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_g_n"))
-              .observe(pairs, F.count(F.lit(1)).alias("pairs"))
-              .checkpoint(eager=True))
-    # no group can be wider than all (group, value) pairs together: only when
-    # that total exceeds the bound is the per-group width looked up
-    widest = pairs.get["pairs"] or 0
-    if widest > max_values:
-        widest = counts.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if widest <= max_values:
+    counts = checkpointed(df.where(F.col(value).isNotNull())
+                          .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_g_n"))
+                          .observe(pairs, F.count(F.lit(1)).alias("pairs")))
+    if (pairs.get["pairs"] or 0) <= max_values:
         q = F.percentile(F.col(value).cast("double"), list(probs), F.col("_g_n"))
         extra = [F.count(F.lit(1)).alias(distinct_name)] if distinct_name else []
         return counts.groupBy(*groups).agg(q.alias("_g_q"), *extra).select(
@@ -211,9 +156,8 @@ def grouped_quantiles(df: DataFrame, groups: Sequence[str], value: str,
 def _grouped_rank_select(counts: DataFrame, groups: list[str], value: str,
                          probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     from dealflow.operators.joins import maybe_broadcast
-    tagged = (counts.orderBy(*groups, value)
-              .select("*", F.spark_partition_id().alias("_g_p"))
-              .checkpoint(eager=True))
+    tagged = checkpointed(counts.orderBy(*groups, value)
+                          .select("*", F.spark_partition_id().alias("_g_p")))
     # one row per (partition, group): at most partitions + groups rows
     per = tagged.groupBy("_g_p", *groups).agg(F.sum("_g_n").alias("_g_t"))
     earlier = (Window.partitionBy(*groups).orderBy("_g_p")

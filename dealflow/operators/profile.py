@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from dealflow.operators.joins import lookup_join
 from dealflow.operators.ordering import grouped_quantiles, row_id
+from dealflow.session import checkpointed
 
 
 def factor_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -91,18 +92,16 @@ def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return base.join(qs, "skim_variable", "left")
 
 
-def _top_counts(counts: DataFrame, c: str, k: int = 4, width: int = 3) -> DataFrame:
-    """'abc: n, ...' for the ``k`` most frequent values (ties by value) of a
-    (value, n) table. The top-k is a per-partition TopK merged on k rows."""
+def _top_counts(counts: DataFrame, c: str, k: int) -> DataFrame:
+    """The ``k`` most frequent values (ties by value) of a (value, n) table, in
+    full, as array<struct<value, n>>: a TopK per partition merged on k rows."""
     top = counts.orderBy(F.col("n").desc(), F.col(c).asc()).limit(k)
-    items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(c).alias("v"),
-                                                 F.col("n").alias("n"))))
-    label = F.transform(items, lambda s: F.concat(F.substring(s["v"], 1, width), F.lit(": "),
-                                                  s["n"].cast("string")))
-    return top.agg(F.array_join(label, ", ").alias("top_counts"))
+    items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(c).alias("v"), "n")))
+    return top.agg(F.transform(items, lambda s: F.struct(s["v"].alias("value"), s["n"].alias("n")))
+                   .alias("top_counts"))
 
 
-def profile_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def profile_categorical(df: DataFrame, cols: list[str] | None = None, top: int = 4) -> DataFrame:
     """skim_variable, n_missing, complete_rate, n_unique, top_counts.
 
     Value counts of all columns come from one pass over the unpivoted values
@@ -112,13 +111,12 @@ def profile_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFra
     """
     cols = cols or columns_of_type(df, "categorical")
     base = _base(df, cols, lambda c: [])
-    counts = (long_values(df, cols).where(F.col("value").isNotNull())
-              .groupBy("skim_variable", "value").agg(F.count(F.lit(1)).alias("n"))
-              .checkpoint(eager=True))
+    counts = checkpointed(long_values(df, cols).where(F.col("value").isNotNull())
+                          .groupBy("skim_variable", "value").agg(F.count(F.lit(1)).alias("n")))
     uniq = counts.groupBy("skim_variable").agg(F.count(F.lit(1)).alias("n_unique"))
     tops = None
     for c in cols:
-        t = _top_counts(counts.where(F.col("skim_variable") == c), "value").withColumn(
+        t = _top_counts(counts.where(F.col("skim_variable") == c), "value", top).withColumn(
             "skim_variable", F.lit(c))
         tops = t if tops is None else tops.unionByName(t)
     return (base.join(uniq, "skim_variable", "left").join(tops, "skim_variable", "left")

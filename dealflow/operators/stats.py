@@ -1,45 +1,28 @@
-"""Contingency tables, chi-square, Monte-Carlo exact tests, rank correlation.
-
-The contingency table is an aggregate (rows = labels, not data), so it is the
-one thing brought to the driver; the Monte-Carlo replicates run as Spark
-tasks over ``spark.range`` blocks, each block seeded from (seed, block id) so
-results do not depend on partitioning.
-"""
+"""Contingency tables, chi-square, Monte-Carlo exact tests, rank correlation."""
 
 from __future__ import annotations
 
-import math
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow.operators.aggregates import count_where
 from dealflow.operators.joins import join_small, maybe_broadcast
-from dealflow.operators.ordering import fits, mid_ranks_of
-
-try:  # ship this module's sampler to executors by value: no install needed there
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # noqa: BLE001
-    pass
-
-# Tolerances used when comparing simulated statistics with the
-# observed one (64 machine epsilons; 1e-7 relative for the exact 2 x 2 sum).
-_EPS64 = 64 * np.finfo(float).eps
-_FISHER_REL = 1 + 1e-7
+from dealflow.operators.montecarlo import count_extreme, fisher_2x2
+from dealflow.operators.ordering import mid_ranks_of
+from dealflow.session import checkpointed
 
 
 def contingency(df: DataFrame, row: str, col: str, values: Sequence[str],
                 count: str = "n") -> DataFrame:
     """Long (row, col, n) table with explicit zeros for absent cells, over
     rows whose ``col`` is one of ``values``; columns with a zero margin are
-    dropped. One shuffle (conditional counts), then work on the small table."""
+    dropped. One shuffle (conditional counts) into a stored table of labels; all
+    later steps work on that."""
     sub = df.where(F.col(col).isin(list(values)))
-    wide = sub.groupBy(row).agg(*[count_where(F.col(col) == v).alias(str(v)) for v in values])
+    wide = checkpointed(sub.groupBy(row).agg(
+        *[count_where(F.col(col) == v).alias(str(v)) for v in values]))
     margins = wide.agg(*[F.sum(str(v)).alias(str(v)) for v in values]).first()
     kept = [str(v) for v in values if (margins[str(v)] or 0) > 0]
     if not kept:
@@ -57,156 +40,29 @@ def chi_square(long: DataFrame, row: str, col: str, count: str = "n") -> DataFra
     ct = long.groupBy(col).agg(F.sum(count).alias("_ct"))
     cells = (join_small(join_small(long, rt, row), ct, col)
              .select(row, col, F.col(count).cast("double").alias("_o"),
-                     (F.col("_rt") * F.col("_ct") / F.lit(float(total))).alias("_e")))
+                     (F.col("_rt").cast("double") * F.col("_ct").cast("double") / F.lit(float(total)))
+                     .alias("_e")))
     return cells.agg(
         F.sum((F.col("_o") - F.col("_e")) ** 2 / F.col("_e")).alias("statistic"),
         ((F.count_distinct(F.struct(row)) - 1) * (F.count_distinct(F.struct(col)) - 1))
         .cast("long").alias("df"))
 
 
-# Largest contingency table (cells) the Monte-Carlo tests bring to the driver
-# and ship to every replicate task.
-MAX_TABLE_CELLS = 1_000_000
-
-
-def table_to_matrix(long: DataFrame, row: str, col: str, count: str = "n"):
-    """Collect the contingency table (labels x outcomes, not data rows) into
-    labels and a matrix, after checking its size."""
-    if not fits(long, MAX_TABLE_CELLS):
-        raise ValueError(f"contingency table over {MAX_TABLE_CELLS} cells; use chi_square for "
-                         "the statistic (computed distributed) instead of a Monte-Carlo test")
-    pdf = long.select(row, col, count).toPandas()
-    mat = pdf.pivot_table(index=row, columns=col, values=count, aggfunc="sum",
-                          fill_value=0, dropna=False)
-    return list(mat.index), list(mat.columns), mat.to_numpy(dtype=np.int64)
-
-
-# numpy's exact hypergeometric sampler accepts counts below this bound.
-_EXACT_DRAW_MAX = 10**9 - 1
-
-
-def _hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray,
-                    n: np.ndarray) -> np.ndarray:
-    """Hypergeometric draws, vectorised. Exact while both counts fit the
-    sampler; beyond ~1e9 items the normal form with the exact mean and
-    variance is used (relative error of order 1/sqrt(N)), clipped to the
-    support."""
-    good, bad, n = (np.asarray(a, dtype=np.int64) for a in (good, bad, n))
-    small = (good <= _EXACT_DRAW_MAX) & (bad <= _EXACT_DRAW_MAX)
-    out = np.zeros(np.broadcast(good, bad, n).shape, dtype=np.int64)
-    if small.all():
-        return rng.hypergeometric(good, bad, n)
-    if small.any():
-        out[small] = rng.hypergeometric(good[small], bad[small], n[small])
-    big = ~small
-    g, b, k = good[big].astype(float), bad[big].astype(float), n[big].astype(float)
-    tot = g + b
-    mean = k * g / tot
-    var = k * (g / tot) * (b / tot) * (tot - k) / np.maximum(tot - 1, 1)
-    x = np.rint(mean + np.sqrt(var) * rng.standard_normal(mean.shape)).astype(np.int64)
-    out[big] = np.clip(x, np.maximum(0, n[big] - bad[big]), np.minimum(n[big], good[big]))
-    return out
-
-
-def _sample_tables(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray,
-                   m: int) -> np.ndarray:
-    """``m`` random tables with the given margins (uniform given margins),
-    by sequential hypergeometric draws vectorised over replicates."""
-    r, c = len(rows), len(cols)
-    out = np.zeros((m, r, c), dtype=np.int64)
-    rem_rows = np.tile(rows.astype(np.int64), (m, 1))
-    for j in range(c - 1):
-        need = np.full(m, cols[j], dtype=np.int64)
-        left_total = rem_rows.sum(axis=1)
-        for i in range(r):
-            left_total = left_total - rem_rows[:, i]
-            if i == r - 1:
-                x = need.copy()
-            else:
-                x = _hypergeometric(rng, rem_rows[:, i], left_total, need)
-            out[:, i, j] = x
-            need = need - x
-            rem_rows[:, i] -= x
-    out[:, :, c - 1] = rem_rows
-    return out
-
-
-def _chisq_stat(tables: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        terms = np.where(expected > 0, (tables - expected) ** 2 / expected, 0.0)
-    return terms.reshape(tables.shape[0], -1).sum(axis=1)
-
-
-def _fisher_stat(tables: np.ndarray) -> np.ndarray:
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    return -lg(tables + 1.0).reshape(tables.shape[0], -1).sum(axis=1)
-
-
-def _simulate(spark: SparkSession, matrix: np.ndarray, replicates: int, seed: int,
-              kind: str, block: int = 500, partitions: int | None = None) -> int:
-    """Count replicates at least as extreme as the observed table."""
-    rows, cols = matrix.sum(axis=1), matrix.sum(axis=0)
-    total = matrix.sum()
-    expected = np.outer(rows, cols) / total
-    if kind == "chisq":
-        obs = float(_chisq_stat(matrix[None], expected)[0])
-        thresh = obs * (1 - _EPS64)
-    else:
-        obs = float(_fisher_stat(matrix[None])[0])
-        thresh = obs / (1 + _EPS64)
-    n_blocks = max(1, math.ceil(replicates / block))
-
-    def run(batches):
-        for pdf in batches:
-            hits = []
-            for b in pdf["id"].tolist():
-                m = min(block, replicates - b * block)
-                rng = np.random.default_rng([seed, b])
-                tabs = _sample_tables(rng, rows, cols, m)
-                if kind == "chisq":
-                    hits.append(int((_chisq_stat(tabs, expected) >= thresh).sum()))
-                else:
-                    hits.append(int((_fisher_stat(tabs) <= thresh).sum()))
-            yield pd.DataFrame({"hits": pd.Series(hits, dtype="int64")})
-
-    parts = max(1, min(n_blocks, partitions or spark.sparkContext.defaultParallelism))
-    blocks = spark.range(0, n_blocks, numPartitions=parts)
-    return int(blocks.mapInPandas(run, "hits long").agg(F.sum("hits")).first()[0] or 0)
-
-
-def chi2_sf(x: float, k: int) -> float:
-    """Upper tail of the chi-square distribution (regularised gamma Q)."""
-    if k <= 0 or x is None or math.isnan(x):
-        return float("nan")
-    a, z = k / 2.0, x / 2.0
-    if z <= 0:
-        return 1.0
-    if z < a + 1:  # series for P, return 1 - P
-        term = s = 1.0 / a
-        n = a
-        for _ in range(10000):
-            n += 1
-            term *= z / n
-            s += term
-            if abs(term) < abs(s) * 1e-15:
-                break
-        return max(0.0, 1.0 - s * math.exp(-z + a * math.log(z) - math.lgamma(a)))
-    b = z + 1 - a  # continued fraction for Q
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1e-300 if abs(d) < 1e-300 else d
-        c = b + an / c
-        c = 1e-300 if abs(c) < 1e-300 else c
-        d = 1 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1) < 1e-15:
-            break
-    return math.exp(-z + a * math.log(z) - math.lgamma(a)) * h
+def _table_rows(long: DataFrame, row: str, col: str, count: str) -> tuple[DataFrame, int, list]:
+    """The table as stored (key, cells) rows without zero margins; its number
+    of rows, and the column labels (outcomes, a handful)."""
+    labels = [r[0] for r in long.groupBy(col).agg(F.sum(count).alias("n")).where("n > 0")
+              .orderBy(col).collect()]
+    cells = F.array(*[F.coalesce(F.sum(F.when(F.col(col).eqNullSafe(F.lit(v)), F.col(count))), F.lit(0)).cast("long")
+                      for v in labels]) if labels else F.array().cast("array<bigint>")
+    rows = (long.groupBy(row).agg(cells.alias("cells"))
+            .where(F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + c) > 0)
+            .select(F.coalesce(F.to_json(F.struct(row)), F.lit("")).alias("key"), "cells"))
+    rows = checkpointed(rows)
+    n = rows.count()
+    if n < 2 or len(labels) < 2:
+        raise ValueError("needs at least a 2 x 2 table with non-zero margins")
+    return rows, n, labels
 
 
 def chi_square_mc(spark: SparkSession, long: DataFrame, row: str, col: str,
@@ -214,72 +70,46 @@ def chi_square_mc(spark: SparkSession, long: DataFrame, row: str, col: str,
                   partitions: int | None = None) -> DataFrame:
     """Chi-square test with a Monte-Carlo p-value: (1 + #{sim >= obs}) / (B + 1).
 
-    Replicates run in blocks of 500 spread over ``partitions`` tasks (default:
-    the cluster's parallelism); the p-value does not depend on that choice."""
-    _, _, mat = table_to_matrix(long, row, col, count)
-    if mat.shape[0] < 2 or mat.shape[1] < 2:
-        raise ValueError("chi-square needs at least a 2 x 2 table with non-zero margins")
-    rows, cols = mat.sum(axis=1), mat.sum(axis=0)
-    expected = np.outer(rows, cols) / mat.sum()
-    stat = float(_chisq_stat(mat[None], expected)[0])
-    dof = (mat.shape[0] - 1) * (mat.shape[1] - 1)
-    hits = _simulate(spark, mat, replicates, seed, "chisq", partitions=partitions)
-    p = (1 + hits) / (replicates + 1)
+    Tables of any size and counts of any size; the p-value does not depend on
+    ``partitions`` (default: the cluster's parallelism)."""
+    rows, n, labels = _table_rows(long, row, col, count)
+    hits, stat = count_extreme(spark, rows, replicates, seed, "chisq", partitions)
     return spark.createDataFrame(
-        [(stat, dof, p, chi2_sf(stat, dof), replicates, seed)],
-        "statistic double, df long, p_value double, p_value_asymptotic double, "
-        "replicates long, seed long")
-
-
-def _fisher_2x2(mat: np.ndarray) -> float:
-    """Exact two-sided Fisher p for a 2 x 2 table (sum of tables no more
-    likely than the observed one)."""
-    (a, b), (c, d) = mat.tolist()
-    m, n, k = a + c, b + d, a + b  # column 1 total, column 2 total, row 1 total
-    lo, hi = max(0, k - n), min(k, m)
-    mean = k * m / (m + n)
-    sd = math.sqrt(max(k * m * n * (m + n - k) / ((m + n) ** 2 * max(m + n - 1, 1)), 1.0))
-    lo2, hi2 = max(lo, int(mean - 60 * sd)), min(hi, int(mean + 60 * sd) + 1)
-    xs = np.arange(lo2, hi2 + 1)
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    logd = (lg(m + 1.0) - lg(xs + 1.0) - lg(m - xs + 1.0)
-            + lg(n + 1.0) - lg(k - xs + 1.0) - lg(n - k + xs + 1.0)
-            - (lg(m + n + 1.0) - lg(k + 1.0) - lg(m + n - k + 1.0)))
-    d = np.exp(logd)
-    d_obs = d[a - lo2] if lo2 <= a <= hi2 else 0.0
-    return float(min(1.0, d[d <= d_obs * _FISHER_REL].sum()))
+        [(stat, (n - 1) * (len(labels) - 1), (1 + hits) / (replicates + 1), replicates, seed)],
+        "statistic double, df long, p_value double, replicates long, seed long")
 
 
 def fisher_mc(spark: SparkSession, long: DataFrame, row: str, col: str,
               count: str = "n", replicates: int = 2000, seed: int = 0,
               partitions: int | None = None) -> DataFrame:
     """Fisher's exact test: exact for 2 x 2, otherwise Monte-Carlo with the
-    table probability (-sum log x!) as statistic."""
-    _, _, mat = table_to_matrix(long, row, col, count)
-    if mat.shape[0] < 2 or mat.shape[1] < 2:
-        raise ValueError("Fisher's test needs at least a 2 x 2 table with non-zero margins")
-    if mat.shape == (2, 2):
-        return spark.createDataFrame([(_fisher_2x2(mat), "exact", 0, seed)],
+    table probability (product of 1 / x!) as statistic."""
+    rows, n, labels = _table_rows(long, row, col, count)
+    if n == 2 and len(labels) == 2:
+        (a, b), (c, d) = (r.cells for r in rows.orderBy("key").collect())
+        return spark.createDataFrame([(fisher_2x2(spark, a, b, c, d), "exact", 0, seed)],
                                      "p_value double, method string, replicates long, seed long")
-    hits = _simulate(spark, mat, replicates, seed, "fisher", partitions=partitions)
-    p = (1 + hits) / (replicates + 1)
-    return spark.createDataFrame([(p, "simulated", replicates, seed)],
+    hits, _ = count_extreme(spark, rows, replicates, seed, "fisher", partitions)
+    return spark.createDataFrame([((1 + hits) / (replicates + 1), "simulated", replicates, seed)],
                                  "p_value double, method string, replicates long, seed long")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's rho over complete pairs with mid-ranks for ties.
 
-    Ranks of both columns come from one value-count pass and one range sort
-    with a per-column prefix sum; each rank table (one row per distinct value)
-    is joined back, broadcast only below the size bound, else shuffled with
-    AQE skew handling for hot values.
+    Pairs are counted first (map-side combined), so a value that many rows
+    share is one row per distinct pair; both rank tables come from those
+    counts, and rho from sums weighted by them.
     """
-    pairs = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()
-                                  & ~F.isnan(F.col(x).cast("double"))
-                                  & ~F.isnan(F.col(y).cast("double")))
-    rx, ry = mid_ranks_of(pairs, [x, y], ["_rx", "_ry"])
-    pairs = pairs.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(
+        F.col(y).cast("double"))
+    pairs = checkpointed(df.where(ok).groupBy(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+                         .agg(F.count(F.lit(1)).alias("_n")))
+    rx, ry = mid_ranks_of(pairs, [x, y], ["_rx", "_ry"], weight="_n")
     ranked = pairs.join(maybe_broadcast(rx), x).join(maybe_broadcast(ry), y)
-    return ranked.agg(F.corr("_rx", "_ry").alias("rho"),
-                      F.count(F.lit(1)).alias("n_pairs"))
+    total = pairs.agg(F.sum("_n")).first()[0] or 0
+    middle = F.lit((total + 1) / 2.0)  # the mean of all mid-ranks
+    u, v, n = F.col("_rx") - middle, F.col("_ry") - middle, F.col("_n")
+    return ranked.agg(
+        F.try_divide(F.sum(n * u * v), F.sqrt(F.sum(n * u * u) * F.sum(n * v * v))).alias("rho"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_pairs"))

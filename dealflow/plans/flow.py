@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from dealflow.functions.names import clean_names
 from dealflow.functions.scalars import DEFAULT_DATE_ORDERS, replace_all, to_date_column
 from dealflow.operators.columns import across_contains, names_containing, relocate
+from dealflow.operators.filters import require_none, where_missing
 from dealflow.operators.impute import group_median_lag, impute_by_group_median, impute_entry_stage
 from dealflow.operators.joins import lookup_join
 from dealflow.operators.metrics import closed_stages, deal_outcome, sales_cycle
-from dealflow.operators.ordering import row_id
-from dealflow.session import shared_path
+from dealflow.operators.ordering import read_order_id, row_id
+from dealflow.session import remove_path, shared_path
 from dealflow.sources import io, testdata
 
 # The raw team label merged into the canonical one.
@@ -55,9 +56,8 @@ def ingest(df: DataFrame, date_orders: Sequence[str] = DEFAULT_DATE_ORDERS,
     if id_col not in df.columns:
         if id_order:
             df = row_id(df, list(id_order), id_col)
-        else:  # read order: position taken at the scan, before any shuffle
-            pos = "__read_pos"
-            df = row_id(df.withColumn(pos, F.monotonically_increasing_id()), [pos], id_col).drop(pos)
+        else:
+            df = read_order_id(df, id_col)
     return relocate(df, id_col, before=1)
 
 
@@ -80,6 +80,7 @@ class SalesAnalysis:
         self.owner, self.rep, self.team = owner, rep, team
         self.stage, self.created, self.changed = stage, created, changed
         self._v1: DataFrame | None = None
+        self._path: str | None = None
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> SalesAnalysis:
@@ -103,13 +104,13 @@ class SalesAnalysis:
 
     def materialize(self, path: str | None = None,
                     drop_empty_of: Sequence[str] = (),
-                    partition_by: Sequence[str] = ()) -> SalesAnalysis:
+                    sort_by: Sequence[str] = ()) -> SalesAnalysis:
         """Write ``v1`` once as Parquet in the shared folder; every later frame
         reads it (with column pruning) instead of re-running scan and joins.
 
-        ``partition_by``: low-cardinality label columns (the pipeline stage)
-        to lay the table out by, so filters on them prune whole directories.
-        Each write task produces at most one file per label value.
+        ``sort_by``: label columns (the pipeline stage) that each file's rows are
+        ordered by, so that filters on them skip row groups and pages; values
+        are stored as they are (partition folders would turn '' into NULL).
 
         ``drop_empty_of``: input columns whose emptiness was not checked at
         ingest; their non-NULL counts are observed during the write itself
@@ -125,14 +126,26 @@ class SalesAnalysis:
         if check:
             observed = Observation("non_null_counts")
             out = out.observe(observed, *[F.count(F.col(c)).alias(c) for c in check])
-        out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        if sort_by:
+            out = out.sortWithinPartitions(*sort_by)
+        out.write.mode("overwrite").parquet(path)
+        self._path = path
         v1 = spark.read.schema(schema).parquet(path).select(*schema.names)
         if observed is not None:
             filled = observed.get
             v1 = v1.drop(*[c for c in check if filled[c] == 0])
         self._v1 = v1
-        for k in ("v2", "stage_medians", "imputed", "closed"):
+        self.reset()
+        return self
+
+    def reset(self) -> None:
+        """Forget derived frames, so that the next use computes them anew."""
+        for k in ("v2", "stage_medians", "imputed", "closed", "closed_deals", "closed_outcomes"):
             self.__dict__.pop(k, None)
+
+    def require_complete(self) -> SalesAnalysis:
+        """The data-quality gate: raise if imputation left a change date missing."""
+        require_none(where_missing(self.imputed, self.changed), "deals without a stage change date")
         return self
 
     @cached_property
@@ -158,6 +171,12 @@ class SalesAnalysis:
         predicate reaches the Parquet scan."""
         return closed_stages(self.closed, self.stage)
 
+    @cached_property
+    def closed_outcomes(self) -> DataFrame:
+        """Won and lost deals straight from ``v1``, for metrics that use no
+        dates: the same rows, without the imputation."""
+        return deal_outcome(closed_stages(self.v1, self.stage), self.stage)
+
 
 _PREPARED: dict[tuple[str, str], SalesAnalysis] = {}
 
@@ -179,13 +198,16 @@ def prepare(spark: SparkSession, sf_dir: str, path: str | None = None) -> SalesA
     opps = ingest(testdata.opportunities(spark, sf_dir), drop_empty="rows")
     reps = ingest_rep_team(testdata.sales_rep_team(spark, sf_dir))
     a = SalesAnalysis(opps, reps).materialize(path, drop_empty_of=opps.columns,
-                                              partition_by=["stage"])
+                                              sort_by=["stage"])
     _PREPARED[_key(spark, sf_dir)] = a
     return a
 
 
 def forget(spark: SparkSession, sf_dir: str) -> None:
-    _PREPARED.pop(_key(spark, sf_dir), None)
+    """Drop a prepared analysis and delete its table."""
+    found = _PREPARED.pop(_key(spark, sf_dir), None)
+    if found is not None and found._path:
+        remove_path(spark, found._path)
 
 
 __all__ = ["SalesAnalysis", "analysis", "forget", "ingest", "ingest_rep_team", "prepare"]

@@ -28,11 +28,12 @@ BASE_CTES = {
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN ship s ON s.k = o.o_orderkey""",
     "reps": """
-  SELECT regexp_replace(c_name, ' ', '_', 'g') AS sales_rep,
+  SELECT regexp_replace(CASE WHEN c_custkey % 50 = 0 THEN 'Former ' || c_name ELSE c_name END,
+                        ' ', '_', 'g') AS sales_rep,
          CASE WHEN c_mktsegment = 'HOUSEHOLD'
               THEN CASE WHEN c_custkey % 2 = 0 THEN 'SMB' ELSE 'TEAM SMB' END
               ELSE c_mktsegment END AS team
-  FROM customer WHERE c_custkey % 50 <> 0""",
+  FROM customer""",
     "v1": """
   SELECT o.id, regexp_replace(o.opportunity_owner, ' ', '_', 'g') AS opportunity_owner,
          regexp_replace(r.team, 'TEAM SMB', 'SMB', 'g') AS team,

@@ -14,32 +14,49 @@ BINS = 100
 EMPLOYEE_CUT = 7000
 
 
-@register("employee_histogram", with_base(f"""
+def _histogram_sql(values: str) -> str:
+    return with_base(_HISTOGRAM_SQL, "v2", {"f": values, **_HISTOGRAM_CTES})
+
+
+_HISTOGRAM_SQL = f"""
 SELECT b.bin, round(w.origin + (b.bin - 1) * w.width, 6) AS xmin,
        round(w.origin + (b.bin - 1) * w.width + w.width, 6) AS xmax,
        round(w.origin + (b.bin - 1) * w.width + w.width / 2, 6) AS x,
        coalesce(c.count, 0) AS count
 FROM (SELECT range AS bin FROM range(1, {BINS + 1})) b
 CROSS JOIN w
-LEFT JOIN c ON c.bin = b.bin""", "v2", {
-    "f": f"SELECT CAST(employees AS DOUBLE) AS x FROM v2 WHERE employees < {EMPLOYEE_CUT}",
+LEFT JOIN c ON c.bin = b.bin"""
+_HISTOGRAM_CTES = {
     "w": f"SELECT (max(x) - min(x)) / {BINS - 1} AS width, "
-         f"min(x) - (max(x) - min(x)) / {BINS - 1} / 2 AS origin FROM f",
+         f"(max(x) - min(x)) / {BINS - 1} / 2 + floor((min(x) - (max(x) - min(x)) / {BINS - 1} / 2) "
+         f"/ ((max(x) - min(x)) / {BINS - 1})) * ((max(x) - min(x)) / {BINS - 1}) AS origin FROM f",
     "c": f"SELECT CAST(least(greatest(ceil((f.x - w.origin) / w.width - 1e-8), 1), {BINS}) AS BIGINT)"
          f" AS bin, count(*) AS count FROM f CROSS JOIN w GROUP BY 1",
-}))
+}
+
+
+@register("employee_histogram", _histogram_sql(
+    f"SELECT CAST(employees AS DOUBLE) AS x FROM v2 WHERE employees < {EMPLOYEE_CUT}"))
 def employee_histogram(spark, sf):
     v2 = analysis(spark, sf).v2
     h = cd.histogram(v2.where(F.col("employees") < EMPLOYEE_CUT), "employees", BINS)
     return h.select("bin", r6("xmin"), r6("xmax"), r6("x"), "count")
 
 
+@register("cycle_start_histogram", _histogram_sql(
+    "SELECT CAST(date_diff('day', DATE '1970-01-01', created_date) AS DOUBLE) AS x FROM v2"))
+def cycle_start_histogram(spark, sf):
+    """Creation days since 1970: values that start far from zero."""
+    days = analysis(spark, sf).v2.select(F.unix_date("created_date").alias("day"))
+    return cd.histogram(days, "day", BINS).select("bin", r6("xmin"), r6("xmax"), r6("x"), "count")
+
+
 @register("chart_win_rate_bars", with_base(f"""
 SELECT team, conversion_rate,
        row_number() OVER (ORDER BY conversion_rate ASC NULLS FIRST, team ASC NULLS FIRST) AS axis_pos,
        CAST(CAST(round_even(conversion_rate * 100, 0) AS BIGINT) AS VARCHAR) || '%' AS label,
        coalesce(team = 'SMB', FALSE) AS highlight,
-       CASE WHEN coalesce(team = 'SMB', FALSE) THEN '#b96305' ELSE '#056875' END AS fill
+       CASE WHEN coalesce(team = 'SMB', FALSE) THEN '{cd.HIGHLIGHT_FILL}' ELSE '{cd.BASE_FILL}' END AS fill
 FROM ({_TEAM_CONVERSION_SQL})"""))
 def chart_win_rate_bars(spark, sf):
     return cd.win_rate_bars(_team_conversion(spark, sf))

@@ -15,6 +15,7 @@ from dealflow.operators.joins import attach_group_stat
 from dealflow.operators.ordering import row_id
 from dealflow.plans.catalog import r6, register, with_base
 from dealflow.plans.flow import analysis
+from dealflow.session import shared_path
 from dealflow.sources import io, testdata
 
 V1_COLS = ["id", "opportunity_owner", "team", "company", "stage", "created_date",
@@ -28,11 +29,11 @@ def scan_opportunities(spark, sf):
 
 
 @register("scan_rep_team", """
-SELECT c_name AS sales_rep,
+SELECT CASE WHEN c_custkey % 50 = 0 THEN 'Former ' || c_name ELSE c_name END AS sales_rep,
        CASE WHEN c_mktsegment = 'HOUSEHOLD'
             THEN CASE WHEN c_custkey % 2 = 0 THEN 'SMB' ELSE 'TEAM SMB' END
             ELSE c_mktsegment END AS team
-FROM customer WHERE c_custkey % 50 <> 0""")
+FROM customer""")
 def scan_rep_team(spark, sf):
     return testdata.sales_rep_team(spark, sf)
 
@@ -75,22 +76,10 @@ FROM (SELECT team,
 
 
 def _team_conversion(spark, sf, a=None):
-    t = m.team_conversion((a or analysis(spark, sf)).closed_deals)
+    t = m.team_conversion((a or analysis(spark, sf)).closed_outcomes)
     return t.withColumn("team_rank", F.col("team_rank").cast("long"))
 
 
-@register("export_tables", with_base(_TEAM_CONVERSION_SQL))
-def export_tables_q(spark, sf):
-    a = analysis(spark, sf)
-    tables = {
-        "team_conversion_rates": _team_conversion(spark, sf, a),
-        "average_revenue_won": m.won_revenue_by_team(a.closed_deals),
-        "average_cycle_by_outcome": m.avg_cycle_by_outcome(a.closed_deals),
-        "team_level_median_cycle_days": m.team_cycle_medians(a.closed_deals),
-    }
-    return io.export_tables(tables)["team_conversion_rates"]
-
-
 @register("preview_head", with_base("SELECT * FROM v1 ORDER BY id LIMIT 6", "v1"))
 def preview_head_q(spark, sf):
     return io.preview_head(analysis(spark, sf).v1, "id", 6)
@@ -175,6 +164,18 @@ def filter_outliers(spark, sf):
     return flt.where_below(analysis(spark, sf).v2, "employees", 7000)
 
 
+@register("remaining_missing_all_missing_stage", with_base("""
+SELECT id, stage, TRUE AS imputed_last_stage FROM v2 WHERE stage = 'Pitch Arranged'""", "v2"))
+def remaining_missing_all_missing_stage(spark, sf):
+    """What the quality gate finds when a stage has no date to take a median from."""
+    from dealflow.operators.impute import group_median_lag, impute_by_group_median
+    v2 = analysis(spark, sf).v2
+    holed = v2.withColumn("last_stage_change_date", F.when(
+        ~F.col("stage").eqNullSafe("Pitch Arranged"), F.col("last_stage_change_date")))
+    imputed = impute_by_group_median(holed, group_median_lag(holed))
+    return flt.where_missing(imputed, "last_stage_change_date").select("id", "stage", "imputed_last_stage")
+
+
 @register("remaining_missing",
           with_base("SELECT * FROM imp WHERE last_stage_change_date IS NULL", "imp"))
 def remaining_missing(spark, sf):
@@ -214,7 +215,7 @@ _COUNT_TEAM_OUTCOME = ("SELECT team, deal_outcome, count(*) AS n FROM closed "
 
 @register("count_team_outcome", with_base(_COUNT_TEAM_OUTCOME))
 def count_team_outcome(spark, sf):
-    return agg.count_by(analysis(spark, sf).closed_deals, "team", "deal_outcome")
+    return agg.count_by(analysis(spark, sf).closed_outcomes, "team", "deal_outcome")
 
 
 @register("overall_conversion", with_base("""
@@ -225,7 +226,7 @@ FROM (SELECT count(CASE WHEN deal_outcome = 'Won' THEN 1 END) AS total_won,
              count(CASE WHEN deal_outcome = 'Lost' THEN 1 END) AS total_lost
       FROM closed WHERE deal_outcome IN ('Won', 'Lost'))"""))
 def overall_conversion(spark, sf):
-    return m.overall_conversion(analysis(spark, sf).closed_deals)
+    return m.overall_conversion(analysis(spark, sf).closed_outcomes)
 
 
 @register("imputation_summary", with_base("""
@@ -283,7 +284,7 @@ FROM (SELECT team, avg(sold_price_per_registered_member) AS avg_sold_price,
       FROM closed WHERE deal_outcome = 'Won' AND sold_price_per_registered_member IS NOT NULL
       GROUP BY team)"""))
 def won_revenue_by_team(spark, sf):
-    t = m.won_revenue_by_team(analysis(spark, sf).closed_deals)
+    t = m.won_revenue_by_team(analysis(spark, sf).closed_outcomes)
     return t.select("team", r6("avg_sold_price"), r6("median_sold_price"), "won_deals_count",
                     r6("total_revenue"))
 
@@ -300,7 +301,7 @@ SELECT team, max(CASE WHEN deal_outcome = 'Lost' THEN n END) AS "Lost",
        max(CASE WHEN deal_outcome = 'Won' THEN n END) AS "Won"
 FROM ({_COUNT_TEAM_OUTCOME}) GROUP BY team"""))
 def contingency_wide(spark, sf):
-    long = agg.count_by(analysis(spark, sf).closed_deals, "team", "deal_outcome")
+    long = agg.count_by(analysis(spark, sf).closed_outcomes, "team", "deal_outcome")
     return agg.pivot_wider(long, "team", "deal_outcome", "n", [m.LOST, m.WON])
 
 
@@ -317,7 +318,7 @@ def team_cycle_medians(spark, sf):
 SELECT stage, n, round(n / sum(n) OVER () * 100, 6) AS percent
 FROM (SELECT stage, count(*) AS n FROM closed WHERE deal_outcome = 'Lost' GROUP BY stage)"""))
 def lost_stage_share(spark, sf):
-    t = m.lost_stage_share(analysis(spark, sf).closed_deals)
+    t = m.lost_stage_share(analysis(spark, sf).closed_outcomes)
     return t.select("stage", "n", r6("percent"))
 
 
@@ -393,3 +394,29 @@ def impute_new_stage(spark, sf):
     "SELECT id, team, deal_outcome, sales_cycle_days FROM closed"))
 def sales_cycle(spark, sf):
     return analysis(spark, sf).closed.select("id", "team", "deal_outcome", "sales_cycle_days")
+
+
+# ---------------------------------------------------------------- exports
+def _export(name, table):
+    """Write a result table and read it back."""
+    return io.export_tables({name: table})[name]
+
+
+def _register_exports() -> None:
+    from dealflow.plans.catalog import ORACLE
+    for key, name, fn in (("export_tables", "team_conversion_rates", team_conversion),
+                          ("export_won_revenue", "average_revenue_won", won_revenue_by_team),
+                          ("export_cycle_by_outcome", "average_cycle_by_outcome", avg_cycle_by_outcome),
+                          ("export_team_cycle_medians", "team_level_median_cycle_days", team_cycle_medians)):
+        register(key, ORACLE[fn.__name__])(lambda spark, sf, n=name, f=fn: _export(n, f(spark, sf)))
+
+
+_register_exports()
+
+
+@register("read_opportunities", with_base("SELECT * FROM opps", "opps"))
+def read_opportunities_q(spark, sf):
+    """Write the opportunities, then read them with the declared schema."""
+    path = shared_path(spark, "opportunities")
+    io.write_table(testdata.opportunities(spark, sf), path)
+    return io.read_opportunities(spark, path, schema=io.OPPORTUNITY_SCHEMA)

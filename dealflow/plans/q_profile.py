@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from dealflow.operators import profile as pr
 from dealflow.plans.catalog import r6, register, with_base
 from dealflow.plans.flow import analysis
@@ -31,7 +33,7 @@ def _numeric_sql() -> str:
 def _categorical_sql() -> str:
     parts = []
     for c in CATEGORICAL:
-        top = (f"(SELECT string_agg(substr(v, 1, 3) || ': ' || CAST(n AS VARCHAR), ', ' "
+        top = (f"(SELECT string_agg(v || ': ' || CAST(n AS VARCHAR), ', ' "
                f"ORDER BY n DESC, v) FROM (SELECT {c} AS v, count(*) AS n FROM v2 "
                f"WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 4))")
         parts.append(f"SELECT '{c}' AS skim_variable, {_miss(c)}, "
@@ -67,7 +69,8 @@ def profile_numeric(spark, sf):
 @register("profile_categorical", _categorical_sql())
 def profile_categorical(spark, sf):
     t = pr.profile_categorical(analysis(spark, sf).v2, CATEGORICAL)
-    return t.select("skim_variable", "n_missing", r6("complete_rate"), "n_unique", "top_counts")
+    top = F.array_join(F.transform("top_counts", lambda s: F.concat(s["value"], F.lit(": "), s["n"])), ", ")
+    return t.select("skim_variable", "n_missing", r6("complete_rate"), "n_unique", top.alias("top_counts"))
 
 
 @register("profile_date", _date_sql())
@@ -84,3 +87,20 @@ def profile_boolean(spark, sf):
                     "n_true", "n_false")
 
 
+
+
+def _skim_sql() -> str:
+    kinds = [("numeric", c) for c in NUMERIC] + [("categorical", c) for c in CATEGORICAL]
+    kinds += [("date", c) for c in DATES] + [("boolean", "imputed_last_stage")]
+    return with_base("\nUNION ALL\n".join(
+        f"SELECT '{k}' AS kind, '{c}' AS skim_variable, {_miss(c)} FROM v2" for k, c in kinds), "v2")
+
+
+@register("skim", _skim_sql())
+def skim(spark, sf):
+    """The one-call profile: every column under its type family."""
+    out = None
+    for kind, frame in pr.skim(analysis(spark, sf).v2).items():
+        part = frame.select(F.lit(kind).alias("kind"), "skim_variable", "n_missing", r6("complete_rate"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import functions as F
 
 from dealflow.operators import metrics as m
 from dealflow.operators import stats as st
@@ -22,8 +25,25 @@ LEFT JOIN (SELECT team, deal_outcome, count(*) AS n FROM closed
   ON c.team IS NOT DISTINCT FROM t.team AND c.deal_outcome = o.deal_outcome"""
 
 
+_CHI_SQL = f"""
+SELECT sum((n - e) * (n - e) / e) AS statistic,
+       CAST((count(DISTINCT coalesce(team, '<null>')) - 1) * (count(DISTINCT deal_outcome) - 1) AS BIGINT) AS df
+FROM (SELECT n, sum(n) OVER (PARTITION BY team)::DOUBLE * sum(n) OVER (PARTITION BY deal_outcome)
+                / sum(n) OVER () AS e, team, deal_outcome
+      FROM ({_LONG_SQL}))"""
+
+
 def _long(spark, sf):
-    return st.contingency(analysis(spark, sf).closed_deals, "team", "deal_outcome", [m.LOST, m.WON])
+    return st.contingency(analysis(spark, sf).closed_outcomes, "team", "deal_outcome", [m.LOST, m.WON])
+
+
+def _near_tail(p, long, replicates):
+    """Whether a simulated p lies within four of its standard errors of the
+    chi-square tail, taken from the normal approximation of its cube root."""
+    t = st.chi_square(long, "team", "deal_outcome").first()
+    h = 2 / (9 * t.df)
+    q = 0.5 * math.erfc(((t.statistic / t.df) ** (1 / 3) - 1 + h) / math.sqrt(2 * h))
+    return abs(p - q) <= 4 * math.sqrt(q * (1 - q) / replicates) + 1 / (replicates + 1)
 
 
 @register("contingency_long", with_base(_LONG_SQL))
@@ -31,26 +51,44 @@ def contingency_long(spark, sf):
     return _long(spark, sf)
 
 
-@register("chi_square", with_base(f"""
-SELECT round(sum((n - e) * (n - e) / e), 6) AS statistic,
-       CAST((count(DISTINCT coalesce(team, '<null>')) - 1) * (count(DISTINCT deal_outcome) - 1) AS BIGINT) AS df
-FROM (SELECT n, sum(n) OVER (PARTITION BY team) * sum(n) OVER (PARTITION BY deal_outcome)
-                / sum(n) OVER () AS e, team, deal_outcome
-      FROM ({_LONG_SQL}))"""))
+@register("chi_square", with_base(f"SELECT round(statistic, 6) AS statistic, df FROM ({_CHI_SQL})"))
 def chi_square(spark, sf):
     return st.chi_square(_long(spark, sf), "team", "deal_outcome").select(r6("statistic"), "df")
 
 
-@register("chi_square_mc")
+@register("chi_square_mc", with_base(f"""
+SELECT round(statistic, 6) AS statistic, df, CAST({CHI_REPLICATES} AS BIGINT) AS replicates, TRUE AS p_near_tail
+FROM ({_CHI_SQL})"""))
 def chi_square_mc(spark, sf):
-    return st.chi_square_mc(spark, _long(spark, sf), "team", "deal_outcome",
-                            replicates=CHI_REPLICATES, seed=SEED)
+    long = _long(spark, sf)
+    t = st.chi_square_mc(spark, long, "team", "deal_outcome", replicates=CHI_REPLICATES, seed=SEED)
+    near = _near_tail(t.first().p_value, long, CHI_REPLICATES)
+    return t.select(r6("statistic"), "df", "replicates", F.lit(near).alias("p_near_tail"))
 
 
-@register("fisher_mc")
+@register("fisher_mc", with_base(f"""
+SELECT 'simulated' AS method, CAST({FISHER_REPLICATES} AS BIGINT) AS replicates, TRUE AS p_near_tail"""))
 def fisher_mc(spark, sf):
-    return st.fisher_mc(spark, _long(spark, sf), "team", "deal_outcome",
-                        replicates=FISHER_REPLICATES, seed=SEED)
+    long = _long(spark, sf)
+    t = st.fisher_mc(spark, long, "team", "deal_outcome", replicates=FISHER_REPLICATES, seed=SEED)
+    near = _near_tail(t.first().p_value, long, FISHER_REPLICATES)
+    return t.select("method", "replicates", F.lit(near).alias("p_near_tail"))
+
+
+@register("fisher_team_against_rest", with_base(f"""
+SELECT 'exact' AS method, round(sum(CASE WHEN w <= obs + 1e-7 THEN exp(w) ELSE 0 END) / sum(exp(w)), 6) AS p_value
+FROM (SELECT lw - max(lw) OVER () AS w, max(CASE WHEN x = a THEN lw END) OVER () - max(lw) OVER () AS obs
+      FROM (SELECT x, a, -(lgamma(x + 1) + lgamma(g - x + 1) + lgamma(k - x + 1) + lgamma(b - k + x + 1)) AS lw
+            FROM (SELECT *, unnest(range(greatest(0, k - b), least(k, g) + 1)) AS x
+                  FROM (SELECT sum(n) FILTER (team = 'SMB' AND deal_outcome = 'Lost')::BIGINT AS a,
+                               sum(n) FILTER (deal_outcome = 'Lost')::BIGINT AS g,
+                               sum(n) FILTER (deal_outcome = 'Won')::BIGINT AS b,
+                               sum(n) FILTER (team = 'SMB')::BIGINT AS k FROM ({_LONG_SQL})))))"""))
+def fisher_team_against_rest(spark, sf):
+    """The highlighted team against all others: an exact 2 x 2 test."""
+    two = analysis(spark, sf).closed_outcomes.withColumn("team", F.coalesce(F.col("team") == "SMB", F.lit(False)))
+    long = st.contingency(two, "team", "deal_outcome", [m.LOST, m.WON])
+    return st.fisher_mc(spark, long, "team", "deal_outcome", seed=SEED).select("method", r6("p_value"))
 
 
 @register("spearman_size_cycle", with_base("""
@@ -63,5 +101,3 @@ FROM (SELECT (rank() OVER (ORDER BY employees) + count(*) OVER (PARTITION BY emp
 def spearman_size_cycle(spark, sf):
     out = st.spearman(analysis(spark, sf).closed, "employees", "sales_cycle_days")
     return out.select(r6("rho"), "n_pairs")
-
-

@@ -36,9 +36,10 @@ EXPORT_NAMES = ("team_conversion_rates", "average_revenue_won", "average_cycle_b
 def run_report(spark: SparkSession, a: SalesAnalysis, out_dir: str | None = None,
                seed: int = 0, show: bool = True) -> dict[str, DataFrame]:
     """Compute every result of the analysis from a prepared ``SalesAnalysis``."""
-    closed = a.closed_deals
-    long = st.contingency(closed, "team", "deal_outcome", [m.LOST, m.WON])
-    rates = m.team_conversion(closed)
+    a.require_complete()
+    closed, outcomes = a.closed_deals, a.closed_outcomes
+    long = st.contingency(outcomes, "team", "deal_outcome", [m.LOST, m.WON])
+    rates = m.team_conversion(outcomes)
     results: dict[str, DataFrame] = {
         "preview": io.preview_head(a.v1),
         "null_profile": null_profile(a.v1),
@@ -48,12 +49,12 @@ def run_report(spark: SparkSession, a: SalesAnalysis, out_dir: str | None = None
         "price_by_stage": m.price_by_stage(a.v2),
         "employee_histogram": cd.histogram(a.v2.where(F.col("employees") < EMPLOYEE_CUT),
                                            "employees", BINS),
-        "overall_conversion": m.overall_conversion(closed),
+        "overall_conversion": m.overall_conversion(outcomes),
         "fisher": st.fisher_mc(spark, long, "team", "deal_outcome",
                                replicates=FISHER_REPLICATES, seed=seed),
         "chi_square": st.chi_square_mc(spark, long, "team", "deal_outcome",
                                        replicates=CHI_REPLICATES, seed=seed),
-        "lost_stage_share": m.lost_stage_share(closed),
+        "lost_stage_share": m.lost_stage_share(outcomes),
         "spearman": st.spearman(a.closed, "employees", "sales_cycle_days"),
         "win_rate_bars": cd.win_rate_bars(rates),
         "cycle_boxplot": cd.boxplot_stats(closed, ["team", "deal_outcome"], "sales_cycle_days"),
@@ -61,13 +62,15 @@ def run_report(spark: SparkSession, a: SalesAnalysis, out_dir: str | None = None
     for kind, frame in pr.skim(a.v2).items():
         results[f"profile_{kind}"] = frame
     exports = dict(zip(EXPORT_NAMES, (
-        rates, m.won_revenue_by_team(closed), m.avg_cycle_by_outcome(closed),
+        rates, m.won_revenue_by_team(outcomes), m.avg_cycle_by_outcome(closed),
         m.team_cycle_medians(closed))))
     results.update(io.export_tables(exports, out_dir))
     if show:
         for name, frame in results.items():
             print(f"== {name}")
-            frame.show(40, truncate=False)
+            print(" | ".join(frame.columns))
+            for r in frame.toLocalIterator():  # whole tables, a partition at a time
+                print(" | ".join("" if v is None else str(v) for v in r))
     return results
 
 

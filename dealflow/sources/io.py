@@ -21,12 +21,6 @@ OPPORTUNITY_SCHEMA = T.StructType([
     T.StructField("sold_price_per_registered_member", T.DoubleType()),
 ])
 
-REP_TEAM_SCHEMA = T.StructType([
-    T.StructField("sales_rep", T.StringType()),
-    T.StructField("team", T.StringType()),
-])
-
-
 # Column types of the two inputs by cleaned name, applied after name cleaning
 # when the source carries no types (CSV read as text).
 OPPORTUNITY_TYPES = {f.name: f.dataType.simpleString() for f in OPPORTUNITY_SCHEMA.fields

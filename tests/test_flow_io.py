@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -27,6 +28,27 @@ def test_prepared_equals_lazy(spark):
         forget(spark, SF_SMALL)
 
 
+def test_prepared_keeps_blank_and_null_stages(spark):
+    day = dt.date(2020, 1, 1)
+    opps = spark.createDataFrame(
+        [(1, "a", "", day, None), (2, "a", None, day, None), (3, "a", "NEW", day, None), (4, "a", "", day, day)],
+        "id long, opportunity_owner string, stage string, created_date date, last_stage_change_date date")
+    reps = spark.createDataFrame([("a", "SMB")], "sales_rep string, team string")
+    lazy = _rows(SalesAnalysis(opps, reps).imputed)
+    stored = SalesAnalysis(opps, reps).materialize(sort_by=["stage"])
+    assert _rows(stored.imputed) == lazy
+
+
+def test_gate_stops_the_flow(spark):
+    from dealflow.operators.filters import DataQualityError
+    opps = spark.createDataFrame([(1, "a", "Pitch", dt.date(2020, 1, 1), None)],
+                                 "id long, opportunity_owner string, stage string, created_date date, "
+                                 "last_stage_change_date date")
+    reps = spark.createDataFrame([("a", "SMB")], "sales_rep string, team string")
+    with pytest.raises(DataQualityError):
+        SalesAnalysis(opps, reps).require_complete()
+
+
 def test_raw_ingest_end_to_end(spark):
     raw = spark.createDataFrame([
         ("Ann Lee", "Acme GmbH", "Closed Won", "2020/01.05", "2020-02-01", 12, 35.0, None),
@@ -105,7 +127,7 @@ def test_materialize_drops_empty_columns_observed_in_write(spark):
     reps = spark.createDataFrame([("a", "SMB")], "sales_rep string, team string")
     a = SalesAnalysis(opps, reps).materialize(
         tempfile.mkdtemp(prefix="dealflow-mat-") + "/v1", drop_empty_of=opps.columns,
-        partition_by=["stage"])
+        sort_by=["stage"])
     assert "notes" not in a.v1.columns and "last_stage_change_date" in a.v1.columns
     assert a.v1.columns[:3] == ["id", "opportunity_owner", "team"]
     assert {r.id: (r.team, r.stage) for r in a.v1.collect()} == {

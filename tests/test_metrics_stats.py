@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dealflow.operators import metrics as m
+from dealflow.operators import montecarlo as mc
 from dealflow.operators import stats as st
 
 SCHEMA = "team string, deal_outcome string, sales_cycle_days double"
@@ -116,13 +118,92 @@ def test_monte_carlo_p_reproducible_and_bounded(spark):
     assert f.method == "simulated" and 1 / 2001 <= f.p_value <= 1
 
 
-def test_sampler_keeps_margins():
-    import numpy as np
+def test_split_keeps_margins():
     rng = np.random.default_rng(1)
-    rows, cols = np.array([5, 7, 9]), np.array([4, 8, 9])
-    tabs = st._sample_tables(rng, rows, cols, 500)
-    assert (tabs.sum(axis=2) == rows).all() and (tabs.sum(axis=1) == cols).all()
-    assert (tabs >= 0).all()
+    for cols in ([4, 8, 9], [2 * 10**11, 2 * 10**11 + 5, 7]):
+        pool = np.tile(np.array(cols), (500, 1))
+        drawn = mc.split(rng, pool, sum(cols) // 3)
+        assert (drawn.sum(axis=1) == sum(cols) // 3).all() and (drawn >= 0).all() and (drawn <= pool).all()
+
+
+def _chi(counts, probs):
+    keep = probs * counts.sum() >= 5
+    e = probs[keep] * counts.sum()
+    return ((counts[keep] - e) ** 2 / e).sum(), int(keep.sum())
+
+
+@pytest.mark.parametrize("good,bad,n", [(5, 4 * 10**11, 4 * 10**10), (4 * 10**10, 4 * 10**11, 5),
+                                        (60, 2 * 10**9, 5 * 10**8), (2 * 10**9, 60, 10**9)])
+def test_large_draws_have_the_exact_distribution(good, bad, n):
+    m = 40000
+    x = mc.hypergeometric(np.random.default_rng(3), np.full(m, good), np.full(m, bad), np.full(m, n))
+    low, high = max(0, n - bad), min(n, good)
+    xs = np.arange(low, high + 1) if high - low < 100 else np.arange(low, low + 100)
+    logs = np.array([math.lgamma(good + 1) - math.lgamma(k + 1) - math.lgamma(good - k + 1) if good < 100 else 0.0
+                     for k in xs.tolist()])
+    # with few of one kind in a huge table the draw is binomial up to 1e-8
+    small, share, flip = (good, n / (good + bad), False) if good < 100 else (
+        (n, good / (good + bad), False) if n < 100 else (bad, n / (good + bad), True))
+    k = np.arange(small + 1)
+    probs = np.array([math.comb(small, int(i)) * share ** int(i) * (1 - share) ** int(small - i) for i in k])
+    drawn = n - x if flip else x
+    stat, cells = _chi(np.bincount(drawn, minlength=small + 1), probs)
+    assert stat < cells + 5 * math.sqrt(2 * cells) and len(logs) == len(xs)
+
+
+def test_large_draws_agree_with_numpy(monkeypatch):
+    args = [np.full(30000, v) for v in (3000, 5000, 2000)]
+    want = np.random.default_rng(4).hypergeometric(*args)
+    monkeypatch.setattr(mc, "_NUMPY_MOST", 0)
+    got = mc.hypergeometric(np.random.default_rng(5), *args)
+    assert abs(got.mean() - want.mean()) < 5 * want.std() / math.sqrt(15000)
+    assert abs(got.std() / want.std() - 1) < 0.03
+
+
+def test_log_factorial_ratio_is_precise():
+    for x, m in ((10**12 + 5, 10**12), (300, 200), (10, 3), (1000, 20)):
+        want = sum(math.log(k) for k in range(m + 1, x + 1)) if x - m < 2000 else None
+        assert math.isclose(float(mc.log_factorial_ratio(x, m)), want, rel_tol=1e-12)
+
+
+def test_huge_counts_through_all_tests(spark):
+    n = 5 * 10**9
+    rows = [("A", "Lost", n), ("A", "Won", n), ("B", "Lost", n), ("B", "Won", n + 40000), ("C", "Lost", 3), ("C", "Won", 2)]
+    long = spark.createDataFrame(rows, "team string, deal_outcome string, n long")
+    table = np.array([[n, n], [n, n + 40000], [3, 2]], float)
+    e = table.sum(1)[:, None] * table.sum(0) / table.sum()
+    want = ((table - e) ** 2 / e).sum()
+    assert math.isclose(st.chi_square(long, "team", "deal_outcome").first().statistic, want, rel_tol=1e-6)
+    r = st.chi_square_mc(spark, long, "team", "deal_outcome", replicates=400, seed=2).first()
+    assert math.isclose(r.statistic, want, rel_tol=1e-6)
+    q = math.exp(-want / 2)  # two degrees of freedom
+    assert abs(r.p_value - q) < 4 * math.sqrt(q * (1 - q) / 400) + 0.02
+    f = st.fisher_mc(spark, long, "team", "deal_outcome", replicates=400, seed=2).first()
+    assert abs(f.p_value - q) < 4 * math.sqrt(q * (1 - q) / 400) + 0.03
+    # one degree of freedom: z = difference of shares over its deviation
+    z = (n + 40000 - n) / 2 / math.sqrt(n / 4 * 2)
+    p = st.fisher_mc(spark, long.where("team <> 'C'"), "team", "deal_outcome").first().p_value
+    assert math.isclose(p, math.erfc(z / math.sqrt(2) / math.sqrt(2)), rel_tol=0.02)
+
+
+def test_tables_of_many_rows_and_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    long = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("team"), F.explode(F.array(
+        F.struct(F.lit("Lost").alias("deal_outcome"), (F.col("id") % 5 + 1).alias("n")),
+        F.struct(F.lit("Won").alias("deal_outcome"), ((F.col("id") * 7) % 5 + 1).alias("n")))).alias("s")).select("team", "s.*")
+    ps = []
+    for size in (4096, 200):  # one block of rows, then a tree of fifteen
+        monkeypatch.setattr(mc, "ROWS_PER_BLOCK", size)
+        ps.append(st.chi_square_mc(spark, long, "team", "deal_outcome", replicates=600, seed=1).first().p_value)
+    assert abs(ps[0] - ps[1]) < 6 * math.sqrt(0.25 / 600)
+
+
+def test_spearman_with_a_hot_value(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("a"),
+                                  ((F.col("id") * 17) % 40).cast("double").alias("b"))
+    pdf = df.toPandas().rank()
+    assert math.isclose(st.spearman(df, "a", "b").first().rho, pdf["a"].corr(pdf["b"]), rel_tol=1e-9)
 
 
 def test_spearman_ties_matches_ml(spark):
@@ -137,15 +218,6 @@ def test_spearman_ties_matches_ml(spark):
     assert math.isclose(ours.rho, ml, rel_tol=1e-9, abs_tol=1e-12)
 
 
-def test_sampler_large_margins():
-    import numpy as np
-    rng = np.random.default_rng(2)
-    rows, cols = np.array([3 * 10**11, 10**11, 5]), np.array([2 * 10**11, 2 * 10**11 + 5])
-    tabs = st._sample_tables(rng, rows, cols, 50)
-    assert (tabs.sum(axis=2) == rows).all() and (tabs.sum(axis=1) == cols).all()
-    assert (tabs >= 0).all()
-
-
 def test_monte_carlo_independent_of_partitioning(spark):
     long = _table_3x2(spark)
     ps = {st.chi_square_mc(spark, long, "team", "deal_outcome", replicates=3000, seed=11,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dealflow.operators import chartdata as cd
 from dealflow.operators import profile as pr
 from dealflow.operators.aggregates import null_profile
-from dealflow.operators.ordering import exact_quantiles, mid_ranks, row_id
+from dealflow.operators.ordering import mid_ranks_of, read_order_id, row_id
 from dealflow.sources.io import remove_empty
 
 
@@ -18,21 +18,16 @@ def test_row_id_dense_matches_row_number(spark):
     assert sorted(map(tuple, ours.collect())) == sorted((r.rid, r.k) for r in ref.collect())
 
 
-def test_exact_quantiles_match_percentile(spark):
-    random.seed(3)
-    vals = [float(random.randint(0, 50)) for _ in range(777)] + [None]
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    ours = exact_quantiles(df, "x", probs).first()
-    ref = df.agg(F.percentile("x", probs)).first()[0]
-    for a, b in zip(ours, ref):
-        assert abs(a - b) < 1e-9
+def test_read_order_id_counts_without_sorting(spark):
+    df = spark.range(0, 1000, numPartitions=6).where("id % 3 <> 0").select(F.col("id").alias("k"))
+    got = [(r.rid, r.k) for r in read_order_id(df, "rid").orderBy("rid").collect()]
+    assert got == [(i + 1, k) for i, k in enumerate(k for k in range(1000) if k % 3)]
 
 
-def test_mid_ranks(spark):
-    df = spark.createDataFrame([(v,) for v in [10, 20, 20, 30, 30, 30, None]], "x int")
-    got = {r.x: r.rank for r in mid_ranks(df, "x").collect()}
-    assert got == {10: 1.0, 20: 2.5, 30: 5.0}
+def test_mid_ranks_weighted(spark):
+    df = spark.createDataFrame([(10, 1), (20, 2), (30, 3)], "x int, n long")
+    ranks, = mid_ranks_of(df, ["x"], ["rank"], weight="n")
+    assert {r.x: r["rank"] for r in ranks.collect()} == {10.0: 1.0, 20.0: 2.5, 30.0: 5.0}
 
 
 def test_remove_empty_rows_and_columns(spark):
@@ -57,7 +52,7 @@ def test_profiles(spark):
     num = pr.profile_numeric(df).first()
     assert (num.n_missing, num.p50, num.p0, num.p100) == (0, 2.5, 1.0, 4.0)
     cat = pr.profile_categorical(df).first()
-    assert (cat.n_missing, cat.n_unique, cat.top_counts) == (1, 2, "aa: 2, bb: 1")
+    assert (cat.n_missing, cat.n_unique, [tuple(t) for t in cat.top_counts]) == (1, 2, [("aa", 2), ("bb", 1)])
     b = pr.profile_boolean(df).first()
     assert (b.n_missing, b.n_true, b.n_false) == (1, 2, 1)
 
@@ -70,6 +65,9 @@ def test_histogram_rejects_constant_and_counts_all(spark):
     h = cd.histogram(df, "x", 10).collect()
     assert len(h) == 10 and sum(r["count"] for r in h) == 1000
     assert h[0].xmin < 0 < h[0].xmax
+    off = spark.range(10, 308).select(F.col("id").alias("x"))  # width 3: edges at odd multiples of 1.5
+    h = sorted(cd.histogram(off, "x", 100).collect(), key=lambda r: r.bin)
+    assert (h[0].xmin, len(h), sum(r["count"] for r in h)) == (7.5, 100, 298)
 
 
 def test_boxplot_whisker_stops_before_outlier(spark):
@@ -115,12 +113,12 @@ def test_row_id_spreads_a_hot_key(spark):
     assert order == sorted(order)
 
 
-def test_mid_ranks_of_matches_single(spark):
-    from dealflow.operators.ordering import mid_ranks_of
+def test_mid_ranks_of_several_columns(spark):
     random.seed(9)
     rows = [(random.randint(0, 20), float(random.randint(0, 5)) if random.random() > 0.1 else None)
             for _ in range(400)]
     df = spark.createDataFrame(rows, "a int, b double")
-    ra, rb = mid_ranks_of(df, ["a", "b"], ["ra", "rb"])
-    assert {r.a: r.ra for r in ra.collect()} == {float(r.a): r.rank for r in mid_ranks(df, "a").collect()}
-    assert {r.b: r.rb for r in rb.collect()} == {r.b: r.rank for r in mid_ranks(df, "b").collect()}
+    for c, ranks in zip("ab", mid_ranks_of(df, ["a", "b"], ["ra", "rb"])):
+        values = sorted(float(v) for v in (r[0 if c == "a" else 1] for r in rows) if v is not None)
+        want = {v: (values.index(v) + 1 + len(values) - values[::-1].index(v)) / 2 for v in values}
+        assert {r[0]: r[1] for r in ranks.collect()} == want
