@@ -116,3 +116,41 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(table(spark, sf_dir, "conversations"))
+
+
+# Both reach a document's or vector's component by passing least ids along links.
+_COMPONENTS = """
+sides AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(id, least_id) AS (
+  SELECT DISTINCT x, x FROM sides
+  UNION SELECT sides.y, reach.least_id FROM reach JOIN sides ON sides.x = reach.id WHERE reach.least_id < sides.y),
+comp AS (SELECT id, min(least_id) AS component_id FROM reach GROUP BY id)"""
+
+ORACLE["op4_setsketch"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+                            FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL)
+          JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+{_COMPONENTS}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = doc_id"""
+
+ORACLE["op7_hyperplanes"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+          ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+{_COMPONENTS},
+many AS (SELECT x AS id, count(*) AS n FROM sides GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN many ON many.id = vec_id LEFT JOIN comp ON comp.id = vec_id"""
