@@ -91,12 +91,12 @@ def test_report_runs(spark):
     a = prepare(spark, SF_SMALL)
     try:
         res = run_report(spark, a, tempfile.mkdtemp(prefix="dealflow-report-"), seed=1, show=False)
+        for name in EXPORT_NAMES:
+            assert res[name].count() > 0
+        assert res["remaining_missing"].count() == 0
+        assert {"profile_numeric", "profile_categorical", "profile_date", "profile_boolean"} <= set(res)
     finally:
-        forget(spark, SF_SMALL)
-    for name in EXPORT_NAMES:
-        assert res[name].count() > 0
-    assert res["remaining_missing"].count() == 0
-    assert {"profile_numeric", "profile_categorical", "profile_date", "profile_boolean"} <= set(res)
+        forget(spark, SF_SMALL)  # deletes the prepared table that the results read
 
 
 def test_csv_text_ingest_with_types(spark):
