@@ -222,5 +222,5 @@ def pseudonymise(docs: DataFrame, secret: bytes, text: str = "text", key: str =
                  pa.array([s for _, s in out], pa.string())], ["doc_id", "text", "n_entities", "spans"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(per_text, "blob", "left").select("doc_id", "text", "names").mapInArrow(
+    return rows.join(per_text.hint("merge"), "blob", "left").select("doc_id", "text", "names").mapInArrow(
         run, f"doc_id {kind}, text string, n_entities long, spans string")

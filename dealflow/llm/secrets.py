@@ -153,7 +153,7 @@ def redact(docs: DataFrame, found: DataFrame, text: str = "text", length: str |
 
     clean = F.aggregate("__spans", start, step, lambda acc: F.concat(
         acc.out, F.substring(F.col(text), (acc.at + 1).cast("int"), F.length(F.col(text)))))
-    rows = docs.withColumn("__blob", address(docs, text)).join(hits, "__blob", "left")
+    rows = docs.withColumn("__blob", address(docs, text)).join(hits.hint("merge"), "__blob", "left")
     rows = rows.withColumn(text, F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(text)))
     if length in docs.columns:
         now = F.length(text).cast(docs.schema[length].dataType)

@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.any_value("registers").alias("registers"))
     groups = components(band_ties(materialize(classes, "classes")))
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    members = texts.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
+    # one plan at every size: the number of candidates grows with the corpus
+    members = texts.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).hint("merge"), "rep")
     found = components(confirmed(members))
     final = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")).join(
         found.withColumnRenamed("node", "rep"), "rep", "left").select(
