@@ -39,35 +39,43 @@ def directions(size: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, size]).standard_normal((size, bits * tables))
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """Unit vectors (float64 bytes) and table keys of the valid vectors, by length."""
+def unit_vectors(vecs: np.ndarray) -> np.ndarray:
+    """Rows at length 1 in double precision; huge and tiny components keep a finite length."""
+    scaled = vecs.astype(float) / np.abs(vecs).max(axis=1).astype(float)[:, None]
+    return scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
+
+
+def key_type(bits: int) -> str:
+    return "<u2" if bits <= 16 else "<u4"
+
+
+def keyed_rows(batches: Iterator[pa.RecordBatch], bits: int, tables: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """The valid vectors (in their own precision) and their table keys, by length."""
     powers = 1 << np.arange(bits)
     for b in batches:
         rows = [(i, np.array([np.nan if x is None else x for x in v], float))
                 for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist()) if v and i is not None]
         for size in {len(v) for _, v in rows}:
             ids = [i for i, v in rows if len(v) == size]
-            vecs = np.array([v for _, v in rows if len(v) == size]) + 0.0  # no negative zeros
+            vecs = np.array([v for _, v in rows if len(v) == size]).astype(kind) + np.dtype(kind).type(0)  # no -0
             top = np.abs(vecs).max(axis=1)
             ok = np.isfinite(top) & (top > 0)
-            scaled = vecs[ok] / top[ok, None]  # huge and tiny components keep a finite length
-            unit = scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
+            unit = unit_vectors(vecs[ok])
             sign = (unit @ directions(size, bits, tables) > 0).reshape(len(unit), tables, bits)
-            keys = (sign * powers).sum(2).astype("<u4")
+            keys = (sign * powers).sum(2).astype(key_type(bits))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, k in zip(ids, ok) if k], pa.int64()),
                  pa.array([v.tobytes() for v in vecs[ok]], pa.binary()),
-                 pa.array([u.tobytes() for u in unit], pa.binary()),
-                 pa.array([k.tobytes() for k in keys], pa.binary())], ["id", "raw", "unit", "keys"])
+                 pa.array([k.tobytes() for k in keys], pa.binary())], ["id", "raw", "keys"])
 
 
-def compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def compare(batches: Iterator[pa.RecordBatch], cosine: float, bits: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Per block pair: (a, null, links) counts and (a, b, null) star edges."""
     for t in runs(batches, ["tab", "bucket", "size", "i", "j"]):
         tab, i, j = (t[c][0].as_py() for c in ("tab", "i", "j"))
         ids, side = t["rep"].to_numpy(), t["side"].to_numpy()
-        unit = np.array([np.frombuffer(x) for x in t["unit"].to_pylist()])
-        keys = np.array([np.frombuffer(x, "<u4") for x in t["keys"].to_pylist()])
+        unit = unit_vectors(np.array([np.frombuffer(x, kind) for x in t["raw"].to_pylist()]))
+        keys = np.array([np.frombuffer(x, key_type(bits)) for x in t["keys"].to_pylist()])
         one = np.flatnonzero(side == i)
         two = one if i == j else np.flatnonzero(side == j)
         near = unit[one] @ unit[two].T >= cosine
@@ -102,21 +110,23 @@ def near_vectors(df: DataFrame, vec: str = "embedding", key: str = "vec_id", cos
     that repeats an id with the same vector counts as one more copy.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec"))
+    kind = "<f4" if df.schema[vec].dataType.elementType.typeName() == "float" else "<f8"
     valid = materialize(rows.mapInArrow(
-        lambda it: unit_rows(it, bits, tables), "id long, raw binary, unit binary, keys binary"), "vectors")
+        lambda it: keyed_rows(it, bits, tables, kind), "id long, raw binary, keys binary"), "vectors")
     members = valid.groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("copies"),
-                                       F.any_value("unit").alias("unit"), F.any_value("keys").alias("keys"))
+                                       F.any_value("keys").alias("keys"))
     members = materialize(members, "vector-classes")
-    placed = members.withColumn("size", F.length("unit")).withColumn(
+    wide = np.dtype(key_type(bits)).itemsize
+    placed = members.withColumn("size", F.length("raw")).withColumn(
         "tab", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
-    placed = placed.withColumn("bucket", F.xxhash64(F.substring("keys", F.col("tab") * 4 + 1, F.lit(4))))
+    placed = placed.withColumn("bucket", F.xxhash64(F.substring("keys", F.col("tab") * wide + 1, F.lit(wide))))
     spot = ["tab", "bucket", "size"]
     full = placed.groupBy(*spot).agg(F.count("*").alias("c")).where("c > 1").select(
         *spot, F.ceil(F.col("c") / BLOCK_ROWS).alias("n_blocks"))
     sort = [*spot, "i", "j"]
     found = materialize(block_pairs(placed.join(full, spot), "bucket", "rep", "n_blocks").select(
-        *sort, "side", "rep", "copies", "unit", "keys").repartition(*sort).sortWithinPartitions(*sort).mapInArrow(
-        lambda it: compare(it, cosine), "a long, b long, links long"), "vector-links")
+        *sort, "side", "rep", "copies", "raw", "keys").repartition(*sort).sortWithinPartitions(*sort).mapInArrow(
+        lambda it: compare(it, cosine, bits, kind), "a long, b long, links long"), "vector-links")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comp = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     by_class = members.select("raw", "rep", "copies").join(links, "rep", "left").join(comp, "rep", "left").select(
