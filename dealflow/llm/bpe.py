@@ -241,22 +241,28 @@ class ChunkEncoder:
         return [bytes(self.byte_of[c] for c in p) for p, _ in found]
 
     def learn(self, chunks: set[bytes]) -> None:
+        # ASCII letters alone are one word; with a stop or comma behind them, two
+        alone = {c: c.lower() for c in chunks if c.isalpha()}
+        ended = {c: c[:-1].lower() for c in chunks if c[-1] in b".," and c[:-1].isalpha()}
         made: list[tuple[bytes, list[bytes | int]]] = []
-        for chunk in chunks:
+        need = {b".", b",", *alone.values(), *ended.values()}
+        for chunk in chunks.difference(alone, ended):
             text = chunk.decode()
             if "<|" in text and len(parts := self.cut(text)) > 1:
                 ws = [x for k, p in enumerate(parts) for x in ([self.special[p]] if k % 2 else self.split_words(p))]
             else:
                 ws = self.split_words(text)
             made.append((chunk, ws))
-        need = {w for _, ws in made for w in ws if isinstance(w, bytes)}
+            need.update(w for w in ws if isinstance(w, bytes))
         if len(self.words) + len(need) > MOST_CHUNKS:
             self.words.clear()
-        new = [w for w in need if w not in self.words]
+        new = list(need.difference(self.words))
         self.words.update(zip(new, self.encode_words(new)))
+        words = self.words
+        self.chunks.update((c, words[w]) for c, w in alone.items())
+        self.chunks.update((c, words[w] + words[c[-1:]]) for c, w in ended.items())
         for chunk, ws in made:
-            self.chunks[chunk] = b"".join(
-                self.words[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws)
+            self.chunks[chunk] = b"".join([words[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in ws])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
