@@ -34,8 +34,8 @@ from dealflow.llm.common import byte_list, materialize, runs, slices
 
 MIN_SHARE = 1e-4         # of training tokens, for a context
 MIN_GAIN = 50.0          # nats that a kept context saves on the training text
-CHUNK_BYTES = 12 << 20   # text per chunk
-PART_ENTRIES = 1 << 20   # (word, context) entries per part, about
+CHUNK_BYTES = 3 << 20    # text per chunk
+PART_ENTRIES = 1 << 18   # (word, context) entries per part, about
 FOLDS = 10
 END = b"\n"              # no word holds white space
 _ZSTD = pa.Codec("zstd", compression_level=1)
@@ -138,7 +138,7 @@ class Chunk:
         number = dict(zip(words, rank.tolist()))
         self.learn = np.repeat([not held_out(None if n else int(k)) for k, n in zip(self.doc_ids, null)], self.lengths)
         self.width = len(contexts) + 1
-        one = np.full(len(words), -1)
+        one = np.full(len(words), -1, np.int32)
         pairs: dict[int, int] = {}
         for (a, b), c in contexts.items():
             if b in number and (a is None or a in number):
@@ -147,11 +147,11 @@ class Chunk:
                 else:
                     pairs[number[a] * len(words) + number[b]] = c
         ends = np.cumsum(self.lengths)
-        place = np.arange(len(ids)) - np.repeat(ends - self.lengths, self.lengths)
-        before = np.full(len(ids), -1)
+        place = np.arange(len(ids), dtype=np.int32) - np.repeat((ends - self.lengths).astype(np.int32), self.lengths)
+        before = np.full(len(ids), -1, np.int32)
         before[1:] = one[self.token[:-1]]
         before[place < 1] = -1
-        before2 = np.full(len(ids), -1)
+        before2 = np.full(len(ids), -1, np.int32)
         if pairs and len(ids) > 2:
             codes = np.array(sorted(pairs))
             numbers = np.array([pairs[c] for c in codes.tolist()])
