@@ -171,9 +171,13 @@ def library_encoder(spec: str) -> ChunkEncoder:
         char_of = {b: c for c, b in byte_characters().items()}
         table = [char_of[b] for b in range(256)]
 
+        def ids(w: bytes) -> bytes:
+            # printable ASCII stands for itself in the byte-level alphabet
+            text = w.decode() if w.isalnum() else "".join([table[b] for b in w])
+            return struct.pack(f"<{len(found := model.tokenize(text))}I", *[t.id for t in found])
+
         def words(ws: list[bytes]) -> list[bytes]:
-            return [np.array([t.id for t in model.tokenize("".join([table[b] for b in w]))], "<u4").tobytes()
-                    for w in ws]
+            return [ids(w) for w in ws]
 
         _WORKER[key] = ChunkEncoder(spec, words)
     return _WORKER[key]
