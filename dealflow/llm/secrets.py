@@ -89,8 +89,7 @@ def address(docs: DataFrame, text: str = "text") -> Column:
     return F.sha2(F.coalesce(docs[text], F.lit("")), 256)
 
 
-def scan(docs: DataFrame, ledger: str, rules: list[Rule] = RULES, text: str = "text",
-         key: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, ledger: str, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """Bring the ledger up to date with ``docs``; returns the findings per blob.
 
     Findings are appended before the note that their blobs were scanned, so a
@@ -99,15 +98,14 @@ def scan(docs: DataFrame, ledger: str, rules: list[Rule] = RULES, text: str = "t
     only blobs with findings, current rule versions only.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                       address(docs, text).alias("blob_id"))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), address(docs, text).alias("blob_id"))
     current = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-    wanted = rows.groupBy("blob_id").agg(F.min("path").alias("path")).select(
-        "blob_id", "path", F.explode(current).alias("r")).select("blob_id", "path", "r.kind", "r.version")
+    wanted = rows.select("blob_id").distinct().select("blob_id", F.explode(current).alias("r")).select(
+        "blob_id", "r.kind", "r.version")
     unseen = wanted.join(_read(spark, f"{ledger}/scanned", _SCANNED), ["blob_id", "kind", "version"], "left_anti")
-    todo = unseen.groupBy("blob_id", "path").agg(F.collect_set("kind").alias("todo"))
-    one = todo.withColumnRenamed("blob_id", "id").withColumnRenamed("path", "at")
-    texts = rows.join(one, (F.col("blob_id") == F.col("id")) & F.col("path").eqNullSafe(F.col("at")))
+    todo = unseen.groupBy("blob_id").agg(F.collect_set("kind").alias("todo"))
+    # one row per blob, whatever ids its copies have: find() sums over a blob's matches
+    texts = rows.groupBy("blob_id").agg(F.any_value("text").alias("text")).join(todo, "blob_id")
     find(texts.select("blob_id", "text", "todo"), rules).distinct().write.mode("append").parquet(f"{ledger}/findings")
     unseen.select("blob_id", "kind", "version").write.mode("append").parquet(f"{ledger}/scanned")
     order = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)))
