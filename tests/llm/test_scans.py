@@ -173,6 +173,18 @@ def test_quotations_link_and_order(spark):
     assert quotes.link_quotations(df.limit(0)).count() == 0
 
 
+def test_nearest_holder_of_the_whole_passage(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "BLOCK_BITS", 1, raising=False)
+    rows = [(1, 0, "Yes."), (1, 3, "no"), (1, 8, "Yes."), (1, 9, "> Yes.\nfine"), (1, 40, "> yes.\nlate"),
+            (2, 0, "B"), (2, 1, "A"), (2, 2, "A\n\nB"), (2, 3, "> A\n> B\nboth"),
+            (3, 0, "x\ny\nz"), (3, 1, "x"), (3, 2, "q\nx"), (3, 3, "> x\n> other\n> z\nvotes of all sayers"),
+            (4, 0, "a\nb"), (4, 1, "a"), (4, 2, "b"), (4, 3, "> a\nmid\n> b\ntwo passages")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.parent for r in quotes.link_quotations(df).collect()}
+    want = {(1, 9): 8, (1, 40): 8, (2, 3): 2, (3, 3): 0, (4, 3): 0}
+    assert {k: p for k, p in got.items() if p is not None} == want
+
+
 def test_long_reply_chain(spark):
     rows = [(1, k, "user", (f"> line {k - 1}\n" if k else "") + f"line {k}") for k in range(40)]
     got = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
