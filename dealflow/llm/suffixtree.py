@@ -1,21 +1,23 @@
 """Operator 9: language-model scores from a probabilistic suffix tree.
 
 Symbols are the lower-cased words of a text and one end.  States of the tree
-are contexts of up to two words.  A context is a candidate if it has at least
-``MIN_SHARE`` of the training tokens (so there are at most ``2 / MIN_SHARE`` of
-each length, whatever the corpus), and stays if a divergence test finds that
-its next-word counts, each left out once, are better predicted by itself than
-by its longest kept suffix.  Next-word probabilities are smoothed towards that
-suffix in proportion to the number of different next words; the root gives
-unseen words the share that words seen once have.  A token's probability is
-that of the longest kept suffix of what precedes it.
+are contexts of up to ``LONGEST`` words.  A context is a candidate if the
+training texts have it ``MIN_COUNT`` times, whatever the corpus, and stays if a
+divergence test finds that its next-word counts, each left out once, are better
+predicted by itself than by its longest kept suffix.  Next-word probabilities
+are smoothed towards that suffix in proportion to the number of different next
+words; the root gives unseen words the share that words seen once have.  A
+token's probability is that of the longest kept suffix of what precedes it.
 
 How it runs: texts are cut into chunks, each with its own word list.  Chunks
-send their distinct (word, context) counts as one block per part, a part being
-a hash range of words; a part adds up the blocks of all chunks and answers each
-block with counts and log probabilities, from which the chunk scores its
-documents.  Only contexts, of proven number, are collected and broadcast;
-words and their counts stay distributed.
+send their distinct words with counts as one block per part, a part being a
+hash range of words; a part adds up the blocks of all chunks and answers each
+block with counts and log probabilities.  Contexts follow by length in the same
+way, a part being a hash range of contexts: a chunk sends (context, word)
+counts with the word's probability under the longest kept suffix, for contexts
+whose first and last words but one were candidates.  All counts of a context
+meet in its part, which has its exact total, tests it and answers.  Words,
+contexts and their counts stay distributed; nothing of them is collected.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealflow.llm.common import byte_list, materialize, runs, slices
+from dealflow.llm.common import byte_list, materialize, mix64, remove_table, runs, slices
 
-MIN_SHARE = 1e-4         # of training tokens, for a context
+MIN_COUNT = 50           # training occurrences, for a context
+MIN_SHARE = 0.0          # of training tokens, for a smaller tree: none by default
+LONGEST = 4              # words of a context
 MIN_GAIN = 50.0          # nats that a kept context saves on the training text
 CHUNK_BYTES = 3 << 20    # text per chunk
 PART_ENTRIES = 1 << 18   # (word, context) entries per part, about
@@ -70,7 +74,7 @@ def held_out(doc_id: int | None) -> bool:
 # -- chunks ------------------------------------------------------------------
 
 def make_chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk: its documents, tokens, words and frequent contexts."""
+    """One row per chunk: its documents, tokens and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -82,26 +86,13 @@ def make_chunks(docs: DataFrame) -> DataFrame:
         def row() -> pa.RecordBatch:
             lengths = np.array([len(t) for t in tokens], "<u4")
             ids = np.concatenate(tokens)
-            train = np.repeat([not held_out(k) for k in keys], lengths)
-            n = int(train.sum())
             words = list(vocab)
-            one = np.bincount(ids[train], minlength=len(words))
-            often = one >= max(MIN_SHARE * n, 1)
-            often[0] = False  # nothing follows an end
-            both = np.flatnonzero(train[1:] & often[ids[:-1]] & often[ids[1:]])
-            pairs, count = np.unique(ids[both].astype(np.int64) * len(words) + ids[both + 1], return_counts=True)
-            keep = count >= MIN_SHARE * n
-            heavy = [{"a": None, "b": words[k], "n": int(one[k])} for k in np.flatnonzero(often)]
-            heavy += [{"a": words[p // len(words)], "b": words[p % len(words)], "n": int(c)}
-                      for p, c in zip(pairs[keep].tolist(), count[keep].tolist())]
             doc_ids = np.array([0 if k is None else k for k in keys], "<i8")
             null = np.array([k is None for k in keys], "u1")
             blob = squeeze(doc_ids, null, lengths, ids.astype("<u4"), b" ".join(words[1:]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([f"{part}-{seq}"]), pa.array([n]), pa.array([blob], pa.binary()), pa.array([heavy], kind)],
-                ["chunk", "n", "blob", "heavy"])
+                [pa.array([f"{part}-{seq}"]), pa.array([blob], pa.binary())], ["chunk", "blob"])
 
-        kind = pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())]))
         for b in slices(batches, "text"):
             keys += b.column("doc_id").to_pylist()
             for t in byte_list(b.column("text")):
@@ -118,7 +109,7 @@ def make_chunks(docs: DataFrame) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "chunk string, n long, blob binary, heavy array<struct<a:binary,b:binary,n:bigint>>")
+    return rows.mapInArrow(run, "chunk string, blob binary")
 
 
 class Chunk:
@@ -245,20 +236,6 @@ class Tree:
 
 # -- the passes ---------------------------------------------------------------
 
-def _candidates(chunks: DataFrame) -> dict[tuple, int]:
-    """Contexts with the least share of the training tokens, numbered from 1.
-
-    A context that has the share in the corpus has it in some chunk, so chunks
-    report only theirs; at most 2 / MIN_SHARE of each length can pass.
-    """
-    tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    rows = chunks.select(F.explode("heavy").alias("h")).groupBy("h.a", "h.b").agg(F.sum("h.n").alias("n")).where(
-        F.col("n") >= max(1.0, MIN_SHARE * tokens / 2)).collect()
-    found = sorted(((None if r.a is None else bytes(r.a), bytes(r.b)) for r in rows),
-                   key=lambda k: (k[0] is not None, k[0] or b"", k[1]))
-    return {k: i + 1 for i, k in enumerate(found)}
-
-
 def _parts(blocks: DataFrame) -> DataFrame:
     """One row per part with all its blocks."""
 
@@ -279,41 +256,18 @@ def _each_part(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[
             yield b.column("chunks")[k].as_py(), Part(b.column("blobs")[k].as_py(), width)
 
 
-def _grow(parts: DataFrame, contexts: dict[tuple, int]) -> Tree:
-    """Context totals, then the divergence test for one and for two words."""
-    width = len(contexts) + 1
-    sc = parts.sparkSession.sparkContext
+def _root(parts: DataFrame) -> Tree:
+    """The tree without contexts: totals of the words."""
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, p in _each_part(batches, width):
-            n = np.bincount(p.key_context, p.key_count, width)
-            different = np.bincount(p.key_context, p.key_count > 0, width)
-            n[0], different[0] = p.count.sum(), (p.count > 0).sum()
-            once = np.zeros(width, np.int64)
-            once[0] = (p.count == 1).sum()
+        for _, p in _each_part(batches, 1):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(width)), pa.array(n.astype(np.int64)), pa.array(different.astype(np.int64)),
-                 pa.array(once)], ["c", "n", "different", "once"])
-
-    sums = parts.mapInArrow(totals, "c long, n long, different long, once long").groupBy("c").agg(
-        F.sum("n").alias("n"), F.sum("different").alias("d"), F.sum("once").alias("once")).collect()
-    tree = Tree(contexts, {r.c: (r.n, r.d) for r in sums}, sum(r.once for r in sums))
-    for two in (False, True):
-        if not tree.long.any() and two:
-            break
-        sent = sc.broadcast(tree)
+                [pa.array([int(x)]) for x in (p.count.sum(), (p.count > 0).sum(), (p.count == 1).sum())],
+                ["n", "different", "once"])
 
-        def gains(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for _, p in _each_part(batches, width):
-                _, own, under = sent.value.probability(p, leave_out=1)
-                gain = np.bincount(p.key_context, p.key_count * (np.log(own) - np.log(under)), width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(gain)], ["c", "gain"])
-
-        found = parts.mapInArrow(gains, "c long, gain double").groupBy("c").agg(F.sum("gain").alias("g")).collect()
-        for r in found:
-            if r.c and tree.long[r.c] == two and r.g > MIN_GAIN:
-                tree.kept[r.c] = True
-    return tree
+    r = parts.mapInArrow(totals, "n long, different long, once long").agg(
+        F.sum("n").alias("n"), F.sum("different").alias("d"), F.sum("once").alias("once")).first()
+    return Tree({}, {0: (r.n or 0, r.d or 0)}, r.once or 0)
 
 
 def _answers(parts: DataFrame, tree: Tree) -> DataFrame:
@@ -338,6 +292,152 @@ def _answers(parts: DataFrame, tree: Tree) -> DataFrame:
     return parts.mapInArrow(run, "chunk string, part long, blob binary")
 
 
+class State:
+    """A chunk between two lengths of context.
+
+    ``live``: places whose preceding context of the next length is to be counted;
+    ``prob``: the word's probability under its longest kept context so far;
+    ``score``: per document, what places that are no longer live add up to.
+    """
+
+    KINDS = ("<i8", "u1", "<u4", "<i8", "<f8", "<f8", "<u4", "<u8", "u1", "<f4")
+
+    def __init__(self, blob: bytes):
+        (self.doc_ids, self.null, self.lengths, self.known, self.base, score, token, hashes, live,
+         prob) = expand(blob, *self.KINDS)
+        self.score, self.token, self.hashes, self.prob = score.copy(), token.copy(), hashes.copy(), prob.copy()
+        self.live = live.astype(bool)
+
+    def blob(self) -> bytes:
+        return squeeze(self.doc_ids, self.null, self.lengths, self.known, self.base, self.score, self.token,
+                       self.hashes, self.live.astype("u1"), self.prob)
+
+    def settle(self, live: np.ndarray, length: int) -> None:
+        """Go on with ``live`` places for contexts of ``length``: add up the others, blank what none needs."""
+        over = self.live & ~live
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.score += np.bincount(doc[over], np.log10(self.prob[over].astype("<f8")), len(self.lengths))
+        self.live = live
+        self.prob[~live] = 0
+        needed = live.copy()
+        for k in range(1, length + 1):
+            needed[:-k] |= live[k:]
+        self.token[~needed] = 0
+        unused = np.ones(len(self.hashes), bool)
+        unused[self.token] = False
+        self.hashes[unused] = 0
+
+    def keys(self, length: int) -> None:
+        """The distinct (context, word) keys of one length, by context hash."""
+        self.at = np.flatnonzero(self.live)
+        code = np.zeros(len(self.at), "<u8")
+        for k in range(1, length + 1):
+            code = mix64(code + self.hashes[self.token[self.at - k]])
+        self.contexts, of = np.unique(code, return_inverse=True)
+        width = len(self.hashes)
+        keys, self.key_of = np.unique(of.astype(np.int64) * width + self.token[self.at], return_inverse=True)
+        self.key_context, self.key_word = keys // width, keys % width
+
+    def blocks(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        """(part, block): contexts, keys of each, then the keys' words, counts and probabilities."""
+        learn = np.repeat([not held_out(None if n else int(k)) for k, n in zip(self.doc_ids, self.null)], self.lengths)
+        count = np.bincount(self.key_of[learn[self.at]], minlength=len(self.key_word))
+        prob = np.empty(len(self.key_word), "<f4")
+        prob[self.key_of] = self.prob[self.at]  # a key has one probability everywhere
+        many = np.bincount(self.key_context, minlength=len(self.contexts))
+        part = ((self.contexts >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+        starts = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+            k = slice(*np.searchsorted(self.key_context, [s, e]))
+            yield int(part[s]), squeeze(self.contexts[s:e], many[s:e].astype("<u4"), self.hashes[self.key_word[k]],
+                                        count[k].astype("<u4"), prob[k])
+
+    def take(self, answers: list[bytes], length: int) -> None:
+        """Candidates and probabilities from the answers to all blocks, by part."""
+        got = [expand(x, "u1", "<f4") for x in answers]
+        alive = np.zeros(len(self.token), bool)
+        if got:
+            candidate, prob = (np.concatenate([g[k] for g in got]) for k in range(2))
+            alive[self.at] = candidate[self.key_context[self.key_of]].astype(bool)
+            self.prob[self.at] = prob[self.key_of]
+        # a longer context needs both its first and its last words as candidates
+        alive[1:] &= alive[:-1].copy()
+        alive[:1] = False
+        self.settle(alive, length + 1)
+
+
+def judge_contexts(blocks: list[bytes], least: float, min_gain: float) -> list[bytes]:
+    """One part's answer to each block: whether contexts are candidates, then the keys' probabilities."""
+    got = [expand(b, "<u8", "<u4", "<u8", "<u4", "<f4") for b in blocks]
+    contexts, of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    owner = np.repeat(of, np.concatenate([g[1] for g in got]))
+    words = np.concatenate([g[2] for g in got])
+    order = np.lexsort((words, owner))
+    new = np.concatenate([[True], (owner[order][1:] != owner[order][:-1]) | (words[order][1:] != words[order][:-1])])
+    key = np.empty(len(words), np.int64)
+    key[order] = np.cumsum(new) - 1
+    c, first = owner[order][new], order[new]
+    count = np.bincount(key, np.concatenate([g[3] for g in got]))
+    under = np.concatenate([g[4] for g in got])[first].astype("<f8")
+    n = np.bincount(c, count, len(contexts))
+    pull = np.maximum(np.bincount(c, count > 0, len(contexts)), 1)[c]
+    left = (np.maximum(count - 1, 0) + pull * under) / (np.maximum(n[c] - 1, 0) + pull)
+    gain = np.bincount(c, count * (np.log(left) - np.log(under)), len(contexts))
+    alive = n >= least
+    kept = alive & (gain > min_gain)
+    prob = np.where(kept[c], (count + pull * under) / (n[c] + pull), under).astype("<f4")
+    a = np.cumsum([0, *(len(g[0]) for g in got)])
+    e = np.cumsum([0, *(len(g[2]) for g in got)])
+    return [squeeze(alive[of[a[i]:a[i + 1]]].astype("u1"), prob[key[e[i]:e[i + 1]]]) for i in range(len(got))]
+
+
+def _lengthen(states: DataFrame, length: int, parts: int, least: float) -> DataFrame:
+    """The states after contexts of ``length`` words were counted, tested and answered."""
+    min_gain = MIN_GAIN
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
+                state = State(blob)
+                state.keys(length)
+                found = list(state.blocks(parts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in found], pa.int64()), pa.array([name] * len(found), pa.string()),
+                     pa.array([x for _, x in found], pa.binary())], ["part", "chunk", "blob"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                blobs = judge_contexts(b.column("blobs")[k].as_py(), least, min_gain)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b.column("chunks")[k].as_py(), pa.string()),
+                     pa.array([b.column("part")[k].as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())],
+                    ["chunk", "part", "blob"])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["chunk"]):
+            blobs = t["blob"].to_pylist()  # the state itself is part -1, sorted first
+            state = State(blobs[0])
+            state.keys(length)
+            state.take(blobs[1:], length)
+            yield _state_row(t["chunk"][0].as_py(), state)
+
+    sent = _parts(states.select("chunk", "blob").mapInArrow(send, "part long, chunk string, blob binary"))
+    answers = sent.mapInArrow(answer, "chunk string, part long, blob binary")
+    own = states.select("chunk", F.lit(-1).cast("long").alias("part"), "blob")
+    return materialize(own.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(
+        take, _STATE), "states")
+
+
+_STATE = "chunk string, live long, blob binary"
+
+
+def _state_row(name: str, state: State) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name]), pa.array([int(state.live.sum())]), pa.array([state.blob()], pa.binary())],
+        ["chunk", "live", "blob"])
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Base and suffix-tree log10 probability of every row.
 
@@ -347,49 +447,68 @@ def score(docs: DataFrame) -> DataFrame:
     """
     sc = docs.sparkSession.sparkContext
     chunks = materialize(make_chunks(docs), "chunks")
-    contexts = _candidates(chunks)
-    sent = sc.broadcast(contexts)
     # parts grow with the corpus, so that a part's size does not
     n_parts = max(1, chunks.count() * CHUNK_BYTES // (24 * PART_ENTRIES))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
-                found = list(Chunk(blob, sent.value, n_parts).blocks())
+                found = list(Chunk(blob, {}, n_parts).blocks())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in found], pa.int64()), pa.array([name] * len(found)),
                      pa.array([x for _, x in found], pa.binary())], ["part", "chunk", "blob"])
 
     parts = materialize(_parts(chunks.select("chunk", "blob").mapInArrow(
         blocks, "part long, chunk string, blob binary")), "parts")
-    tree = _grow(parts, contexts)
+    tree = _root(parts)
     grown = sc.broadcast(tree)
+    least = max(MIN_COUNT, MIN_SHARE * tree.tokens)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["chunk"]):
             blobs, tree = t["blob"].to_pylist(), grown.value  # the chunk itself is part -1, sorted first
-            chunk = Chunk(blobs[0], tree.contexts, n_parts)
+            chunk = Chunk(blobs[0], {}, n_parts)
             got = [expand(x, "<i8", "<f8", "<f4") for x in blobs[1:]]
-            count, root, by_key = (np.concatenate([g[k] for g in got]) for k in range(3))
-            best = root[chunk.token]
-            start = 0
-            for where, context in zip(chunk.at, chunk.context):  # two words after one: the longer wins
-                own = by_key[chunk.key_of[start:start + len(where)]]
-                start += len(where)
-                keep = tree.kept[context[where]]
-                best[where[keep]] = own[keep]
+            count, root = (np.concatenate([g[k] for g in got]) for k in range(2))
             c = count[chunk.token]
             base = np.log10((c + 0.1) / (tree.tokens + 0.1 * (tree.words + 1)))
             first = np.cumsum(chunk.lengths) - chunk.lengths
-            keys = [None if n else int(k) for k, n in zip(chunk.doc_ids, chunk.null)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys]), pa.array(chunk.lengths),
-                 pa.array(np.add.reduceat((c > 0).astype(np.int64), first)),
-                 pa.array(np.full(len(keys), tree.tokens, np.int64)),
-                 pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(best, first))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            live = np.zeros(len(c), bool)
+            live[1:] = c[:-1] >= least
+            live[first] = False
+            state = State(squeeze(
+                chunk.doc_ids, chunk.null.astype("u1"), chunk.lengths.astype("<u4"),
+                np.add.reduceat((c > 0).astype("<i8"), first), np.add.reduceat(base, first), np.zeros(len(first)),
+                chunk.token.astype("<u4"), np.ascontiguousarray(chunk.hashes[:, 0]), np.ones(len(c), "u1"),
+                (10.0 ** root[chunk.token]).astype("<f4")))
+            state.settle(live, 1)
+            yield _state_row(t["chunk"][0].as_py(), state)
 
     own = chunks.select("chunk", F.lit(-1).cast("long").alias("part"), "blob")
-    return own.unionByName(_answers(parts, tree)).repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(
+    states = materialize(own.unionByName(_answers(parts, tree)).repartition("chunk").sortWithinPartitions(
+        "chunk", "part").mapInArrow(start, _STATE), "states")
+    remove_table(chunks)
+    remove_table(parts)
+    for length in range(1, LONGEST + 1):
+        if not states.agg(F.sum("live")).first()[0]:
+            break
+        longer = _lengthen(states, length, n_parts, least)
+        remove_table(states)
+        states = longer
+    
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                s = State(blob)
+                lengths = s.lengths.astype(np.int64)
+                keys = [None if n else int(k) for k, n in zip(s.doc_ids, s.null)]
+                s.settle(np.zeros(len(s.live), bool), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys]), pa.array(lengths),
+                     pa.array(s.known), pa.array(np.full(len(keys), grown.value.tokens, np.int64)),
+                     pa.array(s.base), pa.array(s.score)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return states.select("blob").mapInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                 "base_score double, score double")

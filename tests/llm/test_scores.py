@@ -221,6 +221,60 @@ def test_op9_against_plain_tree(spark, monkeypatch):
         assert math.isclose(got[k], s, rel_tol=1e-5)
 
 
+def plain_tree(rows, least, longest):
+    """Scores and kept contexts with every count in one dictionary."""
+    docs = [(k, t.encode().lower().split() + [b"\n"]) for k, t in rows]
+    n, total, kinds = Counter(), Counter(), Counter()
+    for k, ws in docs:
+        for i, w in enumerate(ws):
+            for d in range(min(i, longest) + 1):
+                n[tuple(ws[i - d:i]), w] += not held_out(k)
+    for (c, _), k in n.items():
+        total[c] += k
+        kinds[c] += k > 0
+    once = sum(k == 1 for (c, _), k in n.items() if not c)
+    unseen, kept = (once + 0.5) / (total[()] + 1), set()
+
+    def prob(c, w, out=0):
+        if not c:
+            return (1 - unseen) * n[c, w] / total[()] if n[c, w] else unseen
+        pull, up = max(kinds[c], 1), prob(suffix(c[1:]), w)
+        return (max(n[c, w] - out, 0) + pull * up) / (max(total[c] - out, 0) + pull)
+
+    def suffix(c):
+        return c if not c or c in kept else suffix(c[1:])
+
+    for d in range(1, longest + 1):
+        gain = Counter()
+        for (c, w), k in list(n.items()):
+            if len(c) == d and total[c] >= least and k:
+                gain[c] += k * (math.log(prob(c, w, 1)) - math.log(prob(suffix(c[1:]), w)))
+        kept |= {c for c, g in gain.items() if g > suffixtree.MIN_GAIN}
+    return {k: sum(math.log10(prob(suffix(tuple(ws[max(i - longest, 0):i])), w)) for i, w in enumerate(ws))
+            for k, ws in docs}, kept, total
+
+
+def test_op9_absolute_counts_longer_contexts_many_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(600):
+        ws = [f"f{x}" for x in rng.integers(0, 3000, 40)]  # a corpus in which 60 occurrences are a small share
+        if k % 6 == 0:  # the fourth word hangs on the first of four
+            a = int(rng.integers(0, 2))
+            ws[5:5] = [f"a{a}", "b", "c", f"d{a}"]
+            ws[20:20] = [f"a{1 - a}", "b", "c", f"d{1 - a}"]
+        rows.append((k, " ".join(ws)))
+    want, kept, total = plain_tree(rows, suffixtree.MIN_COUNT, suffixtree.LONGEST)
+    assert max(map(len, kept)) == 3 and min(total[c] for c in kept) < 0.005 * total[()]
+    monkeypatch.setattr(suffixtree, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(suffixtree, "PART_ENTRIES", 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.score for r in suffixtree.score(df).collect()}
+    assert len(got) == len(want)
+    for k, s in want.items():
+        assert math.isclose(got[k], s, rel_tol=1e-5)
+
+
 def test_op9_probabilities_sum_to_one(spark):
     rows = [(k, "the cat sat on the mat the dog sat " * 30) for k in range(1, 40)]
     contexts = {(None, b"the"): 1, (None, b"sat"): 2, (b"the", b"dog"): 3}
