@@ -141,6 +141,29 @@ def test_clashing_draws_are_drawn_again(spark, monkeypatch):
     assert len(set(got)) == 60
 
 
+def test_persons_are_coreferent_in_full_and_short(spark):
+    rows = [(1, "Mr John Smith came. Smith said so, John Smith and Smith's dog, not Smithson or Smith-Jones. Mr Smith left."),
+            (2, "Ask Prof. Dr. Eva O'Neil, Frau Keller-Schmidt or Herr Müller-Schmidt; O'Neil and Keller-Schmidt agree."),
+            (3, "Dr Ann Marlow, Mrs Ann Marlow, Marlow, Ann.")]
+    rows += [(10 + k, f"Mr Aab{chr(97 + k % 26)} Baa{chr(97 + k // 26)} and Mrs Caa{chr(97 + k % 26)} Daa{chr(97 + k // 26)}")
+             for k in range(300)]
+    rows.append((999, "Mr " + " and Mrs ".join(pii.LAST["latin"])))  # real names that surrogates could hit
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) came. (\w+) said so, (\w+ \w+) and (\w+)'s dog, not Smithson or Smith-Jones. "
+                     r"Mr (\w+) left.", out[1].text)
+    assert m and m[3] == m[5] == m[6] == m[2] != "Smith" and m[4] == f"{m[1]} {m[2]}" and out[1].n_entities == 5
+    m = re.fullmatch(r"Ask Prof. Dr. (\w+) (\w+), Frau (\w+) or Herr (\w+); (\w+) and (\w+) agree.", out[2].text)
+    assert m and m[5] == m[2] and m[6] == m[3] != m[4] and not {"Eva", "Neil", "Keller", "Schmidt"} & set(m.groups())
+    m = re.fullmatch(r"Dr (\w+ \w+), Mrs (\w+ \w+), (\w+), (\w+).", out[3].text)
+    assert m and m[1] == m[2] == f"{m[4]} {m[3]}"
+    made = {}
+    for k, text in rows[3:-1]:
+        old, new = (re.findall(r"M(r|rs) (\w+) (\w+)", t) for t in (text, out[k].text))
+        for (g, a, b), (_, x, y) in zip(old, new):
+            assert made.setdefault((g, a), x) == x and made.setdefault(b, y) == y
+    assert len(set(made.values())) == len(made) and not set(made.values()) & set(pii.LAST["latin"])
+
+
 def test_op2_odd_rows_and_whole_table(spark, odd, empty):  # noqa: F811
     out = pii.pseudonymise(odd, KEY)
     assert sorted(r.text for r in out.collect()) == sorted(r.text or "" for r in odd.collect())
