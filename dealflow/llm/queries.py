@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm import bpe, hyperplanes, mixing, pii, quality, quotes, secrets, setsketch, suffixtree, wavelet
+from dealflow.llm import (
+    bpe, bytebpe, fim, hyperplanes, mixing, periods, pii, quality, quotes, secrets, setsketch, suffixtree, wavelet)
 from dealflow.llm.common import table
 from dealflow.session import shared_path
 
@@ -118,6 +119,53 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+# Cuts by the four draws over code points; hex digits are read as numbers.
+ORACLE["op11_fill_in_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT *, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS u, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS v,
+         CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+p AS (
+  SELECT *, least(u, v) AS a, greatest(u, v) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+              THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+m AS (
+  SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM m"""
+
+
+@query
+def op12_synchronising_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    plant = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periods.report(periods.find_runs(docs, plant=plant))
+
+
+@query
+def op13_byte_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    ids = bytebpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    out = bytebpe.decode(ids, path, keep=("doc_id", "n_tokens"))
+    return out.select("doc_id", "n_tokens", F.sha2("id_text", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 # Both reach a document's or vector's component by passing least ids along links.
 _COMPONENTS = """
 sides AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
