@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from dealflow.llm.common import byte_list, slices
 
-MOST_WORDS = 250_000     # words a worker remembers
-CORPUS_BYTES = 12 << 20  # bytes of text whose new words are replayed together
+MOST_WORDS = 150_000     # words a worker remembers
+CORPUS_BYTES = 6 << 20   # bytes of text whose new words are replayed together
 WINDOW = 1 << 20         # a text with more bytes is cut into chunks window by window
 MOST_GATHERED = 1 << 18  # texts' ids are put together for so many chunks at once
 # What the pattern's white space means in the library.
@@ -325,7 +325,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = spec.value
         digits = [str(k) for k in range(len(tokens))]
-        for b in slices(batches, ids):
+        for b in slices(batches, ids, WINDOW):
             found = [np.frombuffer(x, "<u4").tolist() for x in byte_list(b.column(ids))]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in keep),
