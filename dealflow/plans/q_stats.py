@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from dealflow.operators import metrics as m
 from dealflow.operators import stats as st
+from dealflow.operators.permutation import permutation_test
 from dealflow.plans.catalog import r6, register, with_base
 from dealflow.plans.flow import analysis
 
-# Replicate counts of the two tests (chi-square 10000; Fisher
-# 2000, the usual default). The seed is ours: the original sets none.
-CHI_REPLICATES, FISHER_REPLICATES = 10000, 2000
+# Replicates of the registered queries; the functions' defaults are 10000 and
+# 2000. The seed is ours: the original sets none.
+REPLICATES = 100
 SEED = 20240101
 
 _LONG_SQL = """
@@ -37,15 +36,6 @@ def _long(spark, sf):
     return st.contingency(analysis(spark, sf).closed_outcomes, "team", "deal_outcome", [m.LOST, m.WON])
 
 
-def _near_tail(p, long, replicates):
-    """Whether a simulated p lies within four of its standard errors of the
-    chi-square tail, taken from the normal approximation of its cube root."""
-    t = st.chi_square(long, "team", "deal_outcome").first()
-    h = 2 / (9 * t.df)
-    q = 0.5 * math.erfc(((t.statistic / t.df) ** (1 / 3) - 1 + h) / math.sqrt(2 * h))
-    return abs(p - q) <= 4 * math.sqrt(q * (1 - q) / replicates) + 1 / (replicates + 1)
-
-
 @register("contingency_long", with_base(_LONG_SQL))
 def contingency_long(spark, sf):
     return _long(spark, sf)
@@ -56,23 +46,53 @@ def chi_square(spark, sf):
     return st.chi_square(_long(spark, sf), "team", "deal_outcome").select(r6("statistic"), "df")
 
 
-@register("chi_square_mc", with_base(f"""
-SELECT round(statistic, 6) AS statistic, df, CAST({CHI_REPLICATES} AS BIGINT) AS replicates, TRUE AS p_near_tail
-FROM ({_CHI_SQL})"""))
+# Labels dealt by the keyed hash of (seed, pair of replicates, id); the table as
+# it is counts as replicate -1.
+_DEALT = {
+    "deals": "SELECT id, team, deal_outcome AS o FROM closed WHERE deal_outcome IN ('Won', 'Lost')",
+    "keyed": f"""
+  SELECT r, team, row_number() OVER (PARTITION BY r ORDER BY
+           substr(md5(concat_ws(':', {SEED}, r // 2, id)), 1 + 16 * (r % 2), 16), CAST(id AS VARCHAR)) AS k
+  FROM deals, range({REPLICATES}) AS t(r)""",
+    "cells": """
+  SELECT r, team, o, count(*) AS x FROM (
+    SELECT r, team, CASE WHEN k <= (SELECT count(*) FROM deals WHERE o = 'Lost') THEN 'Lost' ELSE 'Won' END AS o
+    FROM keyed UNION ALL SELECT -1, team, o FROM deals) GROUP BY r, team, o""",
+    "sums": """
+  SELECT r, sum(lgamma(x + 1)) AS f, sum(x * x / e) - sum(x) AS c
+  FROM cells JOIN (
+    SELECT t.team AS team2, t.n * l.n / (SELECT count(*) FROM deals) AS e, l.o AS o2
+    FROM (SELECT team, count(*)::DOUBLE AS n FROM deals GROUP BY team) t,
+         (SELECT o, count(*)::DOUBLE AS n FROM deals GROUP BY o) l)
+    ON team IS NOT DISTINCT FROM team2 AND o = o2
+  GROUP BY r"""}
+
+
+def _mc_sql(column: str, slack: str) -> str:
+    return with_base(f"""
+SELECT round({column}0, 6) AS statistic, df, CAST({REPLICATES} AS BIGINT) AS replicates, n_extreme,
+       round((1 + n_extreme) / {REPLICATES + 1}.0::DOUBLE, 6) AS p_value
+FROM (SELECT max(o.{column}) AS {column}0, count(*) FILTER (s.{column} >= o.{column} - {slack}) AS n_extreme
+      FROM sums s, sums o WHERE s.r >= 0 AND o.r = -1),
+     (SELECT CAST((count(DISTINCT coalesce(team, '<null>')) - 1) * (count(DISTINCT o) - 1) AS BIGINT) AS df FROM deals)""",
+                     extra=_DEALT)
+
+
+def _permuted(spark, sf, kind):
+    closed = analysis(spark, sf).closed_outcomes.where(F.col("deal_outcome").isin(m.LOST, m.WON))
+    out = permutation_test(closed, "team", "deal_outcome", kind, replicates=REPLICATES, seed=SEED)
+    return out.select(r6("statistic"), "df", "replicates", "n_extreme", r6("p_value"))
+
+
+@register("chi_square_mc", _mc_sql("c", "1e-9 * greatest(1, o.c)"))
 def chi_square_mc(spark, sf):
-    long = _long(spark, sf)
-    t = st.chi_square_mc(spark, long, "team", "deal_outcome", replicates=CHI_REPLICATES, seed=SEED)
-    near = _near_tail(t.first().p_value, long, CHI_REPLICATES)
-    return t.select(r6("statistic"), "df", "replicates", F.lit(near).alias("p_near_tail"))
+    return _permuted(spark, sf, "chisq")
 
 
-@register("fisher_mc", with_base(f"""
-SELECT 'simulated' AS method, CAST({FISHER_REPLICATES} AS BIGINT) AS replicates, TRUE AS p_near_tail"""))
+@register("fisher_mc", _mc_sql("f", "(1e-7 + 1e-14 * o.f)"))
 def fisher_mc(spark, sf):
-    long = _long(spark, sf)
-    t = st.fisher_mc(spark, long, "team", "deal_outcome", replicates=FISHER_REPLICATES, seed=SEED)
-    near = _near_tail(t.first().p_value, long, FISHER_REPLICATES)
-    return t.select("method", "replicates", F.lit(near).alias("p_near_tail"))
+    """The simulated Fisher test; its statistic is the sum of log factorials."""
+    return _permuted(spark, sf, "fisher")
 
 
 @register("fisher_team_against_rest", with_base(f"""
