@@ -38,8 +38,9 @@ def log_factorial(x: Column) -> Column:
     between = x + 1
     for i in range(2, 16):
         between = between * (x + i)
-    series = ((z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
-              + 1 / (1260 * z * z * z * z * z))
+    zz = z * z
+    series = ((z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi)
+              + (1 / F.lit(12.0) - (1 / F.lit(360.0) - (1 / F.lit(1260.0) - 1 / (1680 * zz)) / zz) / zz) / z)
     return series - F.log(between)
 
 
@@ -78,11 +79,13 @@ def permutation_test(df: DataFrame, row: str, col: str, kind: str = "chisq", id_
     if len(margins) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} different values of {col}")
     labels, sizes = list(margins), list(margins.values())
+    if len(labels) < 2:
+        raise ValueError(f"needs two or more values of {col}")
     observed = rows.groupBy("_row").agg(*[F.count_if(F.col("_label") == v).alias(f"_x{j}") for j, v in enumerate(labels)])
     cells = [F.col(f"_x{j}") for j in range(len(labels))]
-    found = observed.agg(F.count(F.lit(1)).alias("n"), F.sum(_part(cells, sizes, kind)).alias("s")).first() if labels else None
-    if found is None or found["n"] < 2 or len(labels) < 2:
-        raise ValueError("needs at least a 2 x 2 table with non-zero margins")
+    found = observed.agg(F.count(F.lit(1)).alias("n"), F.sum(_part(cells, sizes, kind)).alias("s")).first()
+    if found["n"] < 2:
+        raise ValueError(f"needs two or more values of {row}")
     # Equal tables may differ by rounding: chi-square relative, log probability absolute.
     slack = 1e-9 * max(1.0, found["s"]) if kind == "chisq" else 1e-7 + 1e-14 * abs(found["s"])
     dealt = _dealt_tables(rows, sizes, replicates, seed)

@@ -56,15 +56,15 @@ QUANTILE_QUERIES = ["stage_median_days", "impute_stage_median", "won_revenue_by_
 
 @pytest.mark.parametrize("name", QUANTILE_QUERIES)
 def test_rank_selection_path_matches_oracle(spark, name, monkeypatch):
-    """Every grouped median/quartile forced through the distributed rank
-    selection (the path taken when a group is too wide for one task)."""
+    """Every grouped median/quartile forced through the radix selection
+    (the path taken when the groups have too many values for one task)."""
     from dealflow.operators import ordering
     from dealflow.plans.flow import forget
     forget(spark, SF_SMALL)  # plan from the tables, not from a prepared analysis
     monkeypatch.setattr(ordering, "GROUP_STATE_MAX_VALUES", 1)
     calls = []
-    real = ordering._grouped_rank_select
-    monkeypatch.setattr(ordering, "_grouped_rank_select",
+    real = ordering._radix_select
+    monkeypatch.setattr(ordering, "_radix_select",
                         lambda *a, **k: calls.append(1) or real(*a, **k))
     con = duckdb.connect()
     for t in TABLES:
@@ -73,7 +73,7 @@ def test_rank_selection_path_matches_oracle(spark, name, monkeypatch):
     res = con.execute(entry.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, res.fetchall())
-    assert calls, "rank selection path was not used"
+    assert calls, "radix selection was not used"
 
 
 JOIN_QUERIES = ["join_rep_team", "join_stage_median", "impute_stage_median", "team_conversion",
