@@ -16,20 +16,23 @@ from pyspark.sql import types as T
 # analysis; the full list is the intended ordered fallback.
 DEFAULT_DATE_ORDERS = ("y-M-d",)
 FULL_DATE_ORDERS = ("y-M-d", "M-d-y", "d-MMMM-y", "d-MMM-y", "MMMM-y", "MMM-y", "y-M", "y")
-# A value must carry a four-digit year to be parsed at all.
-_YEAR_GUARD = r"(^|-)[0-9]{4}(-|$)"
-# Shape of the normalised text each order can match. Trying an order only on
-# values of its shape avoids failed parses, which are slow in the JVM.
-_SHAPES = {
-    "y-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
-    "M-d-y": r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$",
-    "d-MMMM-y": r"^[0-9]{1,2}-[A-Za-z]{4,}-[0-9]{4}$",
-    "d-MMM-y": r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$",
-    "MMMM-y": r"^[A-Za-z]{4,}-[0-9]{4}$",
-    "MMM-y": r"^[A-Za-z]{3}-[0-9]{4}$",
-    "y-M": r"^[0-9]{4}-[0-9]{1,2}$",
-    "y": r"^[0-9]{4}$",
+# The original's list goes on with three orders without a year; a value without
+# a four-digit year never parses here, so they are left out.
+MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september",
+               "october", "november", "december")
+# Places of year, month and day among a value's tokens, and how the month is
+# written: in digits, by its full name (four letters or more) or by three letters.
+_FIELDS = {
+    "y-M-d": (3, 0, 1, 2, "digits"),
+    "M-d-y": (3, 2, 0, 1, "digits"),
+    "d-MMMM-y": (3, 2, 1, 0, "name"),
+    "d-MMM-y": (3, 2, 1, 0, "short"),
+    "MMMM-y": (2, 1, 0, None, "name"),
+    "MMM-y": (2, 1, 0, None, "short"),
+    "y-M": (2, 0, 1, None, "digits"),
+    "y": (1, 0, None, None, "none"),
 }
+_SEPARATORS = "[^0-9A-Za-z]+"
 
 
 def _c(x) -> Column:
@@ -76,49 +79,89 @@ def percent_label(col) -> Column:
     return F.concat(F.bround(_c(col) * 100, 0).cast("long").cast("string"), F.lit("%"))
 
 
-# Text made of letter/digit tokens split by single common separators; for it
-# a character translation gives the same result as the general regex.
-_SIMPLE_DATE_TEXT = r"^[0-9A-Za-z]+([-/. ][0-9A-Za-z]+)*$"
-
-
 def normalise_date_text(col) -> Column:
     """Runs of separators to a single "-", none at the ends."""
-    s = _c(col).cast("string")
-    general = F.btrim(F.regexp_replace(s, "[^0-9A-Za-z]+", "-"), F.lit("-"))
-    return F.when(s.rlike(_SIMPLE_DATE_TEXT), F.translate(s, "/. ", "---")).otherwise(general)
-
-
-def parse_dates(col, orders: Sequence[str] = DEFAULT_DATE_ORDERS,
-                normalised: bool = False) -> Column:
+    return F.array_join(date_tokens(col), "-")
+
+
+def date_tokens(col) -> Column:
+    """The letter and digit tokens of a text."""
+    return F.array_remove(F.split(_c(col).cast("string"), _SEPARATORS), "")
+
+
+def _months(written: str) -> Column:
+    """Month name to number, as a literal map."""
+    names = {"name": [n for n in MONTH_NAMES if len(n) > 3], "short": [n[:3] for n in MONTH_NAMES]}[written]
+    number = {n: k for k, n in enumerate(MONTH_NAMES, 1)} | {n[:3]: k for k, n in enumerate(MONTH_NAMES, 1)}
+    return F.create_map(*[F.lit(x) for n in names for x in (n, number[n])])
+
+
+def _order_fields(tokens: Column, order: str) -> tuple[Column, Column, Column, Column]:
+    """Whether tokens have the shape of an order, and year, month and day then."""
+    count, at_year, at_month, at_day, written = _FIELDS[order]
+
+    def digits(at: int, longest: int, shortest: int = 1) -> tuple[Column, Column]:
+        token = F.get(tokens, F.lit(at))
+        number = token.try_cast("int")
+        return F.length(token).between(shortest, longest) & number.isNotNull(), number
+    fits, year = digits(at_year, 4, 4)
+    fits = (F.size(tokens) == count) & fits
+    month = day = F.lit(1)
+    if written == "digits":
+        good, month = digits(at_month, 2)
+        fits = fits & good
+    elif written != "none":
+        month = F.try_element_at(_months(written), F.lower(F.get(tokens, F.lit(at_month))))
+        fits = fits & month.isNotNull()
+    if at_day is not None:
+        good, day = digits(at_day, 2)
+        fits = fits & good
+    return fits, year, month, day
+
+
+def date_fields(tokens: Column, orders: Sequence[str]) -> Column:
+    """Year, month and day of the order that the tokens have the shape of, as a
+    struct; NULL if none. No two orders share a shape."""
+    out = None
+    for order in orders:
+        if order not in _FIELDS:
+            raise ValueError(f"unknown date order {order!r}: one of {', '.join(_FIELDS)}")
+        fits, *parts = _order_fields(tokens, order)
+        value = F.struct(*[v.cast("int").alias(n) for n, v in zip(("y", "m", "d"), parts)])
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return out
+
+
+def date_of(fields: Column) -> Column:
+    """The date of a year, month and day; NULL where there is no such day."""
+    y, m, d = fields["y"], fields["m"], fields["d"]
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last), F.make_date(y, m, d))
+
+
+def parse_dates(col, orders: Sequence[str] = DEFAULT_DATE_ORDERS) -> Column:
     """String to date by an ordered list of formats; unparseable -> NULL.
 
-    Separators are normalised first so ``2020/01.05`` and ``2020-1-5`` match
-    ``y-M-d``. Values without a four-digit year never parse, which keeps
-    short strings such as ``12`` from becoming year 12. Pass
-    ``normalised=True`` for text already run through ``normalise_date_text``
-    (see ``parse_date_columns``, which computes it once per row).
+    A value is cut into tokens once (any separators, so ``2020/01.05`` and
+    ``2020-1-5`` both match ``y-M-d``), the tokens' number, lengths and digits
+    tell its order, and the date is put together from three numbers: no format
+    is tried. Values without a four-digit year never parse, which keeps short
+    strings such as ``12`` from becoming year 12; days that do not exist are
+    NULL. For many values use ``parse_date_columns``, which computes the tokens
+    and fields once per row.
     """
-    norm = _c(col) if normalised else normalise_date_text(col)
-    tries = []
-    for p in orders:
-        shape = _SHAPES.get(p)
-        attempt = F.try_to_date(norm, p)
-        tries.append(F.when(norm.rlike(shape), attempt) if shape else attempt)
-    return F.when(norm.rlike(_YEAR_GUARD), F.coalesce(*tries))
+    return date_of(date_fields(date_tokens(col), orders))
 
 
 def parse_date_columns(df: DataFrame, columns: dict[str, Column | str],
                        orders: Sequence[str] = DEFAULT_DATE_ORDERS) -> DataFrame:
-    """Add/replace date columns parsed from text columns/expressions.
-
-    The normalised text is projected first, so it is computed once per value
-    rather than once per format tried.
-    """
-    tmp = {name: f"__norm_{i}" for i, name in enumerate(columns)}
-    staged = df.withColumns({tmp[n]: normalise_date_text(src) for n, src in columns.items()})
-    parsed = staged.withColumns(
-        {n: parse_dates(F.col(tmp[n]), orders, normalised=True) for n in columns})
-    return parsed.drop(*tmp.values())
+    """Add/replace date columns parsed from text columns/expressions: tokens,
+    fields and dates in three projections, each computed once per value."""
+    tmp = {name: f"__date_{i}" for i, name in enumerate(columns)}
+    cut = df.withColumns({tmp[n]: date_tokens(src) for n, src in columns.items()})
+    known = cut.withColumns({t: date_fields(F.col(t), orders) for t in tmp.values()})
+    return known.withColumns({n: date_of(F.col(t)) for n, t in tmp.items()}).drop(*tmp.values())
 
 
 def to_date_column(df: DataFrame, name: str,

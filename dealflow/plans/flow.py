@@ -15,9 +15,10 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealflow.functions.names import clean_names
-from dealflow.functions.scalars import DEFAULT_DATE_ORDERS, replace_all, to_date_column
+from dealflow.functions.scalars import DEFAULT_DATE_ORDERS, parse_date_columns, replace_all, to_date_column
 from dealflow.operators.columns import across_contains, names_containing, relocate
 from dealflow.operators.filters import require_none, where_missing
 from dealflow.operators.impute import group_median_lag, impute_by_group_median, impute_entry_stage
@@ -51,8 +52,12 @@ def ingest(df: DataFrame, date_orders: Sequence[str] = DEFAULT_DATE_ORDERS,
         df = io.remove_empty(df, rows=True, cols=False)
     elif drop_empty:
         df = io.remove_empty(df)
-    for c in names_containing(df, "date"):
-        df = df.withColumn(c, to_date_column(df, c, date_orders))
+    dates = names_containing(df, "date")
+    texts = [c for c in dates if isinstance(df.schema[c].dataType, T.StringType)]
+    df = parse_date_columns(df, {c: c for c in texts}, date_orders) if texts else df
+    for c in dates:
+        if c not in texts:
+            df = df.withColumn(c, to_date_column(df, c, date_orders))
     if id_col not in df.columns:
         if id_order:
             df = row_id(df, list(id_order), id_col)
@@ -148,6 +153,19 @@ class SalesAnalysis:
         require_none(where_missing(self.imputed, self.changed), "deals without a stage change date")
         return self
 
+    def commit_imputed(self, path: str | None = None) -> SalesAnalysis:
+        """Write the imputed table once, with the data-quality gate inside the
+        writing job: if a change date is still missing it raises and leaves no
+        table. Later frames read what was written."""
+        imputed = self.imputed
+        path = path or shared_path(imputed.sparkSession, "imputed")
+        io.write_checked(imputed, path, F.col(self.changed).isNull(), "deals without a stage change date")
+        stored = imputed.sparkSession.read.schema(imputed.schema).parquet(path).select(*imputed.columns)
+        for k in ("closed", "closed_deals"):
+            self.__dict__.pop(k, None)
+        self.__dict__["imputed"] = stored
+        return self
+
     @cached_property
     def v2(self) -> DataFrame:
         return impute_entry_stage(self.v1, self.changed, self.created, self.stage)

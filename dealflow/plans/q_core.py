@@ -420,3 +420,70 @@ def read_opportunities_q(spark, sf):
     path = shared_path(spark, "opportunities")
     io.write_table(testdata.opportunities(spark, sf), path)
     return io.read_opportunities(spark, path, schema=io.OPPORTUNITY_SCHEMA)
+
+
+@register("gate_imputed", with_base("SELECT * FROM imp", "imp"))
+def gate_imputed(spark, sf):
+    """The imputed table as written behind the gate that no change date is missing."""
+    from dealflow.plans.flow import SalesAnalysis
+    a = analysis(spark, sf)
+    own = SalesAnalysis(a.opportunities, a.rep_team)
+    own._v1 = a.v1
+    return own.commit_imputed().imputed
+
+
+@register("export_overwrite", with_base("""
+SELECT id, team, stage, employees + 1 AS employees FROM v1 WHERE stage <> 'NEW'""", "v1"))
+def export_overwrite(spark, sf):
+    """One path written three times: other rows, the table, and the table changed
+    from what stands there."""
+    path = shared_path(spark, "overwritten")
+    v1 = analysis(spark, sf).v1.select("id", "team", "stage", "employees")
+    io.write_table(v1.where("stage = 'NEW'"), path)
+    first = io.write_table(v1, path)
+    return io.write_table(first.where("stage <> 'NEW'").withColumn("employees", F.col("employees") + 1), path)
+
+
+# Faults that the text source below is given, by id.
+BAD_NUMBER, SHORT_RECORD, LINE_BREAK = 97, 89, 7
+
+
+def _faulty_csv(spark, sf) -> str:
+    """The opportunities as CSV text, some records with a number that is none,
+    without their last value, or with a quoted line break and quotes."""
+    o = testdata.opportunities(spark, sf)
+
+    def text(c: str):
+        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    company = F.when(F.col("id") % LINE_BREAK == 0, F.concat(
+        F.lit('"'), "company", F.lit('\n""and"", sons"'))).otherwise(F.col("company"))
+    employees = F.when(F.col("id") % BAD_NUMBER == 0, F.lit("many")).otherwise(text("employees"))
+    front = F.concat_ws(",", "id", "opportunity_owner", company, "stage", text("created_date"),
+                        text("last_stage_change_date"), employees)
+    last = F.when(F.col("id") % SHORT_RECORD == 0, F.lit("")).otherwise(
+        F.concat(F.lit(","), text("sold_price_per_registered_member")))
+    path = shared_path(spark, "faulty")
+    o.select(F.concat(front, last)).write.text(path)
+    return path
+
+
+@register("scan_opportunities_csv", with_base(f"""
+SELECT * REPLACE (CASE WHEN id % {LINE_BREAK} = 0 THEN company || chr(10) || '"and", sons' ELSE company END AS company)
+FROM opps WHERE id % {BAD_NUMBER} <> 0 AND id % {SHORT_RECORD} <> 0""", "opps"))
+def scan_opportunities_csv(spark, sf):
+    return io.read_csv_typed(spark, _faulty_csv(spark, sf), io.OPPORTUNITY_SCHEMA, header=False).rows
+
+
+@register("rejected_rows", with_base(f"""
+SELECT id, CASE WHEN id % {BAD_NUMBER} = 0 AND id % {SHORT_RECORD} = 0 THEN 'both'
+                WHEN id % {BAD_NUMBER} = 0 THEN 'number' ELSE 'short' END AS fault
+FROM opps WHERE id % {BAD_NUMBER} = 0 OR id % {SHORT_RECORD} = 0""", "opps"))
+def rejected_rows(spark, sf):
+    """The records that the typed scan rejects; what is wrong is read off their text."""
+    found = io.read_csv_typed(spark, _faulty_csv(spark, sf), io.OPPORTUNITY_SCHEMA, header=False)
+    record = F.col("record")
+    number = record.contains(",many")
+    short = F.regexp_count(F.regexp_replace(record, F.lit('"[^"]*"'), F.lit("")), F.lit(",")) < 7
+    return found.rejected.select(
+        F.substring_index(record, ",", 1).cast("long").alias("id"),
+        F.when(number & short, "both").when(number, "number").when(short, "short").otherwise("other").alias("fault"))

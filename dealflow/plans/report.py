@@ -20,12 +20,12 @@ from dealflow.operators import chartdata as cd
 from dealflow.operators import metrics as m
 from dealflow.operators import profile as pr
 from dealflow.operators import stats as st
+from dealflow.operators.permutation import REPLICATES
 from dealflow.operators.aggregates import null_profile
 from dealflow.operators.filters import where_missing
 from dealflow.operators.impute import imputation_summary
 from dealflow.plans.flow import SalesAnalysis, ingest, ingest_rep_team, prepare
 from dealflow.plans.q_chart import BINS, EMPLOYEE_CUT
-from dealflow.plans.q_stats import CHI_REPLICATES, FISHER_REPLICATES
 from dealflow.session import get_session
 from dealflow.sources import io
 
@@ -36,7 +36,7 @@ EXPORT_NAMES = ("team_conversion_rates", "average_revenue_won", "average_cycle_b
 def run_report(spark: SparkSession, a: SalesAnalysis, out_dir: str | None = None,
                seed: int = 0, show: bool = True) -> dict[str, DataFrame]:
     """Compute every result of the analysis from a prepared ``SalesAnalysis``."""
-    a.require_complete()
+    a.commit_imputed()
     closed, outcomes = a.closed_deals, a.closed_outcomes
     long = st.contingency(outcomes, "team", "deal_outcome", [m.LOST, m.WON])
     rates = m.team_conversion(outcomes)
@@ -51,9 +51,9 @@ def run_report(spark: SparkSession, a: SalesAnalysis, out_dir: str | None = None
                                            "employees", BINS),
         "overall_conversion": m.overall_conversion(outcomes),
         "fisher": st.fisher_mc(spark, long, "team", "deal_outcome",
-                               replicates=FISHER_REPLICATES, seed=seed),
+                               replicates=REPLICATES["fisher"], seed=seed),
         "chi_square": st.chi_square_mc(spark, long, "team", "deal_outcome",
-                                       replicates=CHI_REPLICATES, seed=seed),
+                                       replicates=REPLICATES["chisq"], seed=seed),
         "lost_stage_share": m.lost_stage_share(outcomes),
         "spearman": st.spearman(a.closed, "employees", "sales_cycle_days"),
         "win_rate_bars": cd.win_rate_bars(rates),
