@@ -42,6 +42,27 @@ def pivot_wider(df: DataFrame, ids: str | Sequence[str], names_from: str,
     return wide
 
 
+# Most columns that a pivot by the data's own values makes.
+MOST_PIVOT_COLUMNS = 1000
+
+
+def pivot_by_data(df: DataFrame, ids: str | Sequence[str], names_from: str, values_from: str,
+                  order: str, prefix: str = "") -> tuple[DataFrame, list]:
+    """Long to wide with the columns that the data holds, in the order of their
+    first appearance (least ``order``); also returns their values in that order.
+
+    One grouped minimum finds them; more than ``MOST_PIVOT_COLUMNS`` are refused.
+    A NULL value is no column. ``df`` is stored, since it is read twice.
+    """
+    df = checkpointed(df)
+    found = (df.where(F.col(names_from).isNotNull()).groupBy(names_from).agg(F.min(order).alias("__first"))
+             .orderBy("__first", names_from).limit(MOST_PIVOT_COLUMNS + 1).collect())
+    if len(found) > MOST_PIVOT_COLUMNS:
+        raise ValueError(f"{names_from} has more than {MOST_PIVOT_COLUMNS} values: too many columns")
+    values = [r[names_from] for r in found]
+    return pivot_wider(df, ids, names_from, values_from, values, prefix), values
+
+
 def share_of_total(df: DataFrame, value: str, name: str = "percent",
                    scale: float = 100.0) -> DataFrame:
     """value / sum(value) * scale. ``df`` (usually an aggregate) is computed once

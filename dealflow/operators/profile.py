@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,13 +92,15 @@ def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return base.join(qs, "skim_variable", "left")
 
 
-def _top_counts(counts: DataFrame, c: str, k: int) -> DataFrame:
-    """The ``k`` most frequent values (ties by value) of a (value, n) table, in
-    full, as array<struct<value, n>>: a TopK per partition merged on k rows."""
-    top = counts.orderBy(F.col("n").desc(), F.col(c).asc()).limit(k)
-    items = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col(c).alias("v"), "n")))
-    return top.agg(F.transform(items, lambda s: F.struct(s["v"].alias("value"), s["n"].alias("n")))
-                   .alias("top_counts"))
+def _top_counts(counts: DataFrame, k: int) -> DataFrame:
+    """(skim_variable, top_counts): each column's ``k`` most frequent values (ties
+    by value), from one ranking of all columns. Spark keeps the first ``k`` of a
+    column in every task before it brings them together."""
+    order = Window.partitionBy("skim_variable").orderBy(F.col("n").desc(), F.col("value").asc())
+    top = counts.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k)
+    items = F.sort_array(F.collect_list(F.struct("__rank", "value", "n")))
+    return top.groupBy("skim_variable").agg(
+        F.transform(items, lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"))).alias("top_counts"))
 
 
 def profile_categorical(df: DataFrame, cols: list[str] | None = None, top: int = 4) -> DataFrame:
@@ -114,11 +116,7 @@ def profile_categorical(df: DataFrame, cols: list[str] | None = None, top: int =
     counts = checkpointed(long_values(df, cols).where(F.col("value").isNotNull())
                           .groupBy("skim_variable", "value").agg(F.count(F.lit(1)).alias("n")))
     uniq = counts.groupBy("skim_variable").agg(F.count(F.lit(1)).alias("n_unique"))
-    tops = None
-    for c in cols:
-        t = _top_counts(counts.where(F.col("skim_variable") == c), "value", top).withColumn(
-            "skim_variable", F.lit(c))
-        tops = t if tops is None else tops.unionByName(t)
+    tops = _top_counts(counts, top)
     return (base.join(uniq, "skim_variable", "left").join(tops, "skim_variable", "left")
             .withColumn("n_unique", F.coalesce(F.col("n_unique"), F.lit(0))))
 

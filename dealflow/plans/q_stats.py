@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dealflow.operators import metrics as m
 from dealflow.operators import stats as st
+from dealflow.operators.aggregates import pivot_by_data
 from dealflow.operators.permutation import permutation_test
 from dealflow.plans.catalog import r6, register, with_base
 from dealflow.plans.flow import analysis
@@ -41,6 +42,21 @@ def contingency_long(spark, sf):
     return _long(spark, sf)
 
 
+@register("contingency_by_data", with_base("""
+SELECT team, count(*) FILTER (deal_outcome = 'Won') AS n_Won, count(*) FILTER (deal_outcome = 'Lost') AS n_Lost,
+       (SELECT string_agg(o, ',' ORDER BY f) FROM (
+          SELECT deal_outcome AS o, min(id) AS f FROM closed WHERE deal_outcome <> 'Open' GROUP BY deal_outcome)) AS column_order
+FROM closed WHERE deal_outcome <> 'Open' GROUP BY team"""))
+def contingency_by_data(spark, sf):
+    """The wide contingency table with the outcomes found in the data as columns,
+    in the order of their first deal."""
+    counted = analysis(spark, sf).closed_outcomes.groupBy("team", "deal_outcome").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    wide, values = pivot_by_data(counted, "team", "deal_outcome", "n", "first_id", prefix="n_")
+    names = [f"n_{v}" for v in values]
+    return wide.fillna(0, names).select("team", *names, F.lit(",".join(values)).alias("column_order"))
+
+
 @register("chi_square", with_base(f"SELECT round(statistic, 6) AS statistic, df FROM ({_CHI_SQL})"))
 def chi_square(spark, sf):
     return st.chi_square(_long(spark, sf), "team", "deal_outcome").select(r6("statistic"), "df")

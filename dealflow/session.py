@@ -14,8 +14,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # HotSpot does not compile longer methods: wider projections run operator by operator
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     # delete checkpoint files once the frames using them are gone
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",

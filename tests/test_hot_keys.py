@@ -185,3 +185,33 @@ def test_permutation_needs_two_by_two(spark):
     for bad in (df, df.where("id < 0")):
         with pytest.raises(ValueError):
             permutation_test(bad, "team", "outcome", replicates=5)
+
+
+def test_top_values_of_many_columns(spark):
+    from dealflow.operators.profile import profile_categorical
+    rows = [tuple(str((k * (c % 7 + 1)) % (c % 5 + 2)) if k % 9 else None for c in range(300)) for k in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{c} string" for c in range(300)))
+    steps = {}
+    for n in (3, 300):
+        out = profile_categorical(df.select([f"c{c}" for c in range(n)]))
+        steps[n] = explained(out).count("Exchange"), explained(out).count("Window")
+    assert steps[3] == steps[300]
+    for r in out.collect():
+        seen = Counter(x[int(r.skim_variable[1:])] for x in rows)
+        missing = seen.pop(None)
+        want = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))
+        assert (r.n_missing, r.n_unique) == (missing, len(want))
+        assert [(t.value, t.n) for t in r.top_counts] == want[:4]
+
+
+def test_pivot_by_data(spark, monkeypatch):
+    from dealflow.operators import aggregates
+    rows = [("x", "b", 5, 2), ("x", "a", 6, 3), ("y", "a", 7, 1), (None, "c", 8, 0), ("y", None, 9, 0)]
+    df = spark.createDataFrame(rows, "team string, kind string, n long, first long")
+    wide, values = aggregates.pivot_by_data(df, "team", "kind", "n", "first", "n_")
+    assert values == ["c", "a", "b"] and wide.columns == ["team", "n_c", "n_a", "n_b"]
+    assert sorted(map(tuple, wide.collect()), key=str) == sorted(
+        [("x", None, 6, 5), ("y", None, 7, None), (None, 8, None, None)], key=str)
+    monkeypatch.setattr(aggregates, "MOST_PIVOT_COLUMNS", 2)
+    with pytest.raises(ValueError):
+        aggregates.pivot_by_data(df, "team", "kind", "n", "first")
