@@ -38,8 +38,8 @@ MOST_BROADCAST_PARTITIONS = 1_000_000
 
 def prefix_table(totals: DataFrame, part: str, weight: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, part, _ord_off): the sum of ``weight`` over all earlier parts of the
-    same keys. Two levels: inside blocks of ``PREFIX_BLOCK`` parts, and over the
-    blocks' totals."""
+    same keys, stored. Two levels: inside blocks of ``PREFIX_BLOCK`` parts, and over
+    the blocks' totals."""
     keys = list(keys)
     block = F.floor(F.col(part) / PREFIX_BLOCK).alias("_ord_g")
     rows = checkpointed(totals.select(*keys, part, weight, block))
@@ -53,7 +53,8 @@ def prefix_table(totals: DataFrame, part: str, weight: str, keys: Sequence[str]
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
     inside = rows.withColumn("_ord_i", F.coalesce(F.sum(weight).over(earlier), F.lit(0)))
-    return inside.join(blocks, same).select(*keys, part, (F.col("_ord_i") + F.col("_ord_b")).cast("long").alias("_ord_off"))
+    return checkpointed(inside.join(blocks, same).select(
+        *keys, part, (F.col("_ord_i") + F.col("_ord_b")).cast("long").alias("_ord_off")))
 
 
 def row_id(df: DataFrame, order: Sequence[Column | str], name: str = "id",
