@@ -24,7 +24,13 @@ from dealflow.llm.common import byte_list, materialize, slices
 
 BLOCK_BITS, BLOCK_LEVELS = 10, 3  # turns are searched in blocks of 2 ** 10, up to three times nested
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
-_INTRO = re.compile(r"[^>\n]{0,200}\b(?:wrote|writes|schrieb|écrit|escribió)[ \t]*:[ \t]*")
+_WROTE = re.compile(r"\b(?:wrote|writes|schrieb|écrit|escribió)\Z")
+
+
+def is_attribution(line: str) -> bool:
+    """Whether a line of any length introduces a quote: "... wrote:"."""
+    head, colon, rest = line.rpartition(":")
+    return bool(colon) and ">" not in line and not rest.strip(" \t") and bool(_WROTE.search(head.rstrip(" \t")[-20:]))
 
 
 def parse_quotes(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
@@ -34,7 +40,7 @@ def parse_quotes(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
     inside = False
     for line in text.split("\n"):
         if m := _MARKS.match(line):
-            if own and _INTRO.fullmatch(own[-1]):
+            if own and is_attribution(own[-1]):
                 own.pop()  # "... wrote:" before a quote belongs to it
             level = m[1].count(">")
             if not (inside and quoted[-1][0] == level):

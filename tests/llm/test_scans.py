@@ -219,3 +219,14 @@ def test_op10_whole_table(spark):
     want = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
     assert sorted((r.conv_id, r.turn, r.text) for r in got.collect()) == sorted(
         (r.conv_id, r.turn, quotes.parse_quotes(r.text or "")[0]) for r in want.collect())
+
+
+def test_attribution_lines_of_any_length():
+    from dealflow.llm.quotes import is_attribution, parse_quotes
+    for size in (0, 150, 199, 200, 300, 5000):
+        line = "x " * (size // 2) + "Ann wrote: "
+        own, quoted = parse_quotes(f"before\n{line}\n> said\nafter")
+        assert own == "before\nafter" and quoted == [(1, ["said"])]
+    for line in ("wrote", "Ann wrote: this", "rewrote:", "a > b wrote:", "", ":", "Ann wrote -"):
+        assert not is_attribution(line)
+    assert is_attribution("Anne a écrit : ") and is_attribution("wrote:\t")
