@@ -12,44 +12,46 @@ token's probability is that of the longest kept suffix of what precedes it.
 How it runs: texts are cut into chunks, each with its own word list.  Chunks
 send their distinct words with counts as one block per part, a part being a
 hash range of words; a part adds up the blocks of all chunks and answers each
-block with counts and log probabilities.  Contexts follow by length in the same
+block with counts.  Contexts follow by length in the same
 way, a part being a hash range of contexts: a chunk sends (context, word)
-counts with the word's probability under the longest kept suffix, for contexts
-whose first and last words but one were candidates.  All counts of a context
-meet in its part, which has its exact total, tests it and answers.  Words,
-contexts and their counts stay distributed; nothing of them is collected.
+counts with the word's probability under the longest kept suffix, and the part
+tests the contexts and answers with counts.  The corpus count of a context with
+a word is that of the longer context they make, so only candidates are ever sent.  Words, contexts and their counts stay distributed; nothing of them is
+collected.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealflow.llm.common import byte_list, materialize, mix64, remove_table, runs, slices
 
 MIN_COUNT = 50           # training occurrences, for a context
 MIN_SHARE = 0.0          # of training tokens, for a smaller tree: none by default
-LONGEST = 4              # words of a context
+LONGEST = 6              # words of a context: the order of the model
 MIN_GAIN = 50.0          # nats that a kept context saves on the training text
 CHUNK_BYTES = 3 << 20    # text per chunk
 PART_ENTRIES = 1 << 18   # (word, context) entries per part, about
+BATCH_BYTES = 8 << 20    # of an Arrow batch of blocks
 FOLDS = 10
 END = b"\n"              # no word holds white space
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def squeeze(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays as one compressed value; the caller knows their types."""
+    """Arrays as one value, their bytes compressed place by place; the caller knows their types."""
     out = []
     for a in arrays:
-        raw = a if isinstance(a, bytes) else a.tobytes()
+        raw = a if isinstance(a, bytes) else np.ascontiguousarray(a).view("u1").reshape(-1, a.itemsize).T.tobytes()
         packed = _ZSTD.compress(raw, asbytes=True)
         out += [len(raw).to_bytes(8, "little"), len(packed).to_bytes(8, "little"), packed]
     return b"".join(out)
@@ -61,7 +63,8 @@ def expand(blob: bytes, *kinds: str) -> list:
     for kind in kinds:
         size, n = (int.from_bytes(blob[at + k:at + k + 8], "little") for k in (0, 8))
         raw = _ZSTD.decompress(blob[at + 16:at + 16 + n], size, asbytes=True)
-        out.append(raw if kind == "bytes" else np.frombuffer(raw, kind))
+        out.append(raw if kind == "bytes" else np.ascontiguousarray(
+            np.frombuffer(raw, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel())
         at += 16 + n
     return out
 
@@ -113,9 +116,9 @@ def make_chunks(docs: DataFrame) -> DataFrame:
 
 
 class Chunk:
-    """A chunk with its distinct (word, context) keys in a fixed order."""
+    """A chunk whose words are numbered by their part, then by hash."""
 
-    def __init__(self, blob: bytes, contexts: dict[tuple, int], parts: int):
+    def __init__(self, blob: bytes, parts: int):
         self.doc_ids, null, lengths, ids, text = expand(blob, "<i8", "u1", "<u4", "<u4", "bytes")
         self.null, self.lengths = null.astype(bool), lengths.astype(np.int64)
         words = [END, *text.split(b" ")] if text else [END]
@@ -125,171 +128,76 @@ class Chunk:
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         self.hashes, self.part = hashes[order], part[order]
-        self.token = rank[ids]  # words are numbered by that order from here on
-        number = dict(zip(words, rank.tolist()))
-        self.learn = np.repeat([not held_out(None if n else int(k)) for k, n in zip(self.doc_ids, null)], self.lengths)
-        self.width = len(contexts) + 1
-        one = np.full(len(words), -1, np.int32)
-        pairs: dict[int, int] = {}
-        for (a, b), c in contexts.items():
-            if b in number and (a is None or a in number):
-                if a is None:
-                    one[number[b]] = c
-                else:
-                    pairs[number[a] * len(words) + number[b]] = c
-        ends = np.cumsum(self.lengths)
-        place = np.arange(len(ids), dtype=np.int32) - np.repeat((ends - self.lengths).astype(np.int32), self.lengths)
-        before = np.full(len(ids), -1, np.int32)
-        before[1:] = one[self.token[:-1]]
-        before[place < 1] = -1
-        before2 = np.full(len(ids), -1, np.int32)
-        if pairs and len(ids) > 2:
-            codes = np.array(sorted(pairs))
-            numbers = np.array([pairs[c] for c in codes.tolist()])
-            code = self.token[:-2] * len(words) + self.token[1:-1]
-            pos = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            before2[2:] = np.where(codes[pos] == code, numbers[pos], -1)
-            before2[place < 2] = -1
-        self.context = (before, before2)
-        self.at = [np.flatnonzero(c >= 0) for c in self.context]
-        raw = np.concatenate([self.token[i] * self.width + c[i] for i, c in zip(self.at, self.context)])
-        self.keys, self.key_of = np.unique(raw, return_inverse=True)
+        self.token = rank[ids]
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
-        """(part, block): word hashes and counts, then the contexts of each word."""
-        count = np.bincount(self.token[self.learn], minlength=len(self.part))
-        learnt = np.concatenate([self.learn[i] for i in self.at])
-        per_key = np.bincount(self.key_of[learnt], minlength=len(self.keys))
-        word = self.keys // self.width
-        many = np.bincount(word, minlength=len(self.part))
+        """(part, block): hashes and training counts of the words of one part."""
+        learn = np.repeat([not held_out(None if n else int(k)) for k, n in zip(self.doc_ids, self.null)], self.lengths)
+        count = np.bincount(self.token[learn], minlength=len(self.part))
         starts = np.flatnonzero(np.diff(self.part, prepend=-1))
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(self.part)]):
-            k = slice(*np.searchsorted(word, [s, e]))
-            yield int(self.part[s]), squeeze(
-                self.hashes[s:e], count[s:e].astype("<u4"), many[s:e].astype("<u4"),
-                (self.keys[k] % self.width).astype("<u4"), per_key[k].astype("<u4"))
-
-
-class Part:
-    """Totals of one part over the blocks of all chunks."""
-
-    def __init__(self, blocks: list[bytes], width: int):
-        got = [expand(b, "<u8", "<u4", "<u4", "<u4", "<u4") for b in blocks]
-        self.sizes = [(len(g[1]), len(g[3])) for g in got]
-        hashes = np.concatenate([g[0] for g in got]).reshape(-1, 2)
-        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
-        new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]).any(axis=1)])
-        self.word = np.empty(len(hashes), np.int64)
-        self.word[order] = np.cumsum(new) - 1
-        self.count = np.bincount(self.word, np.concatenate([g[1] for g in got])).astype(np.int64)
-        owner = np.repeat(self.word, np.concatenate([g[2] for g in got]))
-        raw = owner * width + np.concatenate([g[3] for g in got])
-        self.keys, self.key = np.unique(raw, return_inverse=True)
-        self.key_count = np.bincount(self.key, np.concatenate([g[4] for g in got]),
-                                     len(self.keys)).astype(np.int64)
-        self.key_word, self.key_context = self.keys // width, self.keys % width
-
-    def root(self, tokens: int, unseen: float) -> np.ndarray:
-        return np.where(self.count > 0, (1 - unseen) * self.count / max(tokens, 1), unseen)
-
-
-class Tree:
-    """Kept contexts, their totals and suffixes: all that is broadcast."""
-
-    def __init__(self, contexts: dict[tuple, int], totals: dict[int, tuple[int, int]], once: int):
-        self.contexts, self.width = contexts, len(contexts) + 1
-        self.tokens, self.words = totals.get(0, (0, 0))
-        self.unseen = (once + 0.5) / (self.tokens + 1)
-        self.n, self.different = np.zeros(self.width), np.zeros(self.width)
-        self.long = np.zeros(self.width, bool)
-        self.suffix = np.zeros(self.width, np.int64)  # 0: the root
-        for (a, b), c in contexts.items():
-            self.n[c], self.different[c] = totals.get(c, (0, 0))
-            self.long[c] = a is not None
-            if a is not None:
-                self.suffix[c] = contexts.get((None, b), 0)
-        self.kept = np.zeros(self.width, bool)
-
-    def parents(self, part: Part, root: np.ndarray, short: np.ndarray | None) -> np.ndarray:
-        """Probability of each key's word under its context's longest kept suffix."""
-        up = root[part.key_word]
-        if short is not None:
-            s = self.suffix[part.key_context]
-            at = np.searchsorted(part.keys, part.key_word * self.width + s)
-            at = np.minimum(at, max(len(part.keys) - 1, 0))
-            have = (s > 0) & self.kept[s]
-            # a kept suffix was seen before the same word, so its key is in the part
-            up = np.where(have & (part.key_context[at] == s), short[at], up)
-        return up
-
-    def probability(self, part: Part, leave_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(root by word, by key, by key under the suffix); ``leave_out`` is 1 for the test."""
-        root = part.root(self.tokens, self.unseen)
-        c, n = part.key_context, part.key_count - leave_out
-        total, pull = self.n[c] - leave_out, np.maximum(self.different[c], 1)
-        under = self.parents(part, root, None)
-        short = (part.key_count + pull * under) / (self.n[c] + pull)
-        under = np.where(self.long[c], self.parents(part, root, short), under)
-        own = (np.maximum(n, 0) + pull * under) / (np.maximum(total, 0) + pull)
-        return root, own, under
-
+            yield int(self.part[s]), squeeze(self.hashes[s:e], count[s:e].astype("<u4"))
 
-# -- the passes ---------------------------------------------------------------
 
-def _parts(blocks: DataFrame) -> DataFrame:
-    """One row per part with all its blocks."""
+def count_words(blocks: list[bytes]) -> tuple[list[bytes], tuple[int, int, int]]:
+    """One part's answer to each block, the words' corpus counts; then tokens, words and words seen once."""
+    got = [expand(b, "<u8", "<u4") for b in blocks]
+    sizes = np.cumsum([0, *(len(g[1]) for g in got)])
+    hashes = np.concatenate([g[0] for g in got]).reshape(-1, 2)
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]).any(axis=1)])
+    word = np.empty(len(hashes), np.int64)
+    word[order] = np.cumsum(new) - 1
+    count = np.bincount(word, np.concatenate([g[1] for g in got])).astype("<i8")
+    totals = (int(count.sum()), int((count > 0).sum()), int((count == 1).sum()))
+    return [squeeze(count[word[s:e]]) for s, e in zip(sizes, sizes[1:])], totals
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["part"]):
-            names, blobs = t["chunk"].to_pylist(), t["blob"].to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [t["part"][:1].combine_chunks(), pa.array([names]), pa.array([blobs], pa.list_(pa.binary()))],
-                ["part", "chunks", "blobs"])
 
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(
-        run, "part long, chunks array<string>, blobs array<binary>")
+# -- the passes ---------------------------------------------------------------
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches, and shuffle files that go when their query ends, for the passes below.
 
-def _each_part(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[str], Part]]:
-    for b in batches:
-        for k in range(b.num_rows):
-            yield b.column("chunks")[k].as_py(), Part(b.column("blobs")[k].as_py(), width)
+    A row here is a whole block or chunk, so a batch of the default size would
+    be several hundred of them; a pass is written once and never read twice.
+    """
+    settings = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+                "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def _root(parts: DataFrame) -> Tree:
-    """The tree without contexts: totals of the words."""
+def _by_part(chunks: DataFrame, blocks: Callable[[bytes], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """(part, chunk, blob): the blocks of every chunk, those of one part together."""
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, p in _each_part(batches, 1):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(x)]) for x in (p.count.sum(), (p.count > 0).sum(), (p.count == 1).sum())],
-                ["n", "different", "once"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, blob in zip(b.column("chunk").to_pylist(), b.column("blob")):
+                found = list(blocks(blob.as_py()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in found], pa.int64()), pa.array([name] * len(found), pa.string()),
+                     pa.array([x for _, x in found], pa.binary())], ["part", "chunk", "blob"])
 
-    r = parts.mapInArrow(totals, "n long, different long, once long").agg(
-        F.sum("n").alias("n"), F.sum("different").alias("d"), F.sum("once").alias("once")).first()
-    return Tree({}, {0: (r.n or 0, r.d or 0)}, r.once or 0)
+    sent = chunks.select("chunk", "blob").mapInArrow(run, "part long, chunk string, blob binary")
+    return sent.repartition("part").sortWithinPartitions("part")
 
 
-def _answers(parts: DataFrame, tree: Tree) -> DataFrame:
-    """(chunk, part, blob): counts and log10 probabilities in a block's order."""
-    sent, width = parts.sparkSession.sparkContext.broadcast(tree), tree.width
+def _with_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every chunk (as part -1) followed by its answers in the order of parts."""
+    own = chunks.select("chunk", F.lit(-1).cast("long").alias("part"), "blob")
+    return own.unionByName(answers.select("chunk", "part", "blob")).repartition("chunk").sortWithinPartitions(
+        "chunk", "part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                p = Part(b.column("blobs")[k].as_py(), width)
-                root, own, _ = sent.value.probability(p)
-                w = np.cumsum([0, *(n for n, _ in p.sizes)])
-                e = np.cumsum([0, *(n for _, n in p.sizes)])
-                lw, lk = np.log10(root).astype("<f8"), np.log10(own).astype("<f4")
-                blobs = [squeeze(p.count[p.word[w[i]:w[i + 1]]].astype("<i8"), lw[p.word[w[i]:w[i + 1]]],
-                                 lk[p.key[e[i]:e[i + 1]]]) for i in range(len(p.sizes))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.column("chunks")[k].as_py(), pa.string()),
-                     pa.array([b.column("part")[k].as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())],
-                    ["chunk", "part", "blob"])
 
-    return parts.mapInArrow(run, "chunk string, part long, blob binary")
+def _answer_rows(t: pa.Table, blobs: list[bytes]) -> list[pa.Array]:
+    return [t["chunk"].combine_chunks(), t["part"].combine_chunks(), pa.array(blobs, pa.binary())]
 
 
 class State:
@@ -298,19 +206,23 @@ class State:
     ``live``: places whose preceding context of the next length is to be counted;
     ``prob``: the word's probability under its longest kept context so far;
     ``score``: per document, what places that are no longer live add up to.
+    Stored are the probabilities of live places, or before any context was
+    judged those of the words.
     """
 
-    KINDS = ("<i8", "u1", "<u4", "<i8", "<f8", "<f8", "<u4", "<u8", "u1", "<f4")
+    KINDS = ("<i8", "u1", "<u4", "<i8", "<f8", "<f8", "<u4", "<u8", "u1", "<f4", "<f4")
 
     def __init__(self, blob: bytes):
-        (self.doc_ids, self.null, self.lengths, self.known, self.base, score, token, hashes, live,
-         prob) = expand(blob, *self.KINDS)
-        self.score, self.token, self.hashes, self.prob = score.copy(), token.copy(), hashes.copy(), prob.copy()
+        (self.doc_ids, self.null, self.lengths, self.known, self.base, self.score, self.token, self.hashes, live,
+         by_word, prob) = expand(blob, *self.KINDS)
         self.live = live.astype(bool)
+        self.prob = np.zeros(len(live), "<f4")
+        self.prob[self.live] = by_word[self.token[self.live]] if len(by_word) else prob
 
-    def blob(self) -> bytes:
+    def blob(self, by_word: np.ndarray | None = None) -> bytes:
+        words = np.empty(0, "<f4") if by_word is None else by_word
         return squeeze(self.doc_ids, self.null, self.lengths, self.known, self.base, self.score, self.token,
-                       self.hashes, self.live.astype("u1"), self.prob)
+                       self.hashes, self.live.astype("u1"), words, self.prob[self.live & (not len(words))])
 
     def settle(self, live: np.ndarray, length: int) -> None:
         """Go on with ``live`` places for contexts of ``length``: add up the others, blank what none needs."""
@@ -352,22 +264,24 @@ class State:
             yield int(part[s]), squeeze(self.contexts[s:e], many[s:e].astype("<u4"), self.hashes[self.key_word[k]],
                                         count[k].astype("<u4"), prob[k])
 
-    def take(self, answers: list[bytes], length: int) -> None:
-        """Candidates and probabilities from the answers to all blocks, by part."""
-        got = [expand(x, "u1", "<f4") for x in answers]
-        alive = np.zeros(len(self.token), bool)
+    def take(self, answers: list[bytes], length: int, least: float) -> None:
+        """Probabilities and the next candidates from the answers to all blocks, by part."""
+        got = [expand(x, "<i8", "<i8", "<i8") for x in answers]
+        alive = np.zeros(len(self.token) + 1, bool)
         if got:
-            candidate, prob = (np.concatenate([g[k] for g in got]) for k in range(2))
-            alive[self.at] = candidate[self.key_context[self.key_of]].astype(bool)
-            self.prob[self.at] = prob[self.key_of]
-        # a longer context needs both its first and its last words as candidates
-        alive[1:] &= alive[:-1].copy()
-        alive[:1] = False
-        self.settle(alive, length + 1)
-
-
-def judge_contexts(blocks: list[bytes], least: float, min_gain: float) -> list[bytes]:
-    """One part's answer to each block: whether contexts are candidates, then the keys' probabilities."""
+            n, pull, count = (np.concatenate([g[k] for g in got]) for k in range(3))
+            c, k = self.key_context[self.key_of], count[self.key_of]
+            under = self.prob[self.at].astype("<f8")
+            self.prob[self.at] = np.where(pull[c] > 0, (k + pull[c] * under) / np.maximum(n[c] + pull[c], 1), under)
+            # a context with its word is the next word's longer context, as often in the corpus
+            alive[self.at[k >= least] + 1] = True
+        alive[np.cumsum(self.lengths.astype(np.int64))] = False
+        self.settle(alive[:-1], length + 1)
+
+
+def judge_contexts(blocks: list[bytes], min_gain: float) -> list[bytes]:
+    """One part's answer to each block: occurrences and different next words of contexts that
+    stay (else 0), then the keys' counts."""
     got = [expand(b, "<u8", "<u4", "<u8", "<u4", "<f4") for b in blocks]
     contexts, of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
     owner = np.repeat(of, np.concatenate([g[1] for g in got]))
@@ -380,61 +294,56 @@ def judge_contexts(blocks: list[bytes], least: float, min_gain: float) -> list[b
     count = np.bincount(key, np.concatenate([g[3] for g in got]))
     under = np.concatenate([g[4] for g in got])[first].astype("<f8")
     n = np.bincount(c, count, len(contexts))
-    pull = np.maximum(np.bincount(c, count > 0, len(contexts)), 1)[c]
-    left = (np.maximum(count - 1, 0) + pull * under) / (np.maximum(n[c] - 1, 0) + pull)
+    pull = np.maximum(np.bincount(c, count > 0, len(contexts)), 1)
+    left = (np.maximum(count - 1, 0) + pull[c] * under) / (np.maximum(n[c] - 1, 0) + pull[c])
     gain = np.bincount(c, count * (np.log(left) - np.log(under)), len(contexts))
-    alive = n >= least
-    kept = alive & (gain > min_gain)
-    prob = np.where(kept[c], (count + pull * under) / (n[c] + pull), under).astype("<f4")
+    kept = gain > min_gain
+    n, pull, count = (x.astype("<i8") for x in (np.where(kept, n, 0), np.where(kept, pull, 0), count))
     a = np.cumsum([0, *(len(g[0]) for g in got)])
     e = np.cumsum([0, *(len(g[2]) for g in got)])
-    return [squeeze(alive[of[a[i]:a[i + 1]]].astype("u1"), prob[key[e[i]:e[i + 1]]]) for i in range(len(got))]
+    out = []
+    for i in range(len(got)):
+        at = of[a[i]:a[i + 1]]
+        out.append(squeeze(n[at], pull[at], count[key[e[i]:e[i + 1]]]))
+    return out
 
 
 def _lengthen(states: DataFrame, length: int, parts: int, least: float) -> DataFrame:
     """The states after contexts of ``length`` words were counted, tested and answered."""
     min_gain = MIN_GAIN
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
-                state = State(blob)
-                state.keys(length)
-                found = list(state.blocks(parts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in found], pa.int64()), pa.array([name] * len(found), pa.string()),
-                     pa.array([x for _, x in found], pa.binary())], ["part", "chunk", "blob"])
+    def blocks(blob: bytes) -> Iterator[tuple[int, bytes]]:
+        state = State(blob)
+        state.keys(length)
+        return state.blocks(parts)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                blobs = judge_contexts(b.column("blobs")[k].as_py(), least, min_gain)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.column("chunks")[k].as_py(), pa.string()),
-                     pa.array([b.column("part")[k].as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())],
-                    ["chunk", "part", "blob"])
+        for t in runs(batches, ["part"]):
+            yield pa.RecordBatch.from_arrays(
+                _answer_rows(t, judge_contexts(t["blob"].to_pylist(), min_gain)), ["chunk", "part", "blob"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["chunk"]):
-            blobs = t["blob"].to_pylist()  # the state itself is part -1, sorted first
+            blobs = t["blob"].to_pylist()
             state = State(blobs[0])
             state.keys(length)
-            state.take(blobs[1:], length)
+            state.take(blobs[1:], length, least)
             yield _state_row(t["chunk"][0].as_py(), state)
 
-    sent = _parts(states.select("chunk", "blob").mapInArrow(send, "part long, chunk string, blob binary"))
-    answers = sent.mapInArrow(answer, "chunk string, part long, blob binary")
-    own = states.select("chunk", F.lit(-1).cast("long").alias("part"), "blob")
-    return materialize(own.unionByName(answers).repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(
-        take, _STATE), "states")
+    # written on its own: the keys' shuffle is gone before the states move
+    answers = materialize(_by_part(states, blocks).mapInArrow(
+        answer, "chunk string, part long, blob binary"), "answers")
+    out = materialize(_with_answers(states, answers).mapInArrow(take, _STATE), "states")
+    remove_table(answers)
+    return out
 
 
 _STATE = "chunk string, live long, blob binary"
 
 
-def _state_row(name: str, state: State) -> pa.RecordBatch:
+def _state_row(name: str, state: State, by_word: np.ndarray | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([name]), pa.array([int(state.live.sum())]), pa.array([state.blob()], pa.binary())],
+        [pa.array([name]), pa.array([int(state.live.sum())]), pa.array([state.blob(by_word)], pa.binary())],
         ["chunk", "live", "blob"])
 
 
@@ -445,33 +354,39 @@ def score(docs: DataFrame) -> DataFrame:
     null or empty text is its end alone; repeated rows all count and stay; a
     null doc_id is held out.
     """
-    sc = docs.sparkSession.sparkContext
+    with lean(docs.sparkSession):
+        return _score(docs)
+
+
+def _score(docs: DataFrame) -> DataFrame:
     chunks = materialize(make_chunks(docs), "chunks")
     # parts grow with the corpus, so that a part's size does not
     n_parts = max(1, chunks.count() * CHUNK_BYTES // (24 * PART_ENTRIES))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist()):
-                found = list(Chunk(blob, {}, n_parts).blocks())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in found], pa.int64()), pa.array([name] * len(found)),
-                     pa.array([x for _, x in found], pa.binary())], ["part", "chunk", "blob"])
+    def blocks(blob: bytes) -> Iterator[tuple[int, bytes]]:
+        return Chunk(blob, n_parts).blocks()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["part"]):
+            blobs, totals = count_words(t["blob"].to_pylist())
+            rest = [pa.array([x] + [0] * (len(blobs) - 1), pa.int64()) for x in totals]
+            yield pa.RecordBatch.from_arrays(
+                [*_answer_rows(t, blobs), *rest], ["chunk", "part", "blob", "tokens", "words", "once"])
 
-    parts = materialize(_parts(chunks.select("chunk", "blob").mapInArrow(
-        blocks, "part long, chunk string, blob binary")), "parts")
-    tree = _root(parts)
-    grown = sc.broadcast(tree)
-    least = max(MIN_COUNT, MIN_SHARE * tree.tokens)
+    answers = materialize(_by_part(chunks, blocks).mapInArrow(
+        count, "chunk string, part long, blob binary, tokens long, words long, once long"), "counts")
+    tokens, words, once = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("words"), F.sum("once")).first())
+    unseen = (once + 0.5) / (tokens + 1)
+    least = max(MIN_COUNT, MIN_SHARE * tokens)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["chunk"]):
-            blobs, tree = t["blob"].to_pylist(), grown.value  # the chunk itself is part -1, sorted first
-            chunk = Chunk(blobs[0], {}, n_parts)
-            got = [expand(x, "<i8", "<f8", "<f4") for x in blobs[1:]]
-            count, root = (np.concatenate([g[k] for g in got]) for k in range(2))
-            c = count[chunk.token]
-            base = np.log10((c + 0.1) / (tree.tokens + 0.1 * (tree.words + 1)))
+            blobs = t["blob"].to_pylist()
+            chunk = Chunk(blobs[0], n_parts)
+            seen = np.concatenate([expand(x, "<i8")[0] for x in blobs[1:]])
+            by_word = np.where(seen > 0, (1 - unseen) * seen / max(tokens, 1), unseen).astype("<f4")
+            c = seen[chunk.token]
+            base = np.log10((c + 0.1) / (tokens + 0.1 * (words + 1)))
             first = np.cumsum(chunk.lengths) - chunk.lengths
             live = np.zeros(len(c), bool)
             live[1:] = c[:-1] >= least
@@ -480,35 +395,35 @@ def score(docs: DataFrame) -> DataFrame:
                 chunk.doc_ids, chunk.null.astype("u1"), chunk.lengths.astype("<u4"),
                 np.add.reduceat((c > 0).astype("<i8"), first), np.add.reduceat(base, first), np.zeros(len(first)),
                 chunk.token.astype("<u4"), np.ascontiguousarray(chunk.hashes[:, 0]), np.ones(len(c), "u1"),
-                (10.0 ** root[chunk.token]).astype("<f4")))
+                by_word, np.empty(0, "<f4")))
             state.settle(live, 1)
-            yield _state_row(t["chunk"][0].as_py(), state)
+            yield _state_row(t["chunk"][0].as_py(), state, by_word)
 
-    own = chunks.select("chunk", F.lit(-1).cast("long").alias("part"), "blob")
-    states = materialize(own.unionByName(_answers(parts, tree)).repartition("chunk").sortWithinPartitions(
-        "chunk", "part").mapInArrow(start, _STATE), "states")
+    states = materialize(_with_answers(chunks, answers).mapInArrow(start, _STATE), "states")
     remove_table(chunks)
-    remove_table(parts)
+    remove_table(answers)
     for length in range(1, LONGEST + 1):
         if not states.agg(F.sum("live")).first()[0]:
             break
         longer = _lengthen(states, length, n_parts, least)
         remove_table(states)
         states = longer
-    
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob in b.column("blob").to_pylist():
-                s = State(blob)
+            for blob in b.column("blob"):
+                s = State(blob.as_py())
                 lengths = s.lengths.astype(np.int64)
                 keys = [None if n else int(k) for k, n in zip(s.doc_ids, s.null)]
                 s.settle(np.zeros(len(s.live), bool), 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array([held_out(k) for k in keys]), pa.array(lengths),
-                     pa.array(s.known), pa.array(np.full(len(keys), grown.value.tokens, np.int64)),
+                     pa.array(s.known), pa.array(np.full(len(keys), tokens, np.int64)),
                      pa.array(s.base), pa.array(s.score)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return states.select("blob").mapInArrow(
+    out = materialize(states.select("blob").mapInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                "base_score double, score double")
+                "base_score double, score double"), "scores")
+    remove_table(states)
+    return out

@@ -275,24 +275,31 @@ def test_op9_absolute_counts_longer_contexts_many_chunks(spark, monkeypatch):
         assert math.isclose(got[k], s, rel_tol=1e-5)
 
 
-def test_op9_probabilities_sum_to_one(spark):
-    rows = [(k, "the cat sat on the mat the dog sat " * 30) for k in range(1, 40)]
-    contexts = {(None, b"the"): 1, (None, b"sat"): 2, (b"the", b"dog"): 3}
-    part = suffixtree.Part([next(iter(suffixtree.Chunk(blob, contexts, 1).blocks()))[1] for blob in [
-        r.blob for r in suffixtree.make_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()]], 4)
-    n = np.bincount(part.key_context, part.key_count, 4)
-    d = np.bincount(part.key_context, part.key_count > 0, 4)
-    totals = {0: (int(part.count.sum()), int((part.count > 0).sum())), **{c: (int(n[c]), int(d[c])) for c in (1, 2, 3)}}
-    tree = suffixtree.Tree(contexts, totals, int((part.count == 1).sum()))
-    tree.kept[:] = True
-    root, own, _ = tree.probability(part)
-    assert math.isclose(root[part.count > 0].sum() + tree.unseen, 1)
-    for c in (1, 2, 3):
-        seen = part.key_word[part.key_context == c]
-        others = sum(root[w] for w in range(len(root)) if w not in seen and part.count[w] > 0) + tree.unseen
-        pull = d[c] / (n[c] + d[c])
-        rest = pull * others
-        assert math.isclose(own[part.key_context == c].sum() + rest, 1, rel_tol=1e-6) or c == 3
+def test_op9_probabilities_sum_to_one():
+    rng = np.random.default_rng(5)
+    text = [int(x) for x in np.repeat(rng.integers(0, 6, 900), 2)]  # what follows a word is often that word
+    pairs, n = Counter(zip(text, text[1:])), Counter(text)
+    p = {w: 0.98 * n[w] / len(text) for w in n}                     # 0.02 for words never seen
+    halves = []
+    for part in (0, 1):                                             # two chunks with half of the counts each
+        keys = sorted((c, w) for c, w in pairs if (c + w) % 3 != part)
+        share = [pairs[k] if (sum(k) % 3 == 2 - part * 2 or part == 0 and sum(k) % 3 == 1) else 0 for k in keys]
+        cs = sorted({c for c, _ in keys})
+        halves.append((keys, cs, suffixtree.squeeze(
+            np.array(cs, "<u8"), np.array([sum(k[0] == c for k in keys) for c in cs], "<u4"),
+            np.array([w for _, w in keys], "<u8"), np.array(share, "<u4"), np.array([p[w] for _, w in keys], "<f4"))))
+    totals, counts = {}, {}
+    for (keys, cs, _), blob in zip(halves, suffixtree.judge_contexts([h[2] for h in halves], 1.0)):
+        occurrences, pull, count = suffixtree.expand(blob, "<i8", "<i8", "<i8")
+        totals.update(zip(cs, zip(occurrences.tolist(), pull.tolist())))
+        counts.update(zip(keys, count.tolist()))
+    assert counts and any(t for t, _ in totals.values())
+    for c, (t, pull) in totals.items():
+        if t:
+            after = {w: k for (x, w), k in counts.items() if x == c}
+            assert t == sum(after.values()) and pull == sum(k > 0 for k in after.values())
+            own = sum((after.get(w, 0) + pull * p[w]) / (t + pull) for w in p)
+            assert math.isclose(own + pull * 0.02 / (t + pull), 1)
 
 
 def test_op9_odd_rows_and_many_chunks(spark, odd, empty, monkeypatch):  # noqa: F811
