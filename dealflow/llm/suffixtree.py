@@ -63,8 +63,8 @@ def expand(blob: bytes, *kinds: str) -> list:
     for kind in kinds:
         size, n = (int.from_bytes(blob[at + k:at + k + 8], "little") for k in (0, 8))
         raw = _ZSTD.decompress(blob[at + 16:at + 16 + n], size, asbytes=True)
-        out.append(raw if kind == "bytes" else np.ascontiguousarray(
-            np.frombuffer(raw, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel())
+        out.append(raw if kind == "bytes" else np.frombuffer(raw, "u1").reshape(
+            np.dtype(kind).itemsize, -1).T.copy(order="C").view(kind).ravel())
         at += 16 + n
     return out
 
