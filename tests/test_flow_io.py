@@ -175,3 +175,13 @@ def test_ingest_ids_follow_read_order(spark):
     got = [r.opportunity_owner for r in df.orderBy("id").collect()]
     assert got == names
     assert [r.id for r in df.orderBy("id").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_unprepared_queries_read_stored_rows(spark):
+    """Scan and joins run once: every frame of a query reads the written ``v1``."""
+    from dealflow.plans.flow import analysis
+    a = analysis(spark, SF_SMALL)
+    for frame in (a.v1, a.v2, a.imputed, a.closed_deals, a.closed_outcomes):
+        files = frame.inputFiles()
+        assert files and all("/v1-" in f for f in files)
+    assert all("/opportunities-" in f for f in a.opportunities.inputFiles())
