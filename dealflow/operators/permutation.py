@@ -5,11 +5,13 @@ of a keyed hash of (seed, replicate, id) get the first label as often as it
 occurs, then the second, and so on.  This keeps both margins, and any engine
 with MD5 deals the same tables, so p-values can be checked from outside.
 
-Nothing is sorted per replicate.  Rows are counted by the leading hex digits of
-their hash (partial sums in the map tasks); the running counts of these buckets
-tell in which bucket a label ends, and only the rows of that bucket are ranked:
-one in 16 (256, 4096 for larger tables) for each border between labels.  One MD5
-serves two replicates.
+Every row is hashed once, and one MD5 serves two replicates.  Hashes are uniform,
+so it is known beforehand where a label's last row about lies: rows between these
+windows are only counted (partial sums in the map tasks), rows inside are kept
+with their hashes and ranked.  A window is ``REACH`` standard deviations wide to
+each side, so its rows grow with the square root of the table.  Running counts
+show whether a label does end in its window; replicates where it does not (ids
+shared by many rows) are dealt again with wider windows, up to the whole range.
 
 The work is rows x replicates.  For tables far beyond that,
 :func:`dealflow.operators.stats.chi_square_mc` draws tables from the margins.
@@ -28,7 +30,9 @@ from dealflow.session import checkpointed
 # Usual replicate counts of the two tests.
 REPLICATES = {"chisq": 10000, "fisher": 2000}
 MOST_LABELS = 100          # labels are columns of the counting plan
-# Rows up to which 16, and up to which 256 buckets are enough; beyond, 4096.
+REACH, WIDER = 8.0, 16     # half a window in standard deviations; its growth if too narrow
+_DIGITS = 16               # hex digits of a replicate's hash
+# Rows up to which windows are cut at 3, and up to which at 4 hex digits; beyond, at 5.
 _BUCKETS = (1 << 21, 1 << 28)
 
 
@@ -97,39 +101,79 @@ def permutation_test(df: DataFrame, row: str, col: str, kind: str = "chisq", id_
         ((F.col("n_extreme") + 1) / F.lit(replicates + 1)).alias("p_value"))
 
 
+def _windows(sizes: Sequence[int], reach: float) -> list[tuple[str, str | None]]:
+    """Disjoint intervals of hashes [low, high) in which the labels but the last
+    end, by their leading hex digits; None is the end of the range."""
+    total = sum(sizes)
+    digits = 3 + sum(total > bound for bound in _BUCKETS)
+    most = 16 ** digits
+    out: list[tuple[int, int]] = []
+    for j in range(len(sizes) - 1):
+        share = sum(sizes[:j + 1]) / total
+        half = reach * math.sqrt(share * (1 - share) / total) + reach / total
+        low, high = max(0, math.floor((share - half) * most)), min(most, math.ceil((share + half) * most))
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return [(f"{low:0{digits}x}", f"{high:0{digits}x}" if high < most else None) for low, high in out]
+
+
+def _zone(key: Column, windows: Sequence[tuple[str, str | None]]) -> Column:
+    """0 before the first window, 1 inside it, 2 behind it, and so on."""
+    out = F.lit(2 * len(windows))
+    for j, edge in reversed(list(enumerate(e for w in windows for e in w))):
+        out = F.lit(j) if edge is None else F.when(key < edge, j).otherwise(out)
+    return out
+
+
 def _dealt_tables(rows: DataFrame, sizes: Sequence[int], replicates: int, seed: int) -> DataFrame:
     """(_r, _row, _x0, _x1, ...): how often each label fell to each table row."""
-    digits = 1 + sum(sum(sizes) > bound for bound in _BUCKETS)
-    borders = [sum(sizes[:j + 1]) for j in range(len(sizes) - 1)]
-    turns = F.explode(F.sequence(F.lit(0), F.lit((replicates + 1) // 2 - 1)))
-    hashed = rows.select("_row", "_id", turns.alias("_t")).withColumn(
-        "_h", F.md5(F.concat_ws(":", F.lit(seed), "_t", "_id")))
-    draws = hashed.select("_row", "_id", F.inline(F.array(*[
-        F.struct((2 * F.col("_t") + i).alias("_r"), F.substring("_h", 1 + 16 * i, 16).alias("_k")) for i in (0, 1)])))
-    draws = draws.where(F.col("_r") < replicates).withColumn(
-        "_b", F.substring("_k", 1, digits))
-    counts = checkpointed(draws.groupBy("_r", "_b", "_row").agg(F.count(F.lit(1)).alias("_n")))
-    # The bucket in which each label ends, and how many of its rows still get it.
-    before = Window.partitionBy("_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    filled = counts.groupBy("_r", "_b").agg(F.sum("_n").alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ends = [(F.col("_before") < c) & (F.col("_before") + F.col("_n") >= c) for c in borders]
-    bounds = checkpointed(filled.groupBy("_r").agg(
-        *[F.max(F.when(e, F.col("_b"))).alias(f"_end{j}") for j, e in enumerate(ends)],
-        *[F.max(F.when(e, F.lit(c) - F.col("_before"))).alias(f"_open{j}") for j, (e, c) in enumerate(zip(ends, borders))]))
-    few = F.broadcast(bounds)  # one row for each replicate
-    order = Window.partitionBy("_r").orderBy("_k", "_id", "_row")
-    pieces = [counts.join(few, "_r").groupBy("_r", "_row").agg(
-        F.sum("_n").alias("_all"), *[F.coalesce(F.sum(F.when(F.col("_b") < F.col(f"_end{j}"), F.col("_n"))), F.lit(0))
-                                     .alias(f"_below{j}") for j in range(len(borders))])]
-    for j in range(len(borders)):
-        inside = (draws.join(few, "_r").where(F.col("_b") == F.col(f"_end{j}"))
-                  .withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= F.col(f"_open{j}")))
-        pieces.append(inside.groupBy("_r", "_row").agg(F.count(F.lit(1)).alias(f"_below{j}")))
+    ends = [sum(sizes[:j + 1]) for j in range(len(sizes))]
+    turns = rows.sparkSession.range((replicates + 1) // 2).select(F.col("id").cast("int").alias("_t"))
+    wanted, reach, pieces = None, REACH, []
+    while True:
+        windows = _windows(sizes, reach)
+        counts = checkpointed(_counted(rows, turns, windows, replicates, seed))
+        if wanted is not None:
+            counts = counts.join(F.broadcast(wanted), "_r")  # a number for each replicate
+        # The running count before a zone, and the labels that end in its middle.
+        zones = counts.groupBy("_r", "_z").agg(F.sum("_n").alias("_n")).withColumn(
+            "_first", F.sum("_n").over(Window.partitionBy("_r").orderBy("_z")) - F.col("_n"))
+        zones = checkpointed(zones.withColumn("_open", (F.col("_z") % 2 == 0) & F.exists(
+            F.array(*[F.lit(e) for e in ends]),
+            lambda e: (e > F.col("_first")) & (e < F.col("_first") + F.col("_n")))))
+        missed = checkpointed(zones.groupBy("_r").agg(F.max("_open").alias("_open")).where("_open").select("_r"))
+        pieces.append(_split(counts.join(F.broadcast(missed), "_r", "left_anti"), zones, ends))
+        if missed.isEmpty():
+            break
+        wanted, reach = missed, reach * WIDER
+        turns = checkpointed(missed.select(F.floor(F.col("_r") / 2).cast("int").alias("_t")).distinct())
     every = pieces[0]
     for p in pieces[1:]:
-        every = every.unionByName(p, allowMissingColumns=True)
-    names = ["_all", *[f"_below{j}" for j in range(len(borders))]]
-    summed = every.groupBy("_r", "_row").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
-    edges = [F.lit(0), *[F.col(f"_below{j}") for j in range(len(borders))], F.col("_all")]
-    return summed.select("_r", "_row", *[(b - a).alias(f"_x{j}") for j, (a, b) in enumerate(zip(edges, edges[1:]))])
+        every = every.unionByName(p)
+    return every
+
+
+def _counted(rows: DataFrame, turns: DataFrame, windows: Sequence[tuple[str, str | None]], replicates: int,
+             seed: int) -> DataFrame:
+    """(_r, _z, _k, _id, _row, _n): rows counted by zone, inside windows by hash and id too."""
+    hashed = rows.join(F.broadcast(turns)).select(
+        "_row", "_id", "_t", F.md5(F.concat_ws(":", F.lit(seed), "_t", "_id")).alias("_h"))
+    draws = hashed.select("_row", "_id", F.inline(F.array(*[
+        F.struct((2 * F.col("_t") + i).alias("_r"), F.substring("_h", 1 + _DIGITS * i, _DIGITS).alias("_k"))
+        for i in (0, 1)]))).where(F.col("_r") < replicates).withColumn("_z", _zone(F.col("_k"), windows))
+    inside = F.col("_z") % 2 == 1
+    return draws.groupBy("_r", "_z", F.when(inside, F.col("_k")).alias("_k"), F.when(inside, F.col("_id")).alias("_id"),
+                         "_row").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _split(counts: DataFrame, zones: DataFrame, ends: Sequence[int]) -> DataFrame:
+    """The rows of every zone in their order, dealt to the labels whose places they take."""
+    order = Window.partitionBy("_r", "_z").orderBy("_k", "_id", "_row")
+    placed = counts.join(zones.select("_r", "_z", "_first"), ["_r", "_z"]).withColumn(
+        "_from", F.col("_first") + F.sum("_n").over(order) - F.col("_n"))
+    edges = [0, *ends]
+    share = [F.greatest(F.least(F.col("_from") + F.col("_n"), F.lit(b)) - F.greatest("_from", F.lit(a)), F.lit(0))
+             for a, b in zip(edges, edges[1:])]
+    return placed.groupBy("_r", "_row").agg(*[F.sum(x).alias(f"_x{j}") for j, x in enumerate(share)])

@@ -180,6 +180,36 @@ def test_permutation_equals_plain_deal(spark, monkeypatch, kind, labels):
         assert r.p_value == (hits + 1) / 32 and r.df == 2 * (len(labels) - 1) and r.replicates == 31
 
 
+def test_permutation_hashes_rows_once(spark, monkeypatch):
+    """One pass keeps the hashes of a few rows near a label's end and deals all replicates."""
+    from dealflow.operators import permutation
+    passes, counted = [], permutation._counted
+    monkeypatch.setattr(permutation, "_counted", lambda *a: passes.append(counted(*a)) or passes[-1])
+    df = spark.range(40_000).selectExpr("concat('t', id % 3) as team", "if(id % 2 = 0, 'Won', 'Lost') as outcome", "id")
+    permutation_test(df, "team", "outcome", replicates=4, seed=3).collect()
+    assert len(passes) == 1
+    assert passes[0].count() < 4 * 40_000 * 0.06
+
+
+@pytest.mark.parametrize("reach", [1e-4, 0.5])
+def test_permutation_widens_missed_windows(spark, monkeypatch, reach):
+    from dealflow.operators import permutation
+    rng = random.Random(7)
+    rows = [(rng.choice("xyz"), rng.choice(["a", "b", "c"]), i) for i in range(3000)]
+    hits, _ = plain_permutation(rows, 15, 4, "chisq")
+    monkeypatch.setattr(permutation, "REACH", reach)
+    df = spark.createDataFrame(rows, "team string, outcome string, id long")
+    assert permutation_test(df, "team", "outcome", replicates=15, seed=4).first().n_extreme == hits
+
+
+def test_permutation_of_shared_ids(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("xyz"), rng.choice(["a", "b"]), i // 100) for i in range(900)]
+    hits, _ = plain_permutation(sorted(rows), 15, 4, "chisq")  # equal ids in the order of their rows
+    df = spark.createDataFrame(rows, "team string, outcome string, id long")
+    assert permutation_test(df, "team", "outcome", replicates=15, seed=4).first().n_extreme == hits
+
+
 def test_permutation_needs_two_by_two(spark):
     df = spark.createDataFrame([("x", "Won", 1), ("y", "Won", 2)], "team string, outcome string, id long")
     for bad in (df, df.where("id < 0")):
