@@ -167,6 +167,35 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole :func:`runs`, many at a time, and where they are cut."""
+
+    def cuts(cols: list[np.ndarray]) -> np.ndarray:
+        return np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+
+    def joined(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return t, np.concatenate([[0], cuts([t[k].to_numpy() for k in keys]), [t.num_rows]])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = cuts(cols)
+        at = new[-1] if len(new) else 0
+        if held and (at or tuple(c[0] for c in cols) != last):
+            yield joined([*held, b.slice(0, at)] if at else held)
+            held = []
+        elif at:
+            yield joined([b.slice(0, at)])
+        held.append(b.slice(at))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield joined(held)
+
+
 def block_pairs(rows: DataFrame, group: str, item: str, n_blocks: str) -> DataFrame:
     """Deal each group's items into blocks and every pair of blocks.
 

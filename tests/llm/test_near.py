@@ -4,11 +4,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from conftest import SF_SMALL
 from llm_rows import empty, odd  # noqa: F401
 from dealflow.llm import hyperplanes, queries, setsketch
-from dealflow.llm.common import components
+from dealflow.llm.common import components, whole_runs
 
 
 def labels(nodes, pairs):
@@ -68,6 +69,52 @@ def test_op4_family_of_copies_in_small_blocks(spark, monkeypatch):
     check(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+def test_op4_one_passage_makes_no_group(spark, monkeypatch):
+    """Texts that share a passage share bands, so ties of bands alone reach across the corpus."""
+    members, confirmed = [], setsketch.confirmed
+    monkeypatch.setattr(setsketch, "confirmed", lambda m: members.append(m.count()) or confirmed(m))
+    passage = " ".join(f"p{k}" for k in range(18))
+    rows = [(k, passage + " " + " ".join(f"u{k}-{n}" for n in range(16))) for k in range(300)]
+    rows += [(400 + k, rows[k][1] + " end") for k in range(10)]
+    check(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    assert 20 <= members[0] <= 60
+
+
+def test_op4_bands_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "MOST_BLOCK_ROWS", 16)
+    monkeypatch.setattr(setsketch, "FEW_ROWS", 4)
+    rng = random.Random(5)
+    rows = []
+    for k in range(160):
+        words = [f"w{k % 2}-{n}" for n in range(90)]
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 9999)}"
+        rows.append((k * 7 % 160, " ".join(words)))
+    check(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
+def test_whole_runs_cuts_where_keys_change():
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, 4, 4, 5]
+    for cuts in ([], [2], [3, 5], [1, 2, 7, 10], list(range(1, 11))):
+        edges = [0, *cuts, len(keys)]
+        batches = [pa.record_batch({"k": keys[a:b], "n": list(range(a, b))}) for a, b in zip(edges, edges[1:])]
+        runs = [t["n"].to_pylist()[a:b] for t, c in whole_runs(iter(batches), ["k"]) for a, b in zip(c[:-1], c[1:])]
+        assert runs == [[0, 1], [2, 3, 4, 5, 6], [7], [8, 9], [10]]
+
+
+def test_likely_pairs_are_those_of_the_estimate():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 300).astype("<u8")
+    sets = [np.unique(np.concatenate([base[rng.random(300) > rng.uniform(0, 0.4)],
+                                      rng.integers(0, 1 << 62, rng.integers(0, 90)).astype("<u8")])) for _ in range(90)]
+    regs, size = np.array([setsketch.registers(s) for s in sets]), np.array([len(s) for s in sets])
+    est = setsketch.joint_estimate(regs, regs, size, size)
+    found = setsketch.likely(regs, regs, size, size)
+    assert (found == (est >= setsketch.FLOOR)).all() and 0.05 < found.mean() < 0.95
+    true = np.array([[len(np.intersect1d(s, t)) / len(np.union1d(s, t)) for t in sets[:9]] for s in sets])
+    assert np.abs(est[:, :9] - true).max() < 0.15
+
+
 def test_op4_odd_rows(spark, odd, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in setsketch.near_duplicates(odd).collect()}
     assert (None, 1, None, True) in got and (1, 0, 1, True) in got and (2, 0, 2, True) in got
