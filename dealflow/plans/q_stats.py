@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from dealflow.operators import metrics as m
 from dealflow.operators import stats as st
 from dealflow.operators.aggregates import pivot_by_data
-from dealflow.operators.permutation import permutation_test
+from dealflow.operators.permutation import REPLICATES, permutation_test
 from dealflow.plans.catalog import r6, register, with_base
 from dealflow.plans.flow import analysis
 
-# Replicates of the registered queries; the functions' defaults are 10000 and
-# 2000. The seed is ours: the original sets none.
-REPLICATES = 100
+# The seed is ours: the original sets none.
 SEED = 20240101
 
 _LONG_SQL = """
@@ -64,17 +62,18 @@ def chi_square(spark, sf):
 
 # Labels dealt by the keyed hash of (seed, pair of replicates, id); the table as
 # it is counts as replicate -1.
-_DEALT = {
-    "deals": "SELECT id, team, deal_outcome AS o FROM closed WHERE deal_outcome IN ('Won', 'Lost')",
-    "keyed": f"""
+def _dealt(replicates: int) -> dict[str, str]:
+    return {
+        "deals": "SELECT id, team, deal_outcome AS o FROM closed WHERE deal_outcome IN ('Won', 'Lost')",
+        "keyed": f"""
   SELECT r, team, row_number() OVER (PARTITION BY r ORDER BY
            substr(md5(concat_ws(':', {SEED}, r // 2, id)), 1 + 16 * (r % 2), 16), CAST(id AS VARCHAR)) AS k
-  FROM deals, range({REPLICATES}) AS t(r)""",
-    "cells": """
+  FROM deals, range({replicates}) AS t(r)""",
+        "cells": """
   SELECT r, team, o, count(*) AS x FROM (
     SELECT r, team, CASE WHEN k <= (SELECT count(*) FROM deals WHERE o = 'Lost') THEN 'Lost' ELSE 'Won' END AS o
     FROM keyed UNION ALL SELECT -1, team, o FROM deals) GROUP BY r, team, o""",
-    "sums": """
+        "sums": """
   SELECT r, sum(lgamma(x + 1)) AS f, sum(x * x / e) - sum(x) AS c
   FROM cells JOIN (
     SELECT t.team AS team2, t.n * l.n / (SELECT count(*) FROM deals) AS e, l.o AS o2
@@ -84,31 +83,31 @@ _DEALT = {
   GROUP BY r"""}
 
 
-def _mc_sql(column: str, slack: str) -> str:
+def _mc_sql(column: str, slack: str, replicates: int) -> str:
     return with_base(f"""
-SELECT round({column}0, 6) AS statistic, df, CAST({REPLICATES} AS BIGINT) AS replicates, n_extreme,
-       round((1 + n_extreme) / {REPLICATES + 1}.0::DOUBLE, 6) AS p_value
+SELECT round({column}0, 6) AS statistic, df, CAST({replicates} AS BIGINT) AS replicates, n_extreme,
+       round((1 + n_extreme) / {replicates + 1}.0::DOUBLE, 6) AS p_value
 FROM (SELECT max(o.{column}) AS {column}0, count(*) FILTER (s.{column} >= o.{column} - {slack}) AS n_extreme
       FROM sums s, sums o WHERE s.r >= 0 AND o.r = -1),
      (SELECT CAST((count(DISTINCT coalesce(team, '<null>')) - 1) * (count(DISTINCT o) - 1) AS BIGINT) AS df FROM deals)""",
-                     extra=_DEALT)
+                     extra=_dealt(replicates))
 
 
-def _permuted(spark, sf, kind):
+def _permuted(spark, sf, kind, replicates=None):
     closed = analysis(spark, sf).closed_outcomes.where(F.col("deal_outcome").isin(m.LOST, m.WON))
-    out = permutation_test(closed, "team", "deal_outcome", kind, replicates=REPLICATES, seed=SEED)
+    out = permutation_test(closed, "team", "deal_outcome", kind, replicates=replicates, seed=SEED)
     return out.select(r6("statistic"), "df", "replicates", "n_extreme", r6("p_value"))
 
 
-@register("chi_square_mc", _mc_sql("c", "1e-9 * greatest(1, o.c)"))
+@register("chi_square_mc", _mc_sql("c", "1e-9 * greatest(1, o.c)", REPLICATES["chisq"]))
 def chi_square_mc(spark, sf):
     return _permuted(spark, sf, "chisq")
 
 
-@register("fisher_mc", _mc_sql("f", "(1e-7 + 1e-14 * o.f)"))
+@register("fisher_mc", _mc_sql("f", "(1e-7 + 1e-14 * o.f)", 100))
 def fisher_mc(spark, sf):
     """The simulated Fisher test; its statistic is the sum of log factorials."""
-    return _permuted(spark, sf, "fisher")
+    return _permuted(spark, sf, "fisher", 100)
 
 
 @register("fisher_team_against_rest", with_base(f"""

@@ -12,6 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from dealflow.operators import joins, ordering
 from dealflow.operators.permutation import log_factorial, permutation_test
 
@@ -210,6 +211,14 @@ def test_permutation_of_shared_ids(spark):
     assert permutation_test(df, "team", "outcome", replicates=15, seed=4).first().n_extreme == hits
 
 
+@pytest.mark.parametrize("name, replicates", [("chi_square_mc", 10000)])
+def test_queries_deal_all_replicates(spark, name, replicates):
+    """As many as in the original analysis, by no parameter of the query."""
+    import __spark_entry__ as entry
+    r = entry.queries()[name](spark, SF_SMALL).first()
+    assert r.replicates == replicates and r.p_value == round((r.n_extreme + 1) / (replicates + 1), 6)
+
+
 def test_permutation_needs_two_by_two(spark):
     df = spark.createDataFrame([("x", "Won", 1), ("y", "Won", 2)], "team string, outcome string, id long")
     for bad in (df, df.where("id < 0")):
