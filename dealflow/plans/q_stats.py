@@ -93,9 +93,9 @@ FROM (SELECT max(o.{column}) AS {column}0, count(*) FILTER (s.{column} >= o.{col
                      extra=_dealt(replicates))
 
 
-def _permuted(spark, sf, kind, replicates=None):
+def _permuted(spark, sf, kind):
     closed = analysis(spark, sf).closed_outcomes.where(F.col("deal_outcome").isin(m.LOST, m.WON))
-    out = permutation_test(closed, "team", "deal_outcome", kind, replicates=replicates, seed=SEED)
+    out = permutation_test(closed, "team", "deal_outcome", kind, seed=SEED)
     return out.select(r6("statistic"), "df", "replicates", "n_extreme", r6("p_value"))
 
 
@@ -104,10 +104,10 @@ def chi_square_mc(spark, sf):
     return _permuted(spark, sf, "chisq")
 
 
-@register("fisher_mc", _mc_sql("f", "(1e-7 + 1e-14 * o.f)", 100))
+@register("fisher_mc", _mc_sql("f", "(1e-7 + 1e-14 * o.f)", REPLICATES["fisher"]))
 def fisher_mc(spark, sf):
     """The simulated Fisher test; its statistic is the sum of log factorials."""
-    return _permuted(spark, sf, "fisher", 100)
+    return _permuted(spark, sf, "fisher")
 
 
 @register("fisher_team_against_rest", with_base(f"""

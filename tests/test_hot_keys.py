@@ -211,7 +211,7 @@ def test_permutation_of_shared_ids(spark):
     assert permutation_test(df, "team", "outcome", replicates=15, seed=4).first().n_extreme == hits
 
 
-@pytest.mark.parametrize("name, replicates", [("chi_square_mc", 10000)])
+@pytest.mark.parametrize("name, replicates", [("chi_square_mc", 10000), ("fisher_mc", 2000)])
 def test_queries_deal_all_replicates(spark, name, replicates):
     """As many as in the original analysis, by no parameter of the query."""
     import __spark_entry__ as entry
