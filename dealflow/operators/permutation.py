@@ -5,9 +5,10 @@ of a keyed hash of (seed, replicate, id) get the first label as often as it
 occurs, then the second, and so on.  This keeps both margins, and any engine
 with MD5 deals the same tables, so p-values can be checked from outside.
 
-Every row is hashed once, and one MD5 serves two replicates.  Hashes are uniform,
+Every row is hashed once, and one MD5 serves two replicates; a task hashes many
+rows at a time with array operations (``keyedhash``).  Hashes are uniform,
 so it is known beforehand where a label's last row about lies: rows between these
-windows are only counted (partial sums in the map tasks), rows inside are kept
+windows are only counted (in the task that hashes them), rows inside are kept
 with their hashes and ranked.  A window is ``REACH`` standard deviations wide to
 each side, so its rows grow with the square root of the table.  Running counts
 show whether a label does end in its window; replicates where it does not (ids
@@ -20,18 +21,20 @@ The work is rows x replicates.  For tables far beyond that,
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from dealflow.operators.keyedhash import draws
 from dealflow.session import checkpointed
 
 # Usual replicate counts of the two tests.
 REPLICATES = {"chisq": 10000, "fisher": 2000}
 MOST_LABELS = 100          # labels are columns of the counting plan
-REACH, WIDER = 8.0, 16     # half a window in standard deviations; its growth if too narrow
-_DIGITS = 16               # hex digits of a replicate's hash
+REACH, WIDER = 5.0, 16     # half a window in standard deviations; its growth if too narrow
 # Rows up to which windows are cut at 3, and up to which at 4 hex digits; beyond, at 5.
 _BUCKETS = (1 << 21, 1 << 28)
 
@@ -119,18 +122,15 @@ def _windows(sizes: Sequence[int], reach: float) -> list[tuple[str, str | None]]
     return [(f"{low:0{digits}x}", f"{high:0{digits}x}" if high < most else None) for low, high in out]
 
 
-def _zone(key: Column, windows: Sequence[tuple[str, str | None]]) -> Column:
-    """0 before the first window, 1 inside it, 2 behind it, and so on."""
-    out = F.lit(2 * len(windows))
-    for j, edge in reversed(list(enumerate(e for w in windows for e in w))):
-        out = F.lit(j) if edge is None else F.when(key < edge, j).otherwise(out)
-    return out
+def _edge(digits: str | None) -> int | None:
+    """A hash's leading 32 bits at its leading hex digits."""
+    return None if digits is None else int(digits, 16) << (32 - 4 * len(digits))
 
 
 def _dealt_tables(rows: DataFrame, sizes: Sequence[int], replicates: int, seed: int) -> DataFrame:
     """(_r, _row, _x0, _x1, ...): how often each label fell to each table row."""
     ends = [sum(sizes[:j + 1]) for j in range(len(sizes))]
-    turns = rows.sparkSession.range((replicates + 1) // 2).select(F.col("id").cast("int").alias("_t"))
+    turns: Sequence[int] = range((replicates + 1) // 2)
     wanted, reach, pieces = None, REACH, []
     while True:
         windows = _windows(sizes, reach)
@@ -148,29 +148,33 @@ def _dealt_tables(rows: DataFrame, sizes: Sequence[int], replicates: int, seed:
         if missed.isEmpty():
             break
         wanted, reach = missed, reach * WIDER
-        turns = checkpointed(missed.select(F.floor(F.col("_r") / 2).cast("int").alias("_t")).distinct())
+        # no more than there are replicates, which is a parameter
+        turns = sorted({r["_r"] // 2 for r in missed.collect()})
     every = pieces[0]
     for p in pieces[1:]:
         every = every.unionByName(p)
     return every
 
 
-def _counted(rows: DataFrame, turns: DataFrame, windows: Sequence[tuple[str, str | None]], replicates: int,
+def _counted(rows: DataFrame, turns: Sequence[int], windows: Sequence[tuple[str, str | None]], replicates: int,
              seed: int) -> DataFrame:
-    """(_r, _z, _k, _id, _row, _n): rows counted by zone, inside windows by hash and id too."""
-    hashed = rows.join(F.broadcast(turns)).select(
-        "_row", "_id", "_t", F.md5(F.concat_ws(":", F.lit(seed), "_t", "_id")).alias("_h"))
-    draws = hashed.select("_row", "_id", F.inline(F.array(*[
-        F.struct((2 * F.col("_t") + i).alias("_r"), F.substring("_h", 1 + _DIGITS * i, _DIGITS).alias("_k"))
-        for i in (0, 1)]))).where(F.col("_r") < replicates).withColumn("_z", _zone(F.col("_k"), windows))
-    inside = F.col("_z") % 2 == 1
-    return draws.groupBy("_r", "_z", F.when(inside, F.col("_k")).alias("_k"), F.when(inside, F.col("_id")).alias("_id"),
-                         "_row").agg(F.count(F.lit(1)).alias("_n"))
+    """(_r, _z, _k, _id, _row, _n): rows counted by zone (0 before the first window,
+    1 inside it, 2 behind it, and so on), inside windows one by one with hash and id."""
+    edges = [_edge(e) for w in windows for e in w]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return draws(batches, turns, edges, replicates, seed)
+
+    narrow = rows.select("_row", "_id")
+    return narrow.mapInArrow(draw, StructType([
+        StructField("_r", IntegerType()), StructField("_z", IntegerType()), StructField("_k", LongType()),
+        StructField("_id", StringType()), StructField("_row", narrow.schema["_row"].dataType),
+        StructField("_n", LongType())]))
 
 
 def _split(counts: DataFrame, zones: DataFrame, ends: Sequence[int]) -> DataFrame:
     """The rows of every zone in their order, dealt to the labels whose places they take."""
-    order = Window.partitionBy("_r", "_z").orderBy("_k", "_id", "_row")
+    order = Window.partitionBy("_r", "_z").orderBy("_k", "_id", "_row").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.join(zones.select("_r", "_z", "_first"), ["_r", "_z"]).withColumn(
         "_from", F.col("_first") + F.sum("_n").over(order) - F.col("_n"))
     edges = [0, *ends]

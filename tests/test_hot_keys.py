@@ -9,6 +9,7 @@ import random
 import struct
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,37 @@ def test_permutation_of_shared_ids(spark):
     assert permutation_test(df, "team", "outcome", replicates=15, seed=4).first().n_extreme == hits
 
 
+def plain_draws(rows, turns, edges, replicates, seed):
+    """The draws of (row, id) pairs by hashlib, counted."""
+    out = Counter()
+    for (row, i), t, half in ((x, t, h) for x in rows for t in turns for h in (0, 1) if 2 * t + h < replicates):
+        text = ":".join([str(seed), str(t), *([] if i is None else [i])])
+        k = int(hashlib.md5(text.encode()).hexdigest()[16 * half:16 * half + 16], 16)
+        z = sum(e is not None and k >> 32 >= e for e in edges)
+        out[(2 * t + half, z, *((k - (1 << 63), i) if z % 2 else (None, None)), row)] += 1
+    return out
+
+
+@pytest.mark.parametrize("counts, once, most", [(1 << 22, 1 << 15, 1 << 18), (20, 64, 50), (1, 1, 1)])
+def test_draws_are_those_of_plain_md5(monkeypatch, counts, once, most):
+    """Also of null, empty, long and non-ASCII ids, null groups and one half of a hash."""
+    from dealflow.operators import keyedhash
+    for name, value in (("MOST_COUNTS", counts), ("AT_ONCE", once), ("MOST_ROWS", most)):
+        monkeypatch.setattr(keyedhash, name, value)
+    rng = random.Random(1)
+    rows = [(rng.choice(["x", "y", None, "z"]), rng.choice([str(k), None, "", "a" * 60 + str(k), f"é{k}"]))
+            for k in range(150)]
+    batches = [pa.record_batch({"_row": pa.array([g for g, _ in rows[k:k + 40]], pa.string()),
+                                "_id": pa.array([i for _, i in rows[k:k + 40]], pa.string())}) for k in range(0, 150, 40)]
+    for turns, replicates in ((range(13), 25), ([3, 9, 10, 11, 120], 300)):
+        for edges in ([1 << 28, 1 << 30], [0, 1 << 29, 1 << 31, None]):
+            got = Counter()
+            for b in keyedhash.draws(iter(batches), turns, edges, replicates, 7):
+                for r in b.to_pylist():
+                    got[r["_r"], r["_z"], r["_k"], r["_id"], r["_row"]] += r["_n"]
+            assert got == plain_draws(rows, turns, edges, replicates, 7)
+
+
 @pytest.mark.parametrize("name, replicates", [("chi_square_mc", 10000), ("fisher_mc", 2000)])
 def test_queries_deal_all_replicates(spark, name, replicates):
     """As many as in the original analysis, by no parameter of the query."""
